@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -47,23 +49,20 @@ def relative(from_folder: Column, to_path: Column) -> Column:
     a = F.when(from_folder == "", F.array().cast("array<string>")).otherwise(
         F.split(from_folder, "/")
     )
-    b = F.split(to_path, "/")
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    shared = F.coalesce(
-        F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(a).cast("bigint")
-    ).cast("int")
-    ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
-    rest = F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0)))
-    return F.array_join(F.concat(ups, rest), "/")
+
+    def climb(a: Column, b: Column) -> Column:
+        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        differs = F.array_position(same, False).cast("int")
+        shared = F.when(differs > 0, differs - 1).otherwise(F.size(a))
+        ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
+        return F.concat(ups, F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0))))
+
+    return F.array_join(bind(a, lambda x: bind(F.split(to_path, "/"), lambda y: climb(x, y))), "/")
 
 
 def ancestors(path: Column) -> Column:
     """All folders above a path: `a/b/c.ts` gives `a`, `a/b`."""
-    parts = F.split(path, "/")
-    return F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda n: F.array_join(F.slice(parts, 1, n), "/"),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return bind(F.split(path, "/"), lambda parts: F.when(F.size(parts) > 1, F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(none))

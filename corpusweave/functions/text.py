@@ -1,4 +1,10 @@
-"""Text and array expressions. All of them stay inside the JVM."""
+"""Text and array expressions. All of them stay inside the JVM.
+
+A note on `explode_outer`, used throughout: for a plain `explode` Spark adds a
+filter that the array is not empty and pushes it down, which computes the array
+a second time, and nested arrays once per level. The outer form computes it
+once; a test for null behind it drops the rows of empty arrays.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +33,11 @@ def occurrences(text: Column, piece: str) -> Column:
     return (shorter / len(piece)).cast("bigint")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running(
     values: Column, zero: Column, combine: Callable[[Column, Column], Column], kind: str = "bigint"
 ) -> Column:
@@ -35,8 +46,13 @@ def running(
     Works in blocks of about sqrt(n), because appending to an array copies it:
     one long fold would copy n*n/2 elements.
     """
+    return bind(values, lambda v: bind(
+        F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)),
+        lambda width: _running(v, width, zero, combine, kind)))
+
+
+def _running(values: Column, width: Column, zero: Column, combine, kind: str) -> Column:
     size = F.size(values)
-    width = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
     empty = F.array().cast(f"array<{kind}>")
 
     def inside(block: Column) -> Column:

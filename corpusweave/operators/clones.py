@@ -16,7 +16,7 @@ def _windows(files: DataFrame, size: int) -> DataFrame:
     hashes = F.transform(F.sequence(F.lit(1), F.size("_t") - size + 1), lambda i: F.struct(
         F.xxhash64(F.slice("_t", i, size)).alias("h1"),
         F.xxhash64(F.lit(size), F.slice("_t", i, size)).alias("h2")))
-    return df.select("path", F.posexplode(hashes).alias("position", "h")).select(
+    return df.select("path", F.posexplode_outer(hashes).alias("position", "h")).select(
         "path", F.col("position").cast("bigint").alias("position"), "h.h1", "h.h2")
 
 

@@ -99,7 +99,7 @@ def dedupe_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFra
 
     folded = F.aggregate(F.slice("_all", 2, 1_000_000_000), F.slice("_all", 1, 1), step)
     result = F.when(F.size("_all") == 1, F.col("_all")).otherwise(folded)
-    out = grouped.select(*keys, F.explode(F.array_distinct(result)).alias("e"))
+    out = grouped.select(*keys, F.explode_outer(F.array_distinct(result)).alias("e"))
     return out.select(*keys, "e.edit_no", "e.start_off", "e.end_off", "e.original_text", "e.new_text")
 
 
@@ -109,7 +109,6 @@ APPLIED = (
 )
 
 
-@F.pandas_udf(APPLIED)
 def _apply(content: pd.Series, edits: pd.Series) -> pd.DataFrame:
     """Apply each row's ordered edits to its text; one linear pass per file."""
     texts, reports = [], []
@@ -148,14 +147,14 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     edit = F.struct("start_off", "edit_no", "end_off", "original_text", "new_text")
     per_file = edits.groupBy("path").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
     df = files.select("path", "content").join(per_file, "path")
-    df = df.withColumn("_done", _apply("content", "_edits"))
+    df = df.withColumn("_done", F.pandas_udf(_apply, APPLIED)("content", "_edits"))
     return df.select("path", "content", F.col("_done.new_content").alias("new_content"),
                      F.col("_done.edits").alias("edits"))
 
 
 def edit_reports(applied: DataFrame) -> DataFrame:
     """One row per edit of `apply_edits`; a null reason means applied."""
-    return applied.select("path", F.explode("edits").alias("e")).select("path", "e.*")
+    return applied.select("path", F.explode_outer("edits").alias("e")).select("path", "e.*")
 
 
 def edit_statistics(reports: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

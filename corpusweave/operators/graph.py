@@ -25,13 +25,13 @@ def importers_of_directory(edges: DataFrame, dirs: DataFrame) -> DataFrame:
     Every target is expanded to its parent folders, which makes the prefix test
     an equi-join.
     """
-    below = edges.select("src", F.explode(ancestors(F.col("dst"))).alias("dir"))
+    below = edges.select("src", F.explode_outer(ancestors(F.col("dst"))).alias("dir"))
     return below.join(dirs.select("dir").distinct(), "dir", "left_semi").select("dir", "src").distinct()
 
 
 def degree(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Fan-in and fan-out of every file; isolated files have neither."""
-    ends = edges.select(F.explode(F.array(
+    ends = edges.select(F.explode_outer(F.array(
         F.struct(F.col("src").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("o")),
         F.struct(F.col("dst").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e")).select("e.*")
     everything = ends.unionByName(files.select("path", F.lit(0).alias("i"), F.lit(0).alias("o")))
@@ -45,7 +45,7 @@ def moved_paths(files: DataFrame, rename_map: DataFrame) -> DataFrame:
 
     The longest matching old path wins.
     """
-    keys = files.select("path", F.explode(F.concat(F.array("path"), ancestors(F.col("path")))).alias("old"))
+    keys = files.select("path", F.explode_outer(F.concat(F.array("path"), ancestors(F.col("path")))).alias("old"))
     hit = keys.join(rename_map.select("old", "new"), "old")
     new_path = F.concat("new", F.substring(F.col("path"), F.length("old") + 1, F.length("path")))
     return hit.groupBy(F.col("path").alias("old_path")).agg(
@@ -245,7 +245,7 @@ def merge_would_cycle(package_edges: DataFrame, candidates: DataFrame, imports:
     pairs = candidates.select(F.col("target").alias("source"), F.col("source").alias("target"))
     chains = shortest_chain(package_edges, pairs)
     links = chains.select(F.col("target").alias("pkg"), F.col("source").alias("into"),
-                          F.explode("chain").alias("_package")).filter(F.col("pkg") != F.col("_package"))
+                          F.explode_outer("chain").alias("_package")).filter(F.col("pkg") != F.col("_package"))
     named = imports.select("pkg", "module", F.replace(
         F.regexp_extract("module", r"^([^:/.]+)", 1), F.lit("_"), F.lit("-")).alias("_package")).distinct()
     offending = links.join(named, ["pkg", "_package"]).groupBy("pkg", "into").agg(
@@ -282,7 +282,7 @@ def import_cleanup(imports: DataFrame, deleted: DataFrame) -> DataFrame:
     items = F.filter(F.transform(F.split(F.regexp_extract("statement", braces, 1), ","), lambda i: F.trim(i)),
                      lambda i: i != "")
     lines = lines.select("path", "line", "statement", items.alias("_items"))
-    gone = lines.select("path", "line", F.explode("_items").alias("name")).join(
+    gone = lines.select("path", "line", F.explode_outer("_items").alias("name")).join(
         deleted.select("name").distinct(), "name", "left_semi").groupBy("path", "line").agg(
         F.collect_set("name").alias("_gone"))
     df = lines.join(gone, ["path", "line"]).withColumn("_left", F.array_except("_items", "_gone"))

@@ -28,13 +28,14 @@ def extract_imports(
     patterns = [*IMPORT_PATTERNS, *extra]
     lines = files.select(
         *keep, _languages(files).alias("language"),
-        F.posexplode(lines_of(F.col("content"))).alias("line", "statement"))
+        F.posexplode_outer(lines_of(F.col("content"))).alias("line", "statement"))
     hint = F.col("statement").rlike(r"import|require|use |source|^\s*\.[ \t]|from")
     if not extra:
         lines = lines.filter(hint)
     hits = lines.select(
         *keep, "language", F.col("line").cast("bigint").alias("line"), "statement",
-        F.explode(first_hits(F.col("statement"), F.col("language"), patterns)).alias("h"))
+        F.explode_outer(first_hits(F.col("statement"), F.col("language"), patterns)).alias("h")).filter(
+        "h is not null")
     kind = F.col("h.kind")
     return hits.select(
         *keep, "language", F.col("h.name").alias("module_path"), kind.alias("import_type"),
@@ -84,7 +85,7 @@ def import_bindings(imports: DataFrame) -> DataFrame:
         F.lit(False).alias("type_only")))).otherwise(none)
     named = F.when(c.contains("{"), _named(F.regexp_extract(c, r"\{(.*)\}", 1))).otherwise(none)
     out = df.select("path", "module_path", "line", "import_type", F.col("type_only").alias("_typed"),
-                    F.explode(F.concat(default, namespace, named)).alias("b"))
+                    F.explode_outer(F.concat(default, namespace, named)).alias("b")).filter("b is not null")
     return out.select(
         "path", "module_path", "line", "b.binding", "b.name", "b.alias",
         (F.col("b.type_only") | F.col("_typed")).alias("type_only"),
@@ -112,7 +113,7 @@ def extract_links(files: DataFrame, html: bool = False, keep: tuple[str, ...] =
         found(INLINE_LINK, "inline"), found(LINK_DEFINITION, "definition"), found(AUTOLINK, "autolink")]
     may = c.contains("href=") if html else (
         c.contains("](") | c.contains("]:") | (c.contains("<") & c.contains(">")))
-    links = files.filter(may).select(*keep, F.explode(F.concat(*sources)).alias("l"))
+    links = files.filter(may).select(*keep, F.explode_outer(F.concat(*sources)).alias("l"))
     target = F.col("l.target")
     links = links.filter(~target.rlike(r"^(?:http://|https://|mailto:|ftp://|#)"))
     clean = F.regexp_replace(F.substring_index(target, "#", 1), r"^(?:\./)+", "")
@@ -129,7 +130,7 @@ def scan_references(files: DataFrame, modules: DataFrame, scope: str = "all") ->
     """
     if scope not in ("declarations", "qualified_paths", "all"):
         raise ValueError(f"unknown scan scope: {scope!r}")
-    lines = files.select("path", F.posexplode(lines_of(F.col("content"))).alias("line", "text"))
+    lines = files.select("path", F.posexplode_outer(lines_of(F.col("content"))).alias("line", "text"))
     text = F.col("text")
     none = F.array().cast("array<struct<kind:string,module:string>>")
     tag = lambda kind, names: F.transform(
@@ -157,7 +158,7 @@ def scan_references(files: DataFrame, modules: DataFrame, scope: str = "all") ->
     if scope == "all":
         sets.append(tag("string_literal", F.array_distinct(inside)))
     found = lines.select("path", F.col("line").cast("bigint").alias("line"),
-                         F.explode(F.concat(none, *sets)).alias("r")).select(
+                         F.explode_outer(F.concat(none, *sets)).alias("r")).select(
         "path", "line", "r.kind", "r.module")
     return found.join(modules.select("module").distinct(), "module", "left_semi").select(
         "path", "line", "kind", "module")
@@ -173,7 +174,7 @@ def _apply_aliases(imports: DataFrame, aliases: DataFrame | None) -> DataFrame:
         F.when(F.col("pattern").contains("*"), F.substring_index("pattern", "*", -1)).alias("_suffix"),
         "replacement", "rank")
     specs = imports.select("module_path").distinct()
-    keyed = specs.select("module_path", F.explode(F.transform(
+    keyed = specs.select("module_path", F.explode_outer(F.transform(
         F.sequence(F.lit(0), F.length("module_path")),
         lambda n: F.substring(F.col("module_path"), F.lit(1), n))).alias("_prefix"))
     hit = keyed.join(star, "_prefix").filter(
@@ -225,7 +226,7 @@ def resolve_imports(
         F.when(anchored & (swapped != F.col("_base")), key("stem", swapped, 2)),
         F.when(name != "", key("name", name, 4)),
     )
-    lookups = wanted.select("_dir", "_spec", F.explode(F.array_compact(keys)).alias("k")).select(
+    lookups = wanted.select("_dir", "_spec", F.explode_outer(F.array_compact(keys)).alias("k")).select(
         "_dir", "_spec", "k.key", "k.how")
     path = F.col("path")
     stem = without_extension(path)
@@ -236,7 +237,7 @@ def resolve_imports(
         F.when(order > 1, F.struct(F.concat(F.lit("stem:"), stem).alias("key"), order.alias("rank"))),
         F.struct(F.concat(F.lit("name:"), file_name(path)).alias("key"), F.length(path).cast("bigint").alias("rank")),
     )
-    index = files.select("path").select(F.explode(F.array_compact(entries)).alias("e"), "path").groupBy(
+    index = files.select("path").select(F.explode_outer(F.array_compact(entries)).alias("e"), "path").groupBy(
         F.col("e.key").alias("key")).agg(F.min(F.struct(F.col("e.rank").alias("rank"), path.alias("path"))).alias("hit"))
     best = lookups.join(index, "key").groupBy("_dir", "_spec").agg(
         F.min_by("hit.path", "how").alias("target"))

@@ -35,14 +35,15 @@ def _package_json(files: DataFrame) -> DataFrame:
         F.transform(F.coalesce(F.map_entries(F.col(f"j.{s}")), F.array().cast("array<struct<key:string,value:string>>")),
                     lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec")))
         for s in PACKAGE_SECTIONS]))
-    rows = df.select("manifest", F.col("j.name").alias("pkg"), F.posexplode(entries).alias("position", "d"))
+    rows = df.select("manifest", F.col("j.name").alias("pkg"), F.posexplode_outer(entries).alias("position", "d")).filter(
+        "d is not null")
     return rows.select(
         "manifest", "pkg", "d.section", "d.name", "d.spec", F.array().cast("array<string>").alias("features"),
         F.lit(False).alias("optional"), F.col("position").cast("bigint").alias("position"))
 
 
 def _requirements(files: DataFrame) -> DataFrame:
-    lines = files.select(F.col("path").alias("manifest"), F.posexplode(lines_of(F.col("content"))).alias("position", "line"))
+    lines = files.select(F.col("path").alias("manifest"), F.posexplode_outer(lines_of(F.col("content"))).alias("position", "line"))
     line = F.trim(F.col("line"))
     lines = lines.withColumn("_l", F.regexp_replace(line, r"^([^\[]*)\[[^\]]*\]", "$1")).filter(
         (line != "") & ~line.startswith("#"))

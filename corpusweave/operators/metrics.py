@@ -88,8 +88,8 @@ def function_bodies(files: DataFrame) -> DataFrame:
     """
     df = files.select("path", _language(files).alias("language"), "symbols",
                       lines_of(F.col("content")).alias("_lines"))
-    df = df.select("path", "language", "_lines", F.explode(F.filter(
-        "symbols", lambda s: s["kind"].isin("function", "method"))).alias("s"))
+    df = df.select("path", "language", "_lines", F.explode_outer(F.filter(
+        "symbols", lambda s: s["kind"].isin("function", "method"))).alias("s")).filter("s is not null")
     df = df.select("path", "language", F.col("s.name").alias("name"), F.col("s.line").alias("line"),
                    F.slice("_lines", F.col("s.line").cast("int") + 1, F.lit(MAX_BODY_LINES)).alias("_window"))
     # Only braces and line breaks matter for the end of a body.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casing import case_style, in_style
-from ..functions.text import lines_of, quoted
+from ..functions.text import bind, lines_of, quoted
 from ..sources.corpus import Scope, apply_scope
 from .search import GAP, WORD_CHAR, Regex, checked_regex, literal_search, regex_search
 
@@ -135,9 +135,10 @@ def replaced_text(
     if not whole_word:
         return F.replace(content, F.lit(pattern), F.lit(replacement))
     # Keep the plain left-to-right scan, then decide per hit from its neighbours.
-    gaps = F.split(content, quoted(pattern), -1)
+    def rebuilt(gaps: Column) -> Column:
+        return F.array_join(F.transform(gaps, lambda gap, i: piece(gaps, gap, i)), "")
 
-    def piece(gap: Column, i: Column) -> Column:
+    def piece(gaps: Column, gap: Column, i: Column) -> Column:
         following = F.get(gaps, i + 1)
         more = i + 2 < F.size(gaps)
         before = F.when(gap != "", F.substring(gap, -1, 1)).when(i > 0, pattern[-1]).otherwise("")
@@ -147,7 +148,7 @@ def replaced_text(
         hit = F.when(following.isNull(), "").when(whole, replacement).otherwise(pattern)
         return F.concat(gap, hit)
 
-    return F.when(content.contains(pattern), F.array_join(F.transform(gaps, piece), "")).otherwise(
+    return F.when(content.contains(pattern), bind(F.split(content, quoted(pattern), -1), rebuilt)).otherwise(
         content)
 
 
@@ -155,11 +156,11 @@ def remove_lines(files: DataFrame, predicate: Callable[[Column], Column]) -> Dat
     """Drop the lines a predicate holds for; line ending style and last break stay."""
     crlf = F.col("content").contains("\r\n")
     ending = F.when(crlf, "\r\n").otherwise("\n")
-    df = files.select("*", lines_of(F.col("content")).alias("_lines"), ending.alias("_ending"))
+    df = files.select("*", lines_of(F.col("content")).alias("_lines"))
     df = df.withColumn("_kept", F.filter("_lines", lambda line: ~predicate(line)))
-    body = F.concat_ws(F.col("_ending"), F.col("_kept"))
+    body = F.when(crlf, F.array_join("_kept", "\r\n")).otherwise(F.array_join("_kept", "\n"))
     closed = F.when(F.col("content").endswith("\n") & (F.size("_kept") > 0),
-                    F.concat(body, F.col("_ending"))).otherwise(body)
+                    F.concat(body, ending)).otherwise(body)
     removed = (F.size("_lines") - F.size("_kept")).cast("bigint")
     return df.select(
         "path", "content",
@@ -192,7 +193,7 @@ def bulk_rename(files: DataFrame, rename_map: DataFrame) -> DataFrame:
     """
     word = r"[\p{IsAlphabetic}\p{N}_]+"
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))
-    uses = files.select("path", F.explode(words).alias("old"))
+    uses = files.select("path", F.explode_outer(words).alias("old"))
     renames = rename_map.groupBy("old").agg(F.min("new").alias("new"))
     per_file = uses.join(renames, "old").groupBy("path").agg(
         F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_map"))
@@ -240,13 +241,13 @@ def _with_renames(files: DataFrame, rename_map: DataFrame, key: Column) -> DataF
     a map of any size works and files without a mention drop out.
     """
     token = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w.@~+-]+(?:[/\\][\w.@~+-]*)*"), F.lit(0)))
-    uses = files.select("path", F.explode(token).alias("_token"))
+    uses = files.select("path", F.explode_outer(token).alias("_token"))
     # All runs of segments of a token are keys, so `a/b` is found in `../x/a/b/c.md`.
-    parts = F.split("_token", "/")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.size(parts) - i + 1),
-        lambda n: F.array_join(F.slice(parts, i, n), "/"))))
-    keys = uses.select("path", F.explode(F.array_distinct(runs)).alias("_key")).distinct()
+    runs = bind(F.split("_token", "/"), lambda parts: F.flatten(F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(
+            F.sequence(F.lit(1), F.size(parts) - i + 1),
+            lambda n: F.array_join(F.slice(parts, i, n), "/")))))
+    keys = uses.select("path", F.explode_outer(F.array_distinct(runs)).alias("_key")).distinct()
     renames = rename_map.select("old", "new", key.alias("_key"))
     found = keys.join(renames, "_key").groupBy("path").agg(
         F.array_sort(F.collect_set(F.struct("old", "new"))).alias("_renames"))

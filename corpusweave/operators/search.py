@@ -78,7 +78,7 @@ def _positions(df: DataFrame, gaps: str, hits: Column) -> DataFrame:
 
 
 def _emit(df: DataFrame, keep: list[str], extra: list[str] = ()) -> DataFrame:
-    out = df.select(*keep, F.explode("_matches").alias("m"))
+    out = df.select(*keep, F.explode_outer("_matches").alias("m")).filter("m is not null")
     return out.select(*keep, "m.*", *extra)
 
 
@@ -178,8 +178,8 @@ def regex_search(files: DataFrame, pattern: str, keep: tuple[str, ...] = ("path"
 def case_style_census(files: DataFrame, keys: tuple[str, ...] = ("language",)) -> DataFrame:
     """Identifiers per case style. Counted per distinct word first, so a word that fills
     a third of the corpus is classified once per task."""
-    token = F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
-    words = files.select(*keys, token.alias("word")).groupBy(*keys, "word").agg(
+    token = F.explode_outer(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    words = files.select(*keys, token.alias("word")).filter("word is not null").groupBy(*keys, "word").agg(
         F.count("*").alias("n"))
     return words.groupBy(*keys, case_style(F.col("word")).alias("style")).agg(
         F.sum("n").alias("uses"), F.count("*").alias("identifiers"))
@@ -194,7 +194,7 @@ def symbol_occurrences(files: DataFrame, symbols: DataFrame) -> DataFrame:
     Quoted spans are cut per line (a quote left open runs to the line's end).
     Words are joined to the symbol names; only words that are symbols travel.
     """
-    lines = files.select("path", F.posexplode(lines_of(F.col("content"))).alias("line", "text"))
+    lines = files.select("path", F.posexplode_outer(lines_of(F.col("content"))).alias("line", "text"))
     # Cut spans keep their length so that columns stay right.
     spans = F.regexp_extract_all("text", F.lit(QUOTED_SPAN), F.lit(0))
     pieces = F.split(F.regexp_replace("text", QUOTED_SPAN, GAP), GAP, -1)
@@ -208,7 +208,7 @@ def symbol_occurrences(files: DataFrame, symbols: DataFrame) -> DataFrame:
         F.size("_words") > 0)
     df = df.withColumn("_ends", running_sum(F.zip_with("_gaps", "_words", lambda g, w: (
         F.length(g) + F.coalesce(F.length(w), F.lit(0))).cast("bigint"))))
-    uses = df.select("path", "line", F.posexplode(F.zip_with("_words", "_ends", lambda w, e: F.struct(
+    uses = df.select("path", "line", F.posexplode_outer(F.zip_with("_words", "_ends", lambda w, e: F.struct(
         w.alias("name"), (e - F.length(w)).alias("col")))).alias("_i", "_u")).select(
         "path", F.col("line").cast("bigint").alias("line"), F.col("_u.col").alias("col"),
         F.col("_u.name").alias("name"))
@@ -244,13 +244,13 @@ def literal_occurrences(files: DataFrame, min_uses: int = 2) -> DataFrame:
 
     These are the candidates for a named constant.
     """
-    lines = files.select("path", F.explode(lines_of(F.col("content"))).alias("line")).filter(
+    lines = files.select("path", F.explode_outer(lines_of(F.col("content"))).alias("line")).filter(
         F.col("line").rlike(r"[0-9\"']"))
     df = lines.withColumn("_hits", F.regexp_extract_all("line", F.lit(LITERAL), F.lit(0))).withColumn(
         "_gaps", F.split("line", LITERAL, -1)).filter(F.size("_hits") > 0)
     df = df.withColumn("_ends", running_sum(F.zip_with("_gaps", "_hits", lambda g, h: (
         F.length(g) + F.coalesce(F.length(h), F.lit(0))).cast("bigint"))))
-    df = df.select("path", "line", F.explode(F.arrays_zip(
+    df = df.select("path", "line", F.explode_outer(F.arrays_zip(
         F.col("_hits").alias("literal"), F.col("_gaps").alias("gap"),
         F.slice("_ends", F.lit(1), F.size("_hits")).alias("end"))).alias("h"))
     df = df.select("path", "line", F.col("h.literal").alias("literal"), F.col("h.gap").alias("gap"),

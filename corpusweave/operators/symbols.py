@@ -54,7 +54,7 @@ def with_symbols(files: DataFrame, extra: tuple[Pattern, ...] = ()) -> DataFrame
 
 def extract_symbols(files: DataFrame, extra: tuple[Pattern, ...] = ()) -> DataFrame:
     """One row per declaration: path, name, kind, line and end line."""
-    rows = with_symbols(files, extra).select("path", "language", F.explode("symbols").alias("s"))
+    rows = with_symbols(files, extra).select("path", "language", F.explode_outer("symbols").alias("s")).filter("s is not null")
     return rows.select("path", "language", "s.*")
 
 
@@ -64,13 +64,13 @@ def outline(files: DataFrame, html: bool = False, keep: tuple[str, ...] = ("path
         heads = F.regexp_extract_all("content", F.lit(r"(?is)<(h[1-6])(?:\s[^>]*)?>"), F.lit(1))
         titles = F.regexp_extract_all("content", F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]>"), F.lit(1))
         rows = files.filter(F.col("content").rlike("(?i)<h[1-6]")).select(
-            *keep, F.posexplode(F.arrays_zip(heads.alias("h"), titles.alias("t"))).alias("position", "z"))
+            *keep, F.posexplode_outer(F.arrays_zip(heads.alias("h"), titles.alias("t"))).alias("position", "z"))
         level = F.substring("z.h", 2, 1).cast("bigint")
         title = F.trim(F.regexp_replace("z.t", "<[^>]*>", ""))
         rows = rows.select(*keep, F.col("position").cast("bigint").alias("position"),
                            level.alias("level"), title.alias("title")).filter(F.col("title").isNotNull())
     else:
-        lines = files.select(*keep, F.posexplode(lines_of(F.col("content"))).alias("position", "line"))
+        lines = files.select(*keep, F.posexplode_outer(lines_of(F.col("content"))).alias("position", "line"))
         mark = F.regexp_extract("line", r"^(#{1,6})\s+.+$", 1)
         rows = lines.filter(mark != "").select(
             *keep, F.col("position").cast("bigint").alias("position"),

@@ -41,7 +41,7 @@ def latency_percentiles(requests: DataFrame, keys: tuple[str, ...] = (), percent
     totals = requests.groupBy(*keys).agg(
         F.count("*").alias("requests"), F.min("ms").alias("min_ms"),
         _mean(F.sum(F.col("ms").cast("decimal(18,6)")), F.count("*")).alias("mean_ms"), F.max("ms").alias("max_ms"))
-    wanted = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.array(*[
+    wanted = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode_outer(F.array(*[
         F.struct(F.lit(p).alias("p"), (F.floor(F.col("requests") * p / 100) + 1).cast("bigint").alias("r"))
         for p in percents])).alias("w"))
     on = [ranked["_rank"] == F.col("w.r"), *[ranked[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]]

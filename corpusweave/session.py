@@ -21,6 +21,7 @@ def local_session(cores: str = "8", name: str = "corpusweave", **extra: str) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "20g")
         .config("spark.sql.shuffle.partitions", "8")
     )

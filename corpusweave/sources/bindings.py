@@ -139,6 +139,26 @@ Write <docs/p<<c_custkey % 40>>.md> or <mailto:x@example.com> or [here](#local).
 DOC_CORPUS = f"""select concat('docs/g', cast(c_custkey as string), '.md') as path,
   {text_sql(_MARKDOWN)} as content from customer"""
 
+_YAML = """# paths of src/m<<k % 20>>
+src/m<<k % 20>>: keep
+entry: src/m<<k % 20>>/main.ts # src/m<<k % 20>>/x
+items:
+  - src/m<<k % 20>>/a.yml
+  - plain src
+note: m<<k % 20>>
+
+"""
+_IGNORE = """# src/m<<k % 20>>/
+src/m<<k % 20>>/dist
+*.log
+m<<k % 20>>
+"""
+CONFIG_CORPUS = f"""select concat('conf/c', cast(k as string), '.yml') as path, {text_sql(_YAML)} as content
+from (select c_custkey k from customer) a
+union all
+select concat('conf/c', cast(k as string), '/.gitignore') as path, {text_sql(_IGNORE)} as content
+from (select c_custkey k from customer) b"""
+
 _PACKAGE = """{"name":"pkg<<k>>","version":"1.<<k % 10>>.0","dependencies":{"pkg<<(k * 7 + 3) % n>>":"^1.<<k % 10>>.0","lodash":"<<case k % 6 when 0 then '*' when 1 then '~4.17' when 2 then '4.17.21' when 3 then 'git+https://x.org/l.git#main' when 4 then '>=4 || 5' else 'https://x.org/l.tgz' end>>"},"devDependencies":{"pkg<<(k * 5 + 1) % n>>":"file:../p","jest":"<<k % 30>>.1"}}"""
 _REQUIREMENTS = """# pinned for pkg<<k>>
 requests==2.<<k % 31>>.0
@@ -176,7 +196,7 @@ from events where event_type <> 'error'"""
 RUNS = """select concat('proj', cast(o_custkey % 20 as string)) as project, o_orderkey as run_id,
   concat('t', cast(o_orderkey % 37 as string)) as test_name, o_orderstatus <> 'F' as passed,
   case o_orderkey % 3 when 0 then null else o_orderstatus = 'O' end as build_passed,
-  cast(o_totalprice as bigint) as operation_ms, cast(o_totalprice as bigint) + o_orderkey % 1000 as total_ms
+  cast(floor(o_totalprice) as bigint) as operation_ms, cast(floor(o_totalprice) as bigint) + o_orderkey % 1000 as total_ms
 from orders"""
 
 # Planned edits: several plans, files and edit kinds; ranges overlap and repeat.
@@ -186,9 +206,9 @@ EDITS = """select concat('plan', cast(o_custkey % 200 as string)) as plan_id,
   o_orderkey as edit_no,
   case o_orderkey % 9 when 0 then 'create' when 1 then 'delete' when 2 then 'move' else 'replace' end as edit_type,
   case o_orderkey % 5 when 0 then 'import' when 1 then 'string_literal' when 2 then 'documentation' when 3 then 'comment' else 'configuration' end as category,
-  cast(o_totalprice as bigint) % 97 as line,
-  cast(o_totalprice as bigint) % 9973 as start_off,
-  cast(o_totalprice as bigint) % 9973 + o_custkey % 40 as end_off,
+  cast(floor(o_totalprice) as bigint) % 97 as line,
+  cast(floor(o_totalprice) as bigint) % 9973 as start_off,
+  cast(floor(o_totalprice) as bigint) % 9973 + o_custkey % 40 as end_off,
   case o_orderkey % 6 when 0 then './util' when 1 then 'name' when 2 then 'lib/a.ts' when 3 then 'x.py' when 4 then '..' else 'word' end as original_text,
   concat('n', cast(o_orderkey % 3 as string)) as new_text,
   o_orderstatus <> 'P' as valid
@@ -199,6 +219,7 @@ BINDINGS = {
     "import_corpus": IMPORT_CORPUS,
     "code_corpus": CODE_CORPUS,
     "doc_corpus": DOC_CORPUS,
+    "config_corpus": CONFIG_CORPUS,
     "manifests": MANIFESTS,
     "dependencies": DEPENDENCIES,
     "requests": REQUESTS,
@@ -223,6 +244,9 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
-    """`body` with the named bindings in front, for the checking engine."""
+    """`body` with the named bindings in front, for the checking engine.
+
+    A body that starts with a comma goes on with further named parts.
+    """
     parts = ",\n".join(f"{n} as ({BINDINGS[n]})" for n in names)
     return f"with {'recursive ' if recursive else ''}{parts}\n{body}" if parts else body

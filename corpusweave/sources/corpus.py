@@ -183,8 +183,8 @@ def text_gate(files: DataFrame) -> DataFrame:
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 0, without line endings."""
     return files.select(
-        "path", F.posexplode(lines_of(F.col("content"))).alias("line_no", "line")
-    )
+        "path", F.posexplode_outer(lines_of(F.col("content"))).alias("line_no", "line")
+    ).filter("line is not null")
 
 
 def write_rewritten(df: DataFrame, path: str, dry_run: bool = True,
