@@ -33,6 +33,11 @@ def occurrences(text: Column, piece: str) -> Column:
     return (shorter / len(piece)).cast("bigint")
 
 
+def micros(moment: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without zone."""
+    return F.unix_micros(moment.cast("timestamp"))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once, also inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,11 +12,15 @@ def _windows(files: DataFrame, size: int) -> DataFrame:
     128 bits of hash stand for the run, so the tokens do not travel.
     """
     tokens = F.filter(F.split("content", r"\s+"), lambda t: t != "")
-    df = files.select("path", tokens.alias("_t")).filter(F.size("_t") >= size)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_t") - size + 1), lambda i: F.struct(
+    # Tokens become numbers once; a window then hashes numbers, not texts.
+    numbers = F.transform(tokens, lambda t: F.xxhash64(t))
+    df = files.select("path", numbers.alias("_t"))
+    starts = F.when(F.size("_t") >= size, F.sequence(F.lit(1), F.size("_t") - size + 1))
+    hashes = F.transform(starts, lambda i: F.struct(
         F.xxhash64(F.slice("_t", i, size)).alias("h1"),
         F.xxhash64(F.lit(size), F.slice("_t", i, size)).alias("h2")))
-    return df.select("path", F.posexplode_outer(hashes).alias("position", "h")).select(
+    rows = df.select("path", F.posexplode_outer(hashes).alias("position", "h")).filter("h is not null")
+    return rows.select(
         "path", F.col("position").cast("bigint").alias("position"), "h.h1", "h.h2")
 
 

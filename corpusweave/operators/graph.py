@@ -109,7 +109,7 @@ def reachable(
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     keys = ["source", "path"] if per_source else ["path"]
-    steps = edges.select(F.col(a).alias("path"), F.col(b).alias("_next")).distinct()
+    steps = pinned(edges.select(F.col(a).alias("path"), F.col(b).alias("_next")).distinct())
     start = sources.select("path").distinct()
     if per_source:
         start = start.select(F.col("path").alias("source"), "path")
@@ -140,7 +140,7 @@ def shortest_chain(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
     The search runs once per distinct source and drops a source as soon as all
     its targets are found. A node keeps the first of its equally short chains.
     """
-    steps = edges.select(F.col("src").alias("path"), F.col("dst").alias("_next")).distinct()
+    steps = pinned(edges.select(F.col("src").alias("path"), F.col("dst").alias("_next")).distinct())
     pairs = pinned(pairs.select("source", "target").distinct())
     start = pairs.select("source").distinct().select(
         "source", F.col("source").alias("path"), F.array("source").alias("chain"))
@@ -209,9 +209,9 @@ def cycles(edges: DataFrame) -> DataFrame:
     smallest path spreads forward; whoever sends its own label back within that
     colour forms a group. Groups are removed and the rest starts over.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = pinned(edges.select("src", "dst").distinct())
     loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("path"))
-    rest = _trimmed(pinned(edges.filter(F.col("src") != F.col("dst"))))
+    rest = _trimmed(edges.filter(F.col("src") != F.col("dst")))
     groups = None
     while not rest.isEmpty():
         nodes = rest.select(F.col("src").alias("path")).distinct()

@@ -29,7 +29,7 @@ def manifest_kind(path: Column) -> Column:
 
 
 def _package_json(files: DataFrame) -> DataFrame:
-    fields = ", ".join(f"{s}: map<string,string>" for s in PACKAGE_SECTIONS)
+    fields = ", ".join(f"{s} map<string,string>" for s in PACKAGE_SECTIONS)
     df = files.select(F.col("path").alias("manifest"), F.from_json("content", f"name string, {fields}").alias("j"))
     entries = F.flatten(F.array(*[
         F.transform(F.coalesce(F.map_entries(F.col(f"j.{s}")), F.array().cast("array<struct<key:string,value:string>>")),

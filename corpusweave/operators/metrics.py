@@ -295,7 +295,7 @@ RATINGS = ["simple", "moderate", "complex", "very_complex"]
 def rating_distribution(functions: DataFrame) -> DataFrame:
     """Functions per rating, one column each, per project."""
     df = functions.withColumn("project", F.substring_index("path", "/", 1))
-    return df.groupBy("project").pivot("rating", RATINGS).agg(F.count("*")).na.fill(0)
+    return df.groupBy("project").pivot("rating", RATINGS).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def indent_census(files: DataFrame) -> DataFrame:

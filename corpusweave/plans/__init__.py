@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["files", "text", "edits", "references"]
+AREAS = ["files", "text", "edits", "references", "code", "packages", "signals"]
 
 
 def registered() -> dict:

@@ -107,7 +107,7 @@ def degrees(spark, sf):
 
 def _renames(spark, sf):
     return _corpus(spark, sf).select(F.regexp_extract("path", r"^(src/m\d+)/", 1).alias("old")).distinct().filter(
-        F.col("old").rlike("[02468]$")).withColumn("new", F.regexp_replace("old", "^src/m", "lib/deep/n"))
+        F.col("old").rlike("[0149]$")).withColumn("new", F.regexp_replace("old", "^src/m", "lib/deep/n"))
 
 
 def impacted(spark, sf):
@@ -190,7 +190,7 @@ GRAPH = """, n as (select count(*) as c from supplier), live as (select path, re
   edges as (select distinct path as src, target as dst from resolved where target is not null)"""
 
 MOVED = """, moves as (select path as old_path, regexp_replace(path, '^src/m([0-9]+)', 'lib/deep/n\\1') as new_path from live
-    where regexp_matches(path, '^src/m[02468]/'))"""
+    where regexp_matches(path, '^src/m[0149]/'))"""
 
 QUERIES = {
     "extract_imports": (code_imports, oracle("""

@@ -231,15 +231,34 @@ BINDINGS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; its times are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for work that is heavy per row, when the scan has fewer tasks than that.
+
+    A large table has more tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Bindings whose rows are texts, with the table each is made from.
+TEXTS = {
+    "files": "documents", "code_corpus": "part", "doc_corpus": "customer", "config_corpus": "customer",
+    "manifests": "customer",
+}
+
+
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding over the tables of one folder."""
     sql = BINDINGS[name]
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            rows = table(spark, sf_dir, t)
+            (spread(rows) if TEXTS.get(name) == t else rows).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Structured Streaming forms of the operators, each with a batch twin."""
