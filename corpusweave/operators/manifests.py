@@ -31,10 +31,13 @@ def manifest_kind(path: Column) -> Column:
 def _package_json(files: DataFrame) -> DataFrame:
     fields = ", ".join(f"{s} map<string,string>" for s in PACKAGE_SECTIONS)
     df = files.select(F.col("path").alias("manifest"), F.from_json("content", f"name string, {fields}").alias("j"))
-    entries = F.flatten(F.array(*[
-        F.transform(F.coalesce(F.map_entries(F.col(f"j.{s}")), F.array().cast("array<struct<key:string,value:string>>")),
-                    lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("spec")))
-        for s in PACKAGE_SECTIONS]))
+
+    def section(name: str) -> Column:
+        none = F.array().cast("array<struct<key:string,value:string>>")
+        return F.transform(F.coalesce(F.map_entries(F.col(f"j.{name}")), none), lambda e: F.struct(
+            F.lit(name).alias("section"), e["key"].alias("name"), e["value"].alias("spec")))
+
+    entries = F.flatten(F.array(*[section(s) for s in PACKAGE_SECTIONS]))
     rows = df.select("manifest", F.col("j.name").alias("pkg"), F.posexplode_outer(entries).alias("position", "d")).filter(
         "d is not null")
     return rows.select(

@@ -125,7 +125,7 @@ def paired(spark, sf):
     sent = events.select(F.col("event_id").alias("request_id"), F.col("ts").alias("req_ts"))
     # Every response comes `value` seconds after its request; some never come.
     answers = events.filter("event_type <> 'view'").select(
-        F.col("event_id").alias("request_id"), F.timestamp_micros(_us("ts") + (F.col("value") * 2_000_000).cast("bigint")).alias("resp_ts"))
+        F.col("event_id").alias("request_id"), F.timestamp_micros(_us("ts") + F.round(F.col("value") * 2_000_000).cast("bigint")).alias("resp_ts"))
     return rq.pair_requests(sent, answers).select("request_id", "status", F.round("ms", 3).alias("ms"))
 
 
@@ -211,7 +211,7 @@ QUERIES = {
     "stalled_tasks": (stalled, oracle("""
       select token, event_id as begin_id, title, 'failed' as state, 'timeout' as reason from progress b where kind = 'begin'
         and not exists (select 1 from progress e where e.kind = 'end' and e.token = b.token and e.ts between b.ts and b.ts + interval 12 hour)""", "progress")),
-    "pair_requests": (paired, """with e as (select event_id as request_id, event_type, (value * 2000000)::bigint as us from events)
+    "pair_requests": (paired, """with e as (select event_id as request_id, event_type, round(value * 2000000)::bigint as us from events)
       select request_id, case when event_type <> 'view' and us <= 60000000 then 'answered' else 'timeout' end as status,
         case when event_type <> 'view' and us <= 60000000 then round(us / 1000.0::double, 3) end as ms from e"""),
     "windowed_metrics": (windows, oracle(f"""select epoch_us(date_trunc('hour', ts)) as window_us, plugin, count(*) as requests, count(*) filter (ok) as ok, {MEAN} as mean_ms, max(ms) as max_ms from requests group by 1, 2""", "requests")),
