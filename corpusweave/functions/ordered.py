@@ -71,6 +71,31 @@ class Ordered:
     def row_number(self, name: str = "rank") -> "Ordered":
         return self.running_sum({name: F.lit(1).cast("bigint")})
 
+    def max_before(self, name: str, value: Column) -> "Ordered":
+        """Add the largest value of all rows before, per key; null for the first row."""
+        tops = self.rows.groupBy(*self.keys, BLOCK).agg(F.max(value).alias("_top"))
+        before = self._across().rowsBetween(Window.unboundedPreceding, -1)
+        base = tops.select(*self.keys, BLOCK, F.max("_top").over(before).alias("_base"))
+        inside = self._inside().rowsBetween(Window.unboundedPreceding, -1)
+        self.rows = self.rows.select("*", F.max(value).over(inside).alias(name))
+        self._carried(base)
+        self.rows = self.rows.withColumn(name, F.greatest(F.col(name), F.col("_base"))).drop("_base")
+        return self
+
+    def following(self, name: str, value: Column) -> "Ordered":
+        """Add the value of the row behind, per key."""
+        rank = F.struct(*[c for c in self.order])
+        first = self.rows.groupBy(*self.keys, BLOCK).agg(F.min_by(value, rank).alias("_first"))
+        base = first.select(*self.keys, BLOCK, F.lead("_first").over(self._across()).alias("_behind"))
+        w = self._inside()
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        self.rows = self.rows.select("*", F.lead(value).over(w).alias(name),
+                                     (F.row_number().over(w) == F.count("*").over(whole)).alias("_last"))
+        self._carried(base)
+        self.rows = self.rows.withColumn(
+            name, F.when(F.col("_last"), F.col("_behind")).otherwise(F.col(name))).drop("_behind", "_last")
+        return self
+
     def previous(self, name: str, value: Column) -> "Ordered":
         """Add the value of the row before, per key."""
         rank = F.struct(*[c for c in self.order])

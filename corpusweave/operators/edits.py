@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import Ordered
+
 # Kinds of edit.
 EDIT_TYPES = [
     "rename", "add_import", "remove_import", "update_import", "insert", "delete", "replace",
@@ -32,32 +34,26 @@ def _clusters(edits: DataFrame, keys: list[str]) -> DataFrame:
     """Number the groups of edits connected by overlaps, per file.
 
     An edit opens a new group when it starts at or behind every end before it.
-    A file's edits are bounded by its text once repeated edits are gone.
+    Runs over ranges of the sorted edits, so a file may hold most of them.
     """
-    w = Window.partitionBy(*keys).orderBy(*_span_order())
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("end_off").over(before)
-    opens = F.when(reach.isNull() | (F.col("start_off") >= reach), 1).otherwise(0)
-    return edits.withColumn("_opens", opens).withColumn(
-        "_cluster", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_opens")
+    rows = Ordered(edits, keys, _span_order()).max_before("_reach", F.col("end_off"))
+    opens = F.when(F.col("_reach").isNull() | (F.col("start_off") >= F.col("_reach")), 1).otherwise(0)
+    return rows.running_sum({"_cluster": opens.cast("bigint")}).result().drop("_reach")
 
 
 def overlapping_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Edits in conflict with another edit of their file, each with one edit it meets.
 
-    Ranges are half open, so touching edits do not conflict. One sort per file
-    finds them: an edit meets an earlier one exactly when it starts before the
+    Ranges are half open, so touching edits do not conflict. One sort finds
+    them, split into ranges of (file, start): an edit meets an earlier one exactly when it starts before the
     furthest end so far, and a later one when the next start lies before its
     end. All pairs are never built.
     """
-    w = Window.partitionBy(*keys).orderBy(*_span_order())
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    furthest = F.max(F.struct("end_off", "edit_no")).over(before)
-    following = F.lead(F.struct("start_off", "end_off", "edit_no")).over(w)
-    marked = edits.filter(F.col("end_off") > F.col("start_off")).select(
-        *keys, "edit_no", "start_off", "end_off",
-        furthest.alias("_before"), following.alias("_after"))
+    spans = edits.filter(F.col("end_off") > F.col("start_off")).select(
+        *keys, "edit_no", "start_off", "end_off")
+    ordered = Ordered(spans, list(keys), _span_order())
+    ordered.max_before("_before", F.struct("end_off", "edit_no"))
+    marked = ordered.following("_after", F.struct("start_off", "end_off", "edit_no")).result()
     earlier = F.coalesce(F.col("_before.end_off") > F.col("start_off"), F.lit(False))
     later = F.coalesce(F.col("_after.start_off") < F.col("end_off"), F.lit(False))
     return marked.filter(earlier | later).select(
@@ -183,10 +179,9 @@ def merge_plans(*plans: DataFrame, plan_id: str = "merged") -> DataFrame:
         "path", "edit_type", F.col("_first._plan").alias("_plan"), F.col("_first.edit_no").alias("edit_no"))
     kept_full = union.filter(full).join(first, ["path", "edit_type", "_plan", "edit_no"], "left_semi")
     merged = union.filter(~full).unionByName(kept_full)
-    w = Window.partitionBy("path").orderBy(
-        F.col("start_off").desc(), F.col("_plan"), F.col("edit_no"))
-    return merged.withColumn("apply_order", F.row_number().over(w).cast("bigint")).withColumn(
-        "plan_id", F.lit(plan_id)).drop("_plan")
+    order = [F.col("start_off").desc(), F.col("_plan"), F.col("edit_no")]
+    ranked = Ordered(merged, ["path"], order).row_number("apply_order").result()
+    return ranked.withColumn("plan_id", F.lit(plan_id)).drop("_plan")
 
 
 def plan_preview(edits: DataFrame) -> DataFrame:

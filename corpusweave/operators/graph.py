@@ -137,34 +137,49 @@ def has_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -
 def shortest_chain(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """For `pairs(source, target)` the path with the fewest hops, first in text order on a tie.
 
-    The search runs once per distinct source and drops a source as soon as all
-    its targets are found. A node keeps the first of its equally short chains.
+    Searches from both ends in turn and joins the two newest rings, so a chain
+    of n hops costs two searches of depth n/2. Each distinct source and target
+    is searched once, whatever the number of pairs, and only while a pair with
+    it is open. A node keeps the first of its equally short chains.
     """
-    steps = pinned(edges.select(F.col("src").alias("path"), F.col("dst").alias("_next")).distinct())
+    steps = pinned(edges.select("src", "dst").distinct())
     pairs = pinned(pairs.select("source", "target").distinct())
-    start = pairs.select("source").distinct().select(
-        "source", F.col("source").alias("path"), F.array("source").alias("chain"))
-    frontier = pinned(start)
-    seen = frontier.select("source", "path")
-    at = lambda f: f.select("source", F.col("path").alias("target"), "chain")
-    found = pairs.join(at(frontier), ["source", "target"])
+    found = pairs.filter(F.col("source") == F.col("target")).select("source", "target", F.array("source").alias("chain"))
     open_pairs = pairs.filter(F.col("source") != F.col("target"))
+
+    def ring(column: str) -> DataFrame:
+        ends = open_pairs.select(F.col(column).alias("end")).distinct()
+        return pinned(ends.select("end", F.col("end").alias("node"), F.array("end").alias("chain")))
+
+    # Per side: the newest ring, all nodes seen, the join column, the next node, and how a chain grows.
+    sides = [
+        {"ring": ring("source"), "on": "src", "next": "dst", "end": "source"},
+        {"ring": ring("target"), "on": "dst", "next": "src", "end": "target"},
+    ]
+    for side in sides:
+        side["seen"] = side["ring"].select("end", "node")
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while (max_depth is None or depth < max_depth) and not open_pairs.isEmpty():
+        side, other = sides[depth % 2], sides[1 - depth % 2]
         depth += 1
-        live = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
-        reached = live.join(steps, "path").select(
-            "source", F.col("_next").alias("path"), F.concat("chain", F.array("_next")).alias("chain"))
-        best = reached.groupBy("source", "path").agg(F.min("chain").alias("chain"))
-        fresh = pinned(best.join(seen, ["source", "path"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        found = found.unionByName(open_pairs.join(at(fresh), ["source", "target"]))
-        open_pairs = pinned(open_pairs.join(
-            fresh.select("source", F.col("path").alias("target")), ["source", "target"], "left_anti"))
-        if open_pairs.isEmpty():
-            break
-        seen, frontier = seen.unionByName(fresh.select("source", "path")), fresh
+        live = side["ring"].join(open_pairs.select(F.col(side["end"]).alias("end")).distinct(), "end", "left_semi")
+        onward = F.array(side["next"])
+        grown = F.concat("chain", onward) if side["next"] == "dst" else F.concat(onward, "chain")
+        reached = live.join(steps, F.col("node") == F.col(side["on"])).select("end", F.col(side["next"]).alias("node"), grown.alias("chain"))
+        best = reached.groupBy("end", "node").agg(F.min("chain").alias("chain"))
+        fresh = pinned(best.join(side["seen"], ["end", "node"], "left_anti"))
+        side["ring"], side["seen"] = fresh, side["seen"].unionByName(fresh.select("end", "node"))
+        head = sides[0]["ring"].select(F.col("end").alias("source"), "node", F.col("chain").alias("_head"))
+        tail = sides[1]["ring"].select(F.col("end").alias("target"), "node", F.col("chain").alias("_tail"))
+        met = open_pairs.join(head, "source").join(tail, ["target", "node"]).select(
+            "source", "target", F.concat("_head", F.slice("_tail", F.lit(2), F.size("_tail"))).alias("chain"))
+        chains = met.groupBy("source", "target").agg(F.min("chain").alias("chain"))
+        # A pair is given up once the search from either of its ends has run dry.
+        alive = fresh.select(F.col("end").alias(side["end"])).distinct().withColumn("_alive", F.lit(True))
+        state = pinned(open_pairs.join(chains, ["source", "target"], "left").join(alive, side["end"], "left").select(
+            "source", "target", "chain", "_alive"))
+        found = found.unionByName(state.filter("chain is not null").drop("_alive"))
+        open_pairs = state.filter("chain is null and _alive").select("source", "target")
     return found.select("source", "target", "chain", (F.size("chain") - 1).cast("bigint").alias("hops"))
 
 

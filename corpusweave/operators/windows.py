@@ -33,17 +33,27 @@ def running_latency(requests: DataFrame) -> DataFrame:
 def evict_oldest(index: DataFrame, max_entries: int) -> DataFrame:
     """Entries to drop from a full index: the oldest tenth of its capacity, at least one.
 
-    Sorting with a limit keeps that many rows per task, not the whole index.
     """
-    n = max(1, max_entries // 10)
     full = index.agg((F.count("*") >= max_entries).alias("full")).scalar()
-    return index.filter(full).orderBy("cached_at", "path").limit(n)
+    return slice_of(index.filter(full), ["cached_at", "path"], 0, max(1, max_entries // 10))
+
+
+# Sorting with a limit gathers offset + limit rows in one task; fine up to here.
+ONE_TASK_ROWS = 100_000
+
+
+def slice_of(df: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:
+    """Rows `offset` .. `offset + limit` of a total order; deep slices are cut by rank over many tasks."""
+    if offset + limit <= ONE_TASK_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    ranked = Ordered(df, [], order).row_number("_rank").result()
+    return ranked.filter((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).drop("_rank")
 
 
 def page(df: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:
     """Rows `offset` .. `offset + limit` of an order, with the total number of rows."""
     total = df.agg(F.count("*")).scalar()
-    return df.orderBy(*order).offset(offset).limit(limit).select(
+    return slice_of(df, order, offset, limit).select(
         "*", total.alias("total"), F.lit(offset).cast("bigint").alias("offset"),
         F.lit(limit).cast("bigint").alias("limit"))
 

@@ -163,3 +163,22 @@ def test_edit_sets(spark):
     assert rows(edits.dedupe_edits(df), "path", "edit_no") == [("a", 0), ("a", 1), ("b", 5)]
     with pytest.raises(Exception, match="unknown edit type"):
         edits.checked_edits(spark.createDataFrame([("zap",)], "edit_type string")).collect()
+
+
+def test_deep_slices_equal_sorting(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 101).alias("v"))
+    want = [r.id for r in w.slice_of(df, ["v", "id"], 300, 40).collect()]
+    monkeypatch.setattr(w, "ONE_TASK_ROWS", 0)
+    assert sorted(r.id for r in w.slice_of(df, ["v", "id"], 300, 40).collect()) == sorted(want)
+
+
+def test_max_before_and_following_on_a_hot_key(spark):
+    rng = random.Random(2)
+    data = [("hot" if i % 4 else "cold", rng.randrange(1000), i) for i in range(800)]
+    df = spark.createDataFrame(data, "k string, v bigint, id bigint")
+    out = Ordered(df, ["k"], ["id"]).max_before("top", F.col("v")).following("nxt", F.col("v")).result()
+    for key in ("hot", "cold"):
+        values = [d[1] for d in data if d[0] == key]
+        got = out.filter(F.col("k") == key).orderBy("id").collect()
+        assert [r.top for r in got] == [max(values[:i], default=None) for i in range(len(values))]
+        assert [r.nxt for r in got] == [*values[1:], None]

@@ -204,3 +204,14 @@ def test_corpus_from_folder_and_sink(spark, tmp_path):
     write_rewritten(changed, target, dry_run=False)
     assert rows(spark.read.parquet(target), "path", "content") == [("src/a.ts", "const a;\n")]
     assert as_files(files.select("path", "content")).columns == files.columns
+
+
+def test_table_functions(spark, files_of):
+    from corpusweave.functions.sql import register
+
+    register(spark)
+    files_of(("a.py", "import os\nfrom x import y")).createOrReplaceTempView("small_files")
+    got = spark.sql("select f.path, i.module_path, i.line from small_files f, lateral imports(f.content, 'python') i")
+    assert rows(got, "module_path", "line") == [("os", 0), ("x", 1)]
+    got = spark.sql("select m.start_off, m.matched_text from small_files f, lateral matches(f.content, '[a-z]+ort') m")
+    assert rows(got, "start_off", "matched_text") == [(0, "import"), (17, "import")]
