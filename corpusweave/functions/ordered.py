@@ -32,8 +32,8 @@ class Ordered:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]):
         self.keys = list(keys)
         self.order = _names(order)
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(parts, *[F.col(k) for k in self.keys], *self.order)
+        # Without a fixed number AQE merges neighbouring ranges of small data; order stays.
+        ranged = df.repartitionByRange(*[F.col(k) for k in self.keys], *self.order)
         self.rows = pinned(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
     def _inside(self):

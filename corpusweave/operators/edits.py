@@ -202,6 +202,13 @@ def plan_preview(edits: DataFrame) -> DataFrame:
         F.sum("_edits").alias("edits"))
 
 
+def plan_files(edits: DataFrame) -> DataFrame:
+    """The file sets behind `plan_preview`: one row per plan, path and what happens to it."""
+    kind = F.when(F.col("edit_type") == "create", "created").when(
+        F.col("edit_type") == "delete", "deleted").when(F.col("edit_type").isin("replace", "move"), "modified")
+    return edits.select("plan_id", "path", kind.alias("change")).filter(F.col("change").isNotNull()).distinct()
+
+
 def impact_level(edits: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
     """low up to 3 files, medium up to 10, else high; with edits per category if named."""
     by_category = [F.count_if(F.col("category") == c).alias(f"_{c}") for c in categories]

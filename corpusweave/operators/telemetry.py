@@ -47,11 +47,10 @@ def latency_percentiles(requests: DataFrame, keys: tuple[str, ...] = (), percent
     on = [ranked["_rank"] == F.col("w.r"), *[ranked[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
     hit = ranked.join(wanted, on).groupBy(*keys).agg(*[
         F.max(F.when(F.col("w.p") == p, F.col("ms"))).alias(f"p{p}_ms") for p in percents])
-    if not keys:
-        # Both sides hold exactly one row; the constant keeps this an equi-join.
-        one = F.lit(1).alias("_one")
-        return totals.select("*", one).join(hit.select("*", one), "_one").drop("_one")
-    return totals.join(hit, keys)
+    # Each side has one row per key; a grouping joins them up, with or without keys.
+    columns = [c for c in [*totals.columns, *hit.columns] if c not in keys]
+    both = totals.unionByName(hit, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in dict.fromkeys(columns)])
 
 
 def approximate_percentiles(requests: DataFrame, keys: tuple[str, ...] = (), accuracy: int = 10000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.edits import (
     apply_edits, atomic_plan_gate, contested_files, dedupe_edits, edit_reports, edit_statistics, impact_level,
-    merge_plans, overlapping_edits, path_edit_warnings, plan_overlap, plan_preview, stale_plans,
+    merge_plans, overlapping_edits, path_edit_warnings, plan_files, plan_overlap, plan_preview, stale_plans,
 )
 from ..sources.bindings import bound, oracle, table
 
@@ -64,6 +64,10 @@ def preview(spark, sf):
     return plan_preview(_edits(spark, sf))
 
 
+def files_of_plans(spark, sf):
+    return plan_files(_edits(spark, sf))
+
+
 def impact(spark, sf):
     return impact_level(_edits(spark, sf), ("import", "string_literal", "documentation", "configuration", "comment"))
 
@@ -145,6 +149,8 @@ QUERIES = {
     "plan_preview": (preview, oracle("""
       select plan_id, count(distinct path) filter (edit_type = 'create') as created_files, count(distinct path) filter (edit_type in ('replace', 'move')) as modified_files,
         count(distinct path) filter (edit_type = 'delete') as deleted_files, count(distinct path) as files, count(*) as edits from edits group by 1""", "edits")),
+    "plan_files": (files_of_plans, oracle("""
+      select distinct plan_id, path, case edit_type when 'create' then 'created' when 'delete' then 'deleted' else 'modified' end as change from edits""", "edits")),
     "impact_level": (impact, oracle("""
       select plan_id, count(distinct path) as files, case when count(distinct path) <= 3 then 'low' when count(distinct path) <= 10 then 'medium' else 'high' end as impact,
         count(*) filter (category = 'import') as import, count(*) filter (category = 'string_literal') as string_literal, count(*) filter (category = 'documentation') as documentation,

@@ -14,7 +14,7 @@ from ..operators.search import (
     case_style_census, literal_occurrences, literal_search, regex_search, symbol_occurrences,
 )
 from ..operators.symbols import extract_symbols
-from ..sources.bindings import bound, oracle
+from ..sources.bindings import bound, oracle, table
 from .files import LINES
 
 PAIR = r"([A-Z][a-z]+) (?P<second_word>t[a-z]*)"
@@ -60,6 +60,16 @@ def replaced_documents(spark, sf):
         replaced_text(F.col("content"), PAIR, "$2 $1", mode="regex").alias("regex"))
 
 
+def rewritten_tables(spark, sf):
+    """One rewrite over two text tables: hits and changed rows per table and kind."""
+    docs = _documents(spark, sf).select("path", F.concat(F.lit("documents/"), "language").alias("kind"), "content")
+    turns = table(spark, sf, "conversations").select(
+        F.concat_ws("/", "conv_id", "turn").alias("path"), F.concat(F.lit("conversations/"), "role").alias("kind"), F.col("text").alias("content"))
+    edits = find_replace(docs.unionByName(turns), "the", "that", whole_word=True, keep=("path", "kind"))
+    per_row = edits.groupBy("kind", "path").agg(F.count("*").alias("n"))
+    return per_row.groupBy("kind").agg(F.count("*").alias("changed"), F.sum("n").alias("edits"))
+
+
 def case_styles(spark, sf):
     files = bound(spark, sf, "code_corpus").withColumn("language", pattern_language_of(F.col("path")))
     return case_style_census(files)
@@ -163,6 +173,10 @@ QUERIES = {
       from (select unnest(regexp_extract_all(content, '(?i)the')) as hit from files) group by 1, 2""", "files")),
     "replaced_text": (replaced_documents, oracle(f"""
       select path, replace(content, 'and', 'und') as literal, regexp_replace(content, '{PAIR_SQL}', '\\2 \\1', 'g') as regex from files""", "files")),
+    "rewrite_two_tables": (rewritten_tables, """with t as (select 'documents/' || lang as kind, doc_id::varchar as path, text from documents
+        union all select 'conversations/' || role, conv_id || '/' || turn, text from conversations),
+      w as (select kind, path, text, len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda x: x = 'the')) as n from t)
+      select kind, count(*) as changed, sum(n)::bigint as edits from w where n > 0 group by 1"""),
     "case_style_census": (case_styles, oracle(f"""
       , words as (select language, t, count(*) as n from (select case right(path, 3) when '.ts' then 'typescript' when '.js' then 'javascript'
             when '.py' then 'python' else 'rust' end as language, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) as t from code_corpus) group by all),

@@ -32,21 +32,15 @@ def text_sql(template: str) -> str:
 FILES = """select concat(source, '/', cast(doc_id as string), '.txt') as path, 'txt' as ext,
   lang as language, text as content, n_chars as size_bytes from documents"""
 
-IMPORT_CORPUS = """select concat('src/m', cast(a.s % 10 as string), '/s', cast(a.s as string), '.ts') as path,
+# One file per supplier with up to two relative imports, some of them broken.
+_TARGET = "(s_suppkey * {m} + {p}) % (select count(*) from supplier) + 1"
+_IMPORT = text_sql("import { f<<t>> } from '../m<<t % 10>>/s<<t>>';")
+IMPORT_CORPUS = f"""select concat('src/m', cast(a.s % 10 as string), '/s', cast(a.s as string), '.ts') as path,
   concat(a.line, chr(10), coalesce(b.line, ''), chr(10),
-    case when a.s % 4 = 0 then concat('import fp from ', chr(39), 'lodash/fp', chr(39), ';') else '// no external' end,
-    chr(10), 'export function f', cast(a.s as string), '(a, b) {', chr(10),
-    '  if (a && b) { return 1; }', chr(10), '}') as content
-from (select s, k, concat('import { f', cast(t as string), ' } from ', chr(39), '../m', cast(t % 10 as string),
-        '/s', cast(t as string), chr(39), ';') as line
-      from (select s_suppkey s, (s_suppkey*7+3) % c + 1 t, 1 k from supplier cross join (select count(*) c from supplier) n
-            union all
-            select s_suppkey, (s_suppkey*11+5) % c + 1, 2 from supplier cross join (select count(*) c from supplier) n) e
-      where s <> t and k = 1) a
-left join (select s, concat('import { f', cast(t as string), ' } from ', chr(39), '../m', cast(t % 10 as string),
-        '/s', cast(t as string), chr(39), ';') as line
-      from (select s_suppkey s, (s_suppkey*11+5) % c + 1 t from supplier cross join (select count(*) c from supplier) n) e2
-      where s <> t) b on a.s = b.s"""
+    case when a.s % 4 = 0 then {text_sql("import fp from 'lodash/fp';")} else '// no external' end,
+    chr(10), {text_sql("export function f<<a.s>>(a, b) {")}, chr(10), '  if (a && b) {{ return 1; }}', chr(10), '}}') as content
+from (select s, {_IMPORT} as line from (select s_suppkey s, {_TARGET.format(m=7, p=3)} t from supplier) e1 where s <> t) a
+left join (select s, {_IMPORT} as line from (select s_suppkey s, {_TARGET.format(m=11, p=5)} t from supplier) e2 where s <> t) b on a.s = b.s"""
 
 _TS = """/* part <<p_name>>
  * block note
@@ -168,10 +162,10 @@ flask
 numpy~=1.2<<k % 9>>
 """
 MANIFESTS = f"""select concat('pkgs/p', cast(k as string), '/package.json') as path, {text_sql(_PACKAGE)} as content
-from (select c_custkey k, n from customer cross join (select count(*) n from customer) z) a
+from (select c_custkey k, (select count(*) from customer) n from customer) a
 union all
 select concat('pkgs/p', cast(k as string), '/requirements.txt') as path, {text_sql(_REQUIREMENTS)} as content
-from (select c_custkey k, n from customer cross join (select count(*) n from customer) z) b"""
+from (select c_custkey k, (select count(*) from customer) n from customer) b"""
 
 # Dependency rows without parsing, for the operators that take rows.
 DEPENDENCIES = """select concat('pkgs/p', cast(l_suppkey as string), '/package.json') as manifest,
