@@ -27,7 +27,10 @@ def _names(order: Sequence[Column | str]) -> list[Column]:
 
 
 class Ordered:
-    """Rows pinned in ranges of (`keys`, `order`); `order` must leave no ties."""
+    """Rows pinned in ranges of (`keys`, `order`); `order` must leave no ties.
+
+    `previous` and `following` take ascending orders only.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]):
         self.keys = list(keys)

@@ -20,7 +20,7 @@ def dispatch(spark, sf):
 
 
 def latency(spark, sf):
-    return w.running_latency(bound(spark, sf, "requests")).select("request_id", F.round("mean_ms", 6).alias("mean_ms"), F.round("plugin_mean_ms", 6).alias("plugin_mean_ms"))
+    return w.running_latency(bound(spark, sf, "requests")).select("request_id", "mean_ms", "plugin_mean_ms")
 
 
 def evicted(spark, sf):
@@ -126,7 +126,7 @@ def paired(spark, sf):
     # Every response comes `value` seconds after its request; some never come.
     answers = events.filter("event_type <> 'view'").select(
         F.col("event_id").alias("request_id"), F.timestamp_micros(_us("ts") + F.round(F.col("value") * 2_000_000).cast("bigint")).alias("resp_ts"))
-    return rq.pair_requests(sent, answers).select("request_id", "status", F.round("ms", 3).alias("ms"))
+    return rq.pair_requests(sent, answers).select("request_id", "status", "ms")
 
 
 def windows(spark, sf):
@@ -150,7 +150,7 @@ def write_units(spark, sf):
 
 
 def write_sessions(spark, sf):
-    out = ch.batched_write_units(bound(spark, sf, "operations"), "3600 seconds")
+    out = ch.batched_write_units(bound(spark, sf, "operations"), 3600)
     return out.select("path", _us("unit_start").alias("start_us"), _us("unit_end").alias("end_us"), "operations", "first_op", "last_op")
 
 
@@ -165,8 +165,8 @@ SESSIONS = """, p as (select *, lag(created_at) over (partition by path order by
 QUERIES = {
     "queue_order": (dispatch, oracle("select op_id, priority, row_number() over (order by priority, created_at, op_id) as dispatch_rank from operations", "operations")),
     "running_latency": (latency, oracle("""
-      select request_id, round(sum(ms::decimal(18,6)) over (order by ts, request_id)::double / row_number() over (order by ts, request_id), 6) as mean_ms,
-        round(sum(ms::decimal(18,6)) over (partition by plugin order by ts, request_id)::double / row_number() over (partition by plugin order by ts, request_id), 6) as plugin_mean_ms from requests""", "requests")),
+      select request_id, sum(ms::decimal(18,6)) over (order by ts, request_id)::double / row_number() over (order by ts, request_id) as mean_ms,
+        sum(ms::decimal(18,6)) over (partition by plugin order by ts, request_id)::double / row_number() over (partition by plugin order by ts, request_id) as plugin_mean_ms from requests""", "requests")),
     "evict_oldest": (evicted, oracle("select request_id::varchar as path, epoch_us(ts) as cached_us from requests order by ts, request_id::varchar limit 50", "requests")),
     "page": (paged, oracle("""select request_id, plugin, ms, (select count(*) from requests) as total, 40::bigint as "offset", 20::bigint as "limit"
       from (select * from requests order by ms desc, request_id limit 20 offset 40)""", "requests")),
@@ -213,7 +213,7 @@ QUERIES = {
         and not exists (select 1 from progress e where e.kind = 'end' and e.token = b.token and e.ts between b.ts and b.ts + interval 12 hour)""", "progress")),
     "pair_requests": (paired, """with e as (select event_id as request_id, event_type, round(value * 2000000)::bigint as us from events)
       select request_id, case when event_type <> 'view' and us <= 60000000 then 'answered' else 'timeout' end as status,
-        case when event_type <> 'view' and us <= 60000000 then round(us / 1000.0::double, 3) end as ms from e"""),
+        case when event_type <> 'view' and us <= 60000000 then us / 1000.0::double end as ms from e"""),
     "windowed_metrics": (windows, oracle(f"""select epoch_us(date_trunc('hour', ts)) as window_us, plugin, count(*) as requests, count(*) filter (ok) as ok, {MEAN} as mean_ms, max(ms) as max_ms from requests group by 1, 2""", "requests")),
     "sliding_metrics": (sliding, oracle("""
       , s as (select epoch_us(date_trunc('hour', ts)) - o * 3600000000 as window_us, plugin, ok from requests, (select unnest([0, 1]) as o))

@@ -41,14 +41,24 @@ def batched_writes(operations: DataFrame, gap_s: int = 600) -> DataFrame:
     return units.result()
 
 
-def batched_write_units(operations: DataFrame, gap: str = "600 seconds", delay: str = "10 minutes") -> DataFrame:
-    """Summary of each write unit, as a session window; the same code for batch and stream."""
-    df = operations.withWatermark("created_at", delay) if operations.isStreaming else operations
+def batched_write_units(operations: DataFrame, gap_s: int = 600, delay: str = "10 minutes") -> DataFrame:
+    """Summary of each write unit; session windows on a stream, numbered units in batch.
+
+    Session windows put a file's operations into one task, so the batch form
+    builds on `batched_writes` instead.
+    """
     order = F.struct("created_at", "op_id")
-    return df.groupBy(F.session_window("created_at", gap).alias("w"), "path").agg(
-        F.count("*").alias("operations"), F.min_by("op_id", order).alias("first_op"),
-        F.max_by("op_id", order).alias("last_op")).select(
-        "path", F.col("w.start").alias("unit_start"), F.col("w.end").alias("unit_end"), "operations", "first_op", "last_op")
+    measures = [F.count("*").alias("operations"), F.min_by("op_id", order).alias("first_op"),
+                F.max_by("op_id", order).alias("last_op")]
+    if operations.isStreaming:
+        windowed = operations.withWatermark("created_at", delay).groupBy(
+            F.session_window("created_at", f"{gap_s} seconds").alias("w"), "path").agg(*measures)
+        return windowed.select("path", F.col("w.start").alias("unit_start"), F.col("w.end").alias("unit_end"),
+                               "operations", "first_op", "last_op")
+    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_s))
+    units = batched_writes(operations, gap_s).groupBy("path", "unit").agg(
+        F.min("created_at").alias("unit_start"), (F.max("created_at") + gap).alias("unit_end"), *measures)
+    return units.drop("unit")
 
 
 def stream_find_replace(files: DataFrame, pattern: str, replacement: str, **options) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import Ordered
+from ..functions.text import micros
+
 
 def progress_state(progress: DataFrame) -> DataFrame:
     """State per token after all events so far; the same code for batch and stream.
@@ -33,30 +36,34 @@ def progress_state(progress: DataFrame) -> DataFrame:
         "events")
 
 
-def _tasks(progress: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stalled_in_stream(progress: DataFrame, timeout: str, delay: str) -> DataFrame:
+    """A begin is given up once the watermark passes its deadline; a later end meets nothing."""
     begins = progress.filter(F.col("kind") == "begin").select(
         "token", F.col("event_id").alias("begin_id"), F.col("ts").alias("begin_ts"), "title")
     ends = progress.filter(F.col("kind") == "end").select(
-        F.col("token").alias("end_token"), F.col("event_id").alias("end_id"), F.col("ts").alias("end_ts"))
-    return begins, ends
-
-
-def _late(timeout: str):
-    return (
+        F.col("token").alias("end_token"), F.col("ts").alias("end_ts"))
+    in_time = (
         (F.col("token") == F.col("end_token")) & (F.col("end_ts") >= F.col("begin_ts"))
         & (F.col("end_ts") <= F.col("begin_ts") + F.expr(f"interval {timeout}")))
+    joined = begins.withWatermark("begin_ts", delay).join(ends.withWatermark("end_ts", delay), in_time, "left_outer")
+    return joined.filter(F.col("end_token").isNull()).select("token", "begin_id", "begin_ts", "title")
 
 
-def stalled_tasks(progress: DataFrame, timeout: str = "30 seconds", delay: str = "0 seconds") -> DataFrame:
-    """Begins without an end in time, as failed with reason timeout.
+def _stalled_in_batch(progress: DataFrame, timeout: str) -> DataFrame:
+    """The next end of each begin by one ordered pass; a busy token never pairs all with all."""
+    end = F.col("kind") == "end"
+    edges = progress.filter(F.col("kind").isin("begin", "end")).select("token", "kind", "event_id", "ts", "title")
+    # Newest first, ends before begins of the same moment: the nearest end is the smallest seen.
+    order = [F.col("ts").desc(), end.desc(), F.col("event_id")]
+    rows = Ordered(edges, ["token"], order).max_before("_next", F.when(end, -micros(F.col("ts")))).result()
+    deadline = micros(F.col("ts") + F.expr(f"interval {timeout}"))
+    late = F.col("_next").isNull() | (-F.col("_next") > deadline)
+    return rows.filter((F.col("kind") == "begin") & late).select(
+        "token", F.col("event_id").alias("begin_id"), F.col("ts").alias("begin_ts"), "title")
 
-    An outer join with a time bound: on a stream a begin is given up once the
-    watermark passes its deadline, and an end that comes later meets nothing.
-    """
-    begins, ends = _tasks(progress)
-    if progress.isStreaming:
-        begins = begins.withWatermark("begin_ts", delay)
-        ends = ends.withWatermark("end_ts", delay)
-    joined = begins.join(ends, _late(timeout), "left_outer")
-    return joined.filter(F.col("end_token").isNull()).select(
-        "token", "begin_id", "begin_ts", "title", F.lit("failed").alias("state"), F.lit("timeout").alias("reason"))
+
+def stalled_tasks(progress: DataFrame, timeout: str = "30 seconds", delay: str = "0 seconds") -> DataFrame:
+    """Begins without an end in time, as failed with reason timeout."""
+    open_tasks = (_stalled_in_stream(progress, timeout, delay) if progress.isStreaming
+                  else _stalled_in_batch(progress, timeout))
+    return open_tasks.select("*", F.lit("failed").alias("state"), F.lit("timeout").alias("reason"))

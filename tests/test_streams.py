@@ -119,9 +119,11 @@ def test_throttling_and_write_units(spark, replay, tmp_path):
     ops = "op_id bigint, path string, created_at timestamp"
     frame = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(30)), (3, "a", at(500)), (4, "b", at(0))], ops)
     end = spark.createDataFrame([(9, "z", at(90000))], ops)
-    out, _ = drain(spark, ch.batched_write_units(replay(frame, end), "60 seconds"), tmp_path / "second")
+    out, _ = drain(spark, ch.batched_write_units(replay(frame, end), 60), tmp_path / "second")
     units = sorted((r.path, r.operations, r.first_op, r.last_op) for r in out.filter("path <> 'z'").collect())
     assert units == [("a", 1, 3, 3), ("a", 2, 1, 2), ("b", 1, 4, 4)]
+    twin = ch.batched_write_units(frame, 60)
+    assert sorted((r.path, r.operations, r.first_op, r.last_op) for r in twin.collect()) == units
     rows = ch.batched_writes(frame, 60)
     assert sorted((r.op_id, r.unit, r.position) for r in rows.collect()) == [(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 1, 1)]
 
