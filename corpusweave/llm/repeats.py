@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import hashing
 
-GROUPS_PER_PARTITION = 4
+GROUPS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 0.5  # answers are light; fewer buckets make fewer, fuller messages
 SENT_BYTES = 7
 
 ASK = "bucket int, group int, prints binary, known binary"
@@ -156,9 +157,10 @@ class RepeatedWindows:
         spark = docs.sparkSession
         self.spec = spec
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = self.parts * GROUPS_PER_PARTITION
+        self.groups = self.parts * GROUPS_PER_PARTITION
+        self.buckets = max(1, int(self.parts * BUCKETS_PER_PARTITION))
         keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-        keyed = keyed.withColumn("group", F.pmod("row_key", F.lit(self.buckets)).cast("int"))
+        keyed = keyed.withColumn("group", F.pmod("row_key", F.lit(self.groups)).cast("int"))
         #: All uses share one shuffle of the texts.
         self.texts = keyed.repartition(self.parts, "group")
         self.roles = self._roles(keyed)
