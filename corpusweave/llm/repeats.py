@@ -99,12 +99,12 @@ class _Laid:
         return np.cumsum(change[:-1]) > 0
 
 
-class _Question:
+class Question:
     """Distinct fingerprints of a group, in ascending order, and whether they are known to repeat."""
 
-    def __init__(self, prints: list[np.ndarray], known: list[np.ndarray]):
+    def __init__(self, prints: list[np.ndarray], known: list[np.ndarray] | None = None):
         every = np.concatenate([*prints, np.zeros(0, np.uint64)])
-        sure = np.concatenate([*known, np.zeros(0, bool)])
+        sure = np.zeros(len(every), bool) if known is None else np.concatenate([*known, np.zeros(0, bool)])
         self.values, where, times = np.unique(every, return_inverse=True, return_counts=True)
         self.known = (times > 1) | (np.bincount(where, weights=sure, minlength=len(times)) > 0)
         self.where = where
@@ -147,6 +147,11 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"group": table["group"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary())})
 
 
+def answered(asked: DataFrame) -> DataFrame:
+    """group, bucket, flags for what the groups `asked`."""
+    return asked.groupBy("bucket").applyInArrow(_answer, "group int, bucket int, flags binary")
+
+
 class RepeatedWindows:
     """Finds, for every text of `docs`, the units covered by windows that occur elsewhere.
 
@@ -175,8 +180,7 @@ class RepeatedWindows:
             F.lit(None).cast("binary").alias("flags"))
 
     def _answers(self, asked: DataFrame, kind: str) -> DataFrame:
-        answered = asked.groupBy("bucket").applyInArrow(_answer, "group int, bucket int, flags binary")
-        return answered.select(
+        return answered(asked).select(
             F.col("group").alias("to_group"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("about"), "bucket", "flags")
 
     def _stage(self, told: DataFrame, step: Callable, schema: str) -> DataFrame:
@@ -215,14 +219,14 @@ class _Group:
     def _asked_anchors(self):
         starts = [x.anchors(role != _OTHER_COPY) for x, role in self.laid]
         prints = [x.prints(s, self.spec.anchor) for (x, _), s in zip(self.laid, starts)]
-        return starts, _Question(prints, [role[x.text_of(s)] == _FIRST_COPY for (x, role), s in zip(self.laid, starts)])
+        return starts, Question(prints, [role[x.text_of(s)] == _FIRST_COPY for (x, role), s in zip(self.laid, starts)])
 
     def _asked_windows(self):
         starts, question = self._asked_anchors()
         flags = np.split(question.hear(self.answers["anchor"], self.buckets), np.cumsum([len(s) for s in starts])[:-1]) if starts else []
         found = [x.candidates(s[f], role == _FIRST_COPY) for (x, role), s, f in zip(self.laid, starts, flags)]
         prints = [x.prints(s, self.spec.size) for (x, _), s in zip(self.laid, found)]
-        return found, _Question(prints, [role[x.text_of(s)] == _FIRST_COPY for (x, role), s in zip(self.laid, found)])
+        return found, Question(prints, [role[x.text_of(s)] == _FIRST_COPY for (x, role), s in zip(self.laid, found)])
 
     def ask_anchors(self) -> pa.Table:
         return self._asked_anchors()[1].ask(self.number, self.buckets)
