@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     none = F.array().cast("array<string>")
     return keyed(docs).select("doc_id", "row_key").join(found, "row_key").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"),
-        F.array_except(F.coalesce("near_items", none), F.coalesce("item_ids", none)).alias("near_items"))
+        F.array_except(F.coalesce("near_items", none), F.coalesce("item_ids", none)).alias("near_items"), "row_key")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 512
 SYMBOLS = 64  # 0 is the gap between words, 1-26 are a-z, the rest is shared by all other letters
 SEED = 7
-PREDICTED = "doc_id long, lang_pred string, score double, margin double"
 _KEPT: dict = {}
 
 
@@ -104,9 +104,11 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
     return dict(sorted(out.items()))
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (the largest cosine, 0 at least) and margin over the next language, from `text` alone.
 
+    `carry` names columns to hand through.
+
     Null texts, texts without a letter and all texts where no language was learned are `und` with score 0.
     Ties go to the language first in the alphabet. Rows are judged one by one, so equal rows get equal
     results; other columns are ignored; an empty table gives an empty table.
@@ -129,10 +131,12 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], dimension
         for batch in batches:
             langs, scores, margins = zip(*(judged(t, space) for t in batch["text"].to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
-                ["doc_id", "lang_pred", "score", "margin"])
+                [batch["doc_id"], *(batch[c] for c in carry), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
+                ["doc_id", *carry, "lang_pred", "score", "margin"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PREDICTED)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in carry if c != "text"))
+    kept = [given.schema[c] for c in ("doc_id", *carry)]
+    return given.mapInArrow(run, T.StructType(kept).add("lang_pred", "string").add("score", "double").add("margin", "double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["substring_dedup", "language_id", "line_dedup", "suffix_dedup", "quality", "jaccard_join", "license_scan", "decontamination", "packing"]
+MODULES = [
+    "substring_dedup", "language_id", "line_dedup", "suffix_dedup", "quality", "jaccard_join", "license_scan", "decontamination", "chat_format", "packing",
+]
 
 
 def registered() -> dict:
