@@ -6,9 +6,9 @@
    under a fixed bound; a set with more than a quarter of its shingles among the latter that no other has is out. Whether a shingle is shared is asked as in `repeats`.
 3. The others are compared in blocks that share a shingle, each by a tree whose nodes
    hold OR-combined bitmaps and size ranges; pairs of nodes are visited together and left when no pair below can overlap enough.
-4. Comparing stops inside what is already linked. A first round takes one block for each
-   document, split into tiles; a second links the tiles' leaders; the last takes every
-   shingle that still stands in two components, so no link between components is lost.
+4. Comparing stops inside what is already linked. Two rounds take one block for each document, split into tiles. The last takes every
+   shingle that still stands in two components, so no link is lost; its trees hold bitmaps alone and join what may
+   overlap enough into loose groups. Only within those are whole sets compared once more.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ LEAF, FANOUT = 4, 4
 TILE = 256
 ASKED = 0.375  # every set asks about this share of all possible hashes, so among those "not shared" is certain
 SETS = "doc_id long, row_key long, n_shingles long, low long, high long"
-LEFT_OVER = "row_key long, n int, shingles array<long>, shared array<long>"
+LEFT_OVER = "row_key long, n int, bits binary, load int, shingles array<long>, shared array<long>"
 EDGES = "a long, b long"
 
 
@@ -63,23 +63,23 @@ class _Node:
         self.load = max(tree.loads[m] for m in members)
 
 
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bitmap of a set, and how many shingles share its fullest bit."""
+    slots = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits(slots > 0).view(np.uint64), int(slots.max(initial=1))
+
+
 class SignatureTree:
     """Bitmaps of shingle sets in a hierarchy: leaves hold a few sets of like size, a node the OR of its children."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.sizes = [len(s) for s in sets]
-        self.bits, self.loads = [], []
-        for s in sets:
-            slots = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS)
-            self.bits.append(np.packbits(slots > 0).view(np.uint64))
-            self.loads.append(int(slots.max(initial=1)))
-        order = sorted(range(len(sets)), key=lambda k: (self.sizes[k], int(sets[k][0])))
+    def __init__(self, sizes: list[int], bits: list[np.ndarray], loads: list[int], percent: int, sets: list[np.ndarray] | None = None):
+        self.sizes, self.bits, self.loads, self.percent, self.sets = sizes, bits, loads, percent, sets
+        order = sorted(range(len(sizes)), key=lambda k: (sizes[k], bits[k].tobytes()))
         level = [_Node(order[k : k + LEAF], [], self) for k in range(0, len(order), LEAF)]
         while len(level) > 1:
             level = [_Node([m for c in level[k : k + FANOUT] for m in c.members], level[k : k + FANOUT], self) for k in range(0, len(level), FANOUT)]
         self.root = level[0]
-        self.above = list(range(len(sets)))
+        self.above = list(range(len(sizes)))
 
     def find(self, k: int) -> int:
         while self.above[k] != k:
@@ -96,12 +96,15 @@ class SignatureTree:
         return overlap * (100 + p) < p * (a.least + b.least)  # overlap / (sum of sizes - overlap) stays below
 
     def linked(self, i: int, j: int) -> bool:
-        x, y = sorted((self.sets[i], self.sets[j]), key=len)
-        if 100 * len(x) < self.percent * len(y):
+        """Whether two sets link; without the sets, whether their bitmaps allow it."""
+        if 100 * min(self.sizes[i], self.sizes[j]) < self.percent * max(self.sizes[i], self.sizes[j]):
             return False
         missing = int(np.bitwise_count(self.bits[i] & ~self.bits[j]).sum())
         if (self.sizes[i] - missing) * (100 + self.percent) < self.percent * (self.sizes[i] + self.sizes[j]):
             return False
+        if self.sets is None:
+            return True
+        x, y = sorted((self.sets[i], self.sets[j]), key=len)
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         same = int((y[at] == x).sum())
         return 100 * same >= self.percent * (len(x) + len(y) - same)
@@ -138,27 +141,37 @@ class SignatureTree:
         return out
 
 
-def _block_links(percent: int):
+def _links_of(tree: SignatureTree, table: pa.Table) -> pa.Table:
+    keys, sides = table["row_key"].to_pylist(), table["side"].to_pylist()
+    found = tree.links(table["root"].to_pylist(), sides if len(set(sides)) > 1 else None)
+    return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
+
+
+def _set_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        if table.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        keys, sides = table["row_key"].to_pylist(), table["side"].to_pylist()
         flat = table["shingles"].combine_chunks()
-        offsets = flat.offsets.to_numpy()
-        values = flat.values.to_numpy().view(np.uint64)
-        tree = SignatureTree([values[a:b] for a, b in zip(offsets, offsets[1:])], percent)
-        found = tree.links(table["root"].to_pylist(), sides if len(set(sides)) > 1 else None)
-        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
+        offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
+        sets = [values[a:b] for a, b in zip(offsets, offsets[1:])]
+        bits, loads = zip(*map(signature, sets))
+        return _links_of(SignatureTree([len(x) for x in sets], list(bits), list(loads), percent, sets), table)
 
     return run
 
 
-def _compare(routed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside each (block, tile) of `routed` (block, tile, side, row_key, root)."""
+def _bitmap_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        bits = [np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()]
+        return _links_of(SignatureTree(table["n"].to_pylist(), bits, table["load"].to_pylist(), percent), table)
+
+    return run
+
+
+def _compare(routed: DataFrame, sets: DataFrame, percent: int, loosely: bool = False) -> DataFrame:
+    """Links inside each (block, tile) of `routed` (block, tile, side, row_key, root), by whole sets or by bitmaps."""
     sizes = routed.groupBy("block", "tile").agg(F.count("*").alias("members"), F.min("root").alias("r"), F.max("root").alias("s"))
     useful = routed.join(sizes.filter("members > 1 and r <> s").select("block", "tile"), ["block", "tile"])
-    full = useful.join(sets.select("row_key", "shingles"), "row_key")
-    return full.groupBy("block", "tile").applyInArrow(_block_links(percent), EDGES)
+    full = useful.join(sets.select("row_key", *(["n", "bits", "load"] if loosely else ["shingles"])), "row_key")
+    return full.groupBy("block", "tile").applyInArrow((_bitmap_links if loosely else _set_links)(percent), EDGES)
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -228,11 +241,15 @@ class _Tables:
             for (row_key, s), h in zip(sets.items(), heads):
                 shared, miss = flags[at : at + len(h)], may_miss(len(s), percent)
                 at += len(h)
-                if (~shared[: sampled(s)]).sum() <= miss and shared[: miss + 1].any():
-                    rows.append((row_key, len(s), s.view(np.int64), h[: miss + 1][shared[: miss + 1]].view(np.int64)))
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row_key", "n", "shingles", "shared"])
+                # Shingles known to be no other set's come first in the order of all, so fewer shared ones need blocks.
+                own = int((~shared[: sampled(s)]).sum())
+                beyond = np.flatnonzero(shared | (np.arange(len(h)) >= sampled(s)))[: max(0, miss + 1 - own)]
+                if shared[beyond].any():
+                    bits, load = signature(s)
+                    rows.append((row_key, len(s), bits.tobytes(), load, s.view(np.int64), h[beyond[shared[beyond]]].view(np.int64)))
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row_key", "n", "bits", "load", "shingles", "shared"])
 
         meet = lambda told: texts.groupBy("group").cogroup(told.groupBy("to_group"))
         told = answered(meet(chosen).applyInArrow(ask, ASK)).select(F.col("group").alias("to_group"), nothing.cast("long").alias("about"), "bucket", "flags")
@@ -254,16 +271,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     def labelled(links: DataFrame) -> DataFrame:
         return left.select("row_key", "shared").join(components(links), F.col("row_key") == F.col("node"), "left").select("row_key", "shared", F.coalesce("root", "row_key").alias("root"))
 
+    def open_shingles(now: DataFrame) -> DataFrame:
+        """block, row_key, root for shingles in two components or more; of those with the same documents, one is enough."""
+        each = now.select("row_key", "root", F.explode("shared").alias("block"))
+        blocks = each.groupBy("block").agg(
+            F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m"), F.sum(F.xxhash64("row_key").cast("decimal(38,0)")).alias("who")
+        ).filter("r <> s").groupBy("m", "who").agg(F.min("block").alias("block"))
+        return written(each.join(blocks.select("block"), "block").select("block", "row_key", "root"), "open")
+
+    again = open_shingles(labelled(links)).groupBy("row_key", "root").agg(F.min(F.struct(F.xxhash64("block", F.lit(2)).alias("h"), "block")).alias("x"))
+    links = written(links.union(_compare(_tiled(again.select(F.col("x.block").alias("block"), "row_key", "root")), left, percent)), "near")
     now = written(labelled(links), "labels")
-    leaders = now.select(F.array_min("shared").alias("block"), "root", "row_key").groupBy("block", "root").agg(F.min("row_key").alias("row_key"))
-    links = written(links.union(_compare(_tiled(leaders), left, percent)), "near")
-    now = written(labelled(links), "labels")
-    # Shingles in two components or more; of those with the same documents, one is enough.
-    each = now.select("row_key", "root", F.explode("shared").alias("block"))
-    open_blocks = each.groupBy("block").agg(
-        F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m"), F.sum(F.xxhash64("row_key").cast("decimal(38,0)")).alias("who")
-    ).filter("r <> s").groupBy("m", "who").agg(F.min("block").alias("block"))
-    last = each.join(open_blocks.select("block"), "block").select("block", "row_key", "root")
+    loose = components(_compare(_paired(open_shingles(now)), left, percent, loosely=True))
+    last = now.join(loose.withColumnRenamed("root", "block"), F.col("row_key") == F.col("node")).select("block", "row_key", "root")
     links = links.union(_compare(_paired(last), left, percent))
     roots = components(links).select(F.col("node").alias("chosen"), "root")
     classes = tables.classes.join(roots, "chosen", "left").withColumn("root", F.coalesce("root", "chosen"))
