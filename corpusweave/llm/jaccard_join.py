@@ -24,9 +24,9 @@ from corpusweave.llm.repeats import ASK, GROUPS_PER_PARTITION, BUCKETS_PER_PARTI
 from corpusweave.llm.storage import written
 
 BITS = 4096
-LEAF, FANOUT = 4, 4
-TILE = 256
-ASKED = 0.375  # every set asks about this share of all possible hashes, so among those "not shared" is certain
+LEAF, FANOUT = 64, 4
+TILE, BITMAP_TILE = 256, 2048  # documents compared in one task by whole sets, and by bitmaps of 512 bytes
+ASKED = 0.75  # every set asks about this share of all possible hashes, so among those "not shared" is certain
 SETS = "doc_id long, row_key long, n_shingles long, low long, high long"
 LEFT_OVER = "row_key long, n int, bits binary, load int, shingles array<long>, shared array<long>"
 EDGES = "a long, b long"
@@ -95,13 +95,21 @@ class SignatureTree:
         overlap = min(a.most, b.most, common, a.most - int(np.bitwise_count(a.every & ~b.bits).sum()), b.most - int(np.bitwise_count(b.every & ~a.bits).sum()))
         return overlap * (100 + p) < p * (a.least + b.least)  # overlap / (sum of sizes - overlap) stays below
 
+    def _possible(self, a: _Node, b: _Node, apart: list | None) -> list[tuple[int, int]]:
+        """Pairs of two leaves, of different components, whose bitmaps allow a link."""
+        x, y = (np.stack([self.bits[m] for m in n.members]) for n in (a, b))
+        nx, ny = (np.array([self.sizes[m] for m in n.members]) for n in (a, b))
+        both = nx[:, None] - np.bitwise_count(x[:, None] & ~y[None]).sum(2, dtype=np.int64)
+        both = np.minimum(both, ny - np.bitwise_count(~x[:, None] & y[None]).sum(2, dtype=np.int64))
+        may = both * (100 + self.percent) >= self.percent * (nx[:, None] + ny)
+        rx, ry = (np.array([self.find(m) for m in n.members]) for n in (a, b))
+        may &= rx[:, None] != ry
+        if apart is not None:
+            may &= np.array([apart[m] for m in a.members])[:, None] != np.array([apart[m] for m in b.members])
+        return [(a.members[i], b.members[j]) for i, j in np.argwhere(np.triu(may) if a is b else may)]
+
     def linked(self, i: int, j: int) -> bool:
-        """Whether two sets link; without the sets, whether their bitmaps allow it."""
-        if 100 * min(self.sizes[i], self.sizes[j]) < self.percent * max(self.sizes[i], self.sizes[j]):
-            return False
-        missing = int(np.bitwise_count(self.bits[i] & ~self.bits[j]).sum())
-        if (self.sizes[i] - missing) * (100 + self.percent) < self.percent * (self.sizes[i] + self.sizes[j]):
-            return False
+        """Whether two sets whose bitmaps allow it do link; without the sets there is no more to ask."""
         if self.sets is None:
             return True
         x, y = sorted((self.sets[i], self.sets[j]), key=len)
@@ -131,13 +139,11 @@ class SignatureTree:
                 else:
                     todo += [(a, y) for y in b.children]
                 continue
-            for i in a.members:
-                for j in b.members:
-                    if (a is not b or i < j) and (apart is None or apart[i] != apart[j]):
-                        x, y = self.find(i), self.find(j)
-                        if x != y and self.linked(i, j):
-                            self.above[max(x, y)] = min(x, y)
-                            out.append((i, j))
+            for i, j in self._possible(a, b, apart):
+                x, y = self.find(i), self.find(j)
+                if x != y and self.linked(i, j):
+                    self.above[max(x, y)] = min(x, y)
+                    out.append((i, j))
         return out
 
 
@@ -182,10 +188,10 @@ def _tiled(rows: DataFrame) -> DataFrame:
         "block", F.pmod(F.xxhash64("row_key"), tiles).cast("int").alias("tile"), F.lit(0).alias("side"), "row_key", "root")
 
 
-def _paired(rows: DataFrame) -> DataFrame:
+def _paired(rows: DataFrame, tile: int) -> DataFrame:
     """Rows in all pairs of tiles of their block, so that any two rows of a block meet."""
     sizes = rows.groupBy("block").agg(F.count("*").alias("members"))
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    tiles = F.ceil(F.col("members") / tile).cast("int")
     own = rows.join(sizes.filter("members > 1"), "block").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("row_key"), tiles).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return met.select("block", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), F.col("own").alias("side"), "row_key", "root")
@@ -282,9 +288,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     again = open_shingles(labelled(links)).groupBy("row_key", "root").agg(F.min(F.struct(F.xxhash64("block", F.lit(2)).alias("h"), "block")).alias("x"))
     links = written(links.union(_compare(_tiled(again.select(F.col("x.block").alias("block"), "row_key", "root")), left, percent)), "near")
     now = written(labelled(links), "labels")
-    loose = components(_compare(_paired(open_shingles(now)), left, percent, loosely=True))
-    last = now.join(loose.withColumnRenamed("root", "block"), F.col("row_key") == F.col("node")).select("block", "row_key", "root")
-    links = links.union(_compare(_paired(last), left, percent))
+    # A loose link stands for the whole components of its ends, so these come along.
+    loose = components(links.union(_compare(_paired(open_shingles(now), BITMAP_TILE), left, percent, loosely=True)))
+    grouped = now.join(loose.withColumnRenamed("root", "block"), F.col("row_key") == F.col("node")).select("block", "row_key", "root")
+    several = grouped.groupBy("block").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("block")
+    last = written(grouped.join(several, "block"), "last")
+    links = links.union(_compare(_paired(last, TILE), left, percent))
     roots = components(links).select(F.col("node").alias("chosen"), "root")
     classes = tables.classes.join(roots, "chosen", "left").withColumn("root", F.coalesce("root", "chosen"))
     smallest = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
