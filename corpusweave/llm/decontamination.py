@@ -68,9 +68,9 @@ def offset_lists(index: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def candidate_starts(lists: DataFrame) -> DataFrame:
-    """Starts on which the lists of all chosen words agree."""
+    """Starts on which the lists of all chosen words agree (equal rows vote twice; the words are compared later)."""
     agreed = lists.groupBy("window_id", "row_key", "start").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
-    return agreed.filter(F.col("votes") == F.least(F.col("n"), F.lit(2))).select("window_id", "row_key", "start")
+    return agreed.filter(F.col("votes") >= F.least(F.col("n"), F.lit(2))).select("window_id", "row_key", "start")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, candidates: DataFrame, size: int = 10) -> DataFrame:
