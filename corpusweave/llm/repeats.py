@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusweave.llm import hashing
 
 GROUPS_PER_PARTITION = 2
-BUCKETS_PER_PARTITION = 0.5  # answers are light; fewer buckets make fewer, fuller messages
+BUCKETS_PER_PARTITION = 1
 SENT_BYTES = 7
 
 ASK = "bucket int, group int, prints binary, known binary"
