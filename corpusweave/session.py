@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -34,20 +32,14 @@ def local_session(cores: str = "8", name: str = "corpusweave", **extra: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session.
-
-    Only a local session without the setting gets a temporary folder: on a
-    cluster a machine-local folder would be lost with its executor.
-    """
+    """The folder in `spark.checkpoint.dir`; where that is unset, one beside the tables of the warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = context.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        configured = tempfile.mkdtemp(prefix="corpusweave-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     context.setCheckpointDir(configured)
     return configured
 

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from corpusweave.operators import search as se
 from corpusweave.operators.edits import apply_edits, edit_reports, edit_statistics
 from corpusweave.sources.corpus import apply_scope, as_files, read_corpus, text_gate, write_rewritten
 
-QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+QUIET = settings(derandomize=True, max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 TEXTS = st.lists(st.text(alphabet="ab _\n\réßA1", max_size=40), min_size=1, max_size=12)
 
 
@@ -49,6 +49,7 @@ def test_applying_found_edits_equals_replace(spark, texts, pair):
 
 
 @QUIET
+@example(["\n\na"])
 @given(TEXTS)
 def test_removed_plus_kept_are_all_lines(spark, texts):
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
@@ -56,7 +57,8 @@ def test_removed_plus_kept_are_all_lines(spark, texts):
         lines = re.split("\r?\n", re.sub("\r?\n\\Z", "", r.content)) if r.content else []
         kept = [line for line in lines if "a" not in line]
         assert r.removed == len(lines) - len(kept)
-        assert re.split("\r?\n", re.sub("\r?\n\\Z", "", r.new_content)) == (kept or [""])
+        joined = "\n".join(kept)
+        assert r.new_content.replace("\r\n", "\n") in (joined, joined + "\n")
 
 
 @QUIET
