@@ -49,7 +49,7 @@ def identifier_words(text: Column) -> Column:
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
 
 
 def in_style(text: Column, style: Column) -> Column:
@@ -58,7 +58,7 @@ def in_style(text: Column, style: Column) -> Column:
     pascal = F.array_join(F.transform(words, _capital), "")
     camel = F.concat(
         F.coalesce(F.get(words, F.lit(0)), F.lit("")),
-        F.array_join(F.transform(F.slice(words, 2, 1_000_000), _capital), ""),
+        F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), _capital), ""),
     )
     plain = F.array_join(words, "")
     return (

@@ -47,10 +47,9 @@ def overlapping_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> Da
     Ranges are half open, so touching edits do not conflict. One sort finds
     them, split into ranges of (file, start): an edit meets an earlier one exactly when it starts before the
     furthest end so far, and a later one when the next start lies before its
-    end. All pairs are never built.
+    end. An insert (an empty range) meets the ranges it lies strictly inside. All pairs are never built.
     """
-    spans = edits.filter(F.col("end_off") > F.col("start_off")).select(
-        *keys, "edit_no", "start_off", "end_off")
+    spans = edits.select(*keys, "edit_no", "start_off", "end_off")
     ordered = Ordered(spans, list(keys), _span_order())
     ordered.max_before("_before", F.struct("end_off", "edit_no"))
     marked = ordered.following("_after", F.struct("start_off", "end_off", "edit_no")).result()
@@ -93,7 +92,7 @@ def dedupe_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFra
             .otherwise(kept)
         )
 
-    folded = F.aggregate(F.slice("_all", 2, 1_000_000_000), F.slice("_all", 1, 1), step)
+    folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
     result = F.when(F.size("_all") == 1, F.col("_all")).otherwise(folded)
     out = grouped.select(*keys, F.explode_outer(F.array_distinct(result)).alias("e"))
     return out.select(*keys, "e.edit_no", "e.start_off", "e.end_off", "e.original_text", "e.new_text")

@@ -273,12 +273,16 @@ def merge_would_cycle(package_edges: DataFrame, candidates: DataFrame, imports:
                          F.coalesce("offending_modules", F.lit(0)).cast("bigint").alias("offending_modules"))
 
 
-def unused_symbols(symbols: DataFrame, uses: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
+def unused_symbols(symbols: DataFrame, uses: DataFrame, roots: tuple[str, ...] = (),
+                   occurrences: DataFrame | None = None) -> DataFrame:
     """Exported symbols (path, name) that no other file names in `uses(path, name)`.
 
+    `occurrences(path, name)`, from `symbol_occurrences`, adds names used in the text, such as those behind a namespace import.
     For each name only the number of using files and one of them matter, so a
     name used everywhere is one pre-aggregated row.
     """
+    if occurrences is not None:
+        uses = uses.select("path", "name").union(occurrences.select("path", "name"))
     by_name = uses.select("name", "path").distinct().groupBy("name").agg(
         F.count("*").alias("_files"), F.min("path").alias("_one"))
     kept = symbols.filter(~F.col("name").isin(*roots)) if roots else symbols

@@ -47,7 +47,7 @@ def _named(inner: Column) -> Column:
 
     def one(item: Column) -> Column:
         typed = item.startswith("type ")
-        bare = F.when(typed, F.substring(item, 6, 1_000_000)).otherwise(item)
+        bare = F.when(typed, F.substring(item, F.lit(6), F.length(item))).otherwise(item)
         alias = F.when(bare.contains(" as "), F.trim(F.regexp_extract(bare, r" as (.*)$", 1)))
         name = F.trim(F.substring_index(bare, " as ", 1))
         return F.struct(F.lit("named").alias("binding"), name.alias("name"), alias.alias("alias"),
@@ -211,7 +211,7 @@ def resolve_imports(
     df = df.withColumn("_dir", F.when(relative, F.col("_dir")).otherwise(""))
     wanted = df.select("_dir", "_spec").distinct()
     base = F.when(relative, joined(F.col("_dir"), spec)).when(
-        spec.startswith("/"), F.substring(normalized(spec), 2, 1_000_000)).otherwise(spec)
+        spec.startswith("/"), F.substring(normalized(spec), F.lit(2), F.length(spec))).otherwise(spec)
     wanted = wanted.withColumn("_base", F.regexp_replace(base, "^/", ""))
     anchored = relative | spec.startswith("/")
     name = file_name(F.col("_base"))
@@ -250,16 +250,21 @@ def edges_of(resolved: DataFrame) -> DataFrame:
         F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
 
 
-def is_external(module: Column) -> Column:
-    """Not relative, not absolute, not below `src/`."""
-    return ~(module.startswith("./") | module.startswith("../") | module.startswith("/")
-             | module.startswith("src/"))
+def is_external(module: Column, language: Column | None = None) -> Column:
+    """Not relative, not absolute, not below `src/`; leading dots in Python and the crate's own roots in Rust are relative too."""
+    inside = module.startswith("./") | module.startswith("../") | module.startswith("/") | module.startswith("src/")
+    if language is not None:
+        inside = inside | F.coalesce((language == "python") & module.startswith("."), F.lit(False)) | F.coalesce(
+            (language == "rust") & F.substring_index(module, "::", 1).isin("crate", "self", "super"), F.lit(False))
+    return ~inside
 
 
-def package_name(module: Column) -> Column:
-    """`@scope/pkg`, `host.tld/org/repo`, else the first segment."""
+def package_name(module: Column, language: Column | None = None) -> Column:
+    """`@scope/pkg`, `host.tld/org/repo`, in Rust what stands before `::`, else the first segment."""
+    rust = F.lit(False) if language is None else language == "rust"
     return (
-        F.when(module.startswith("@"), F.substring_index(module, "/", 2))
+        F.when(rust, F.substring_index(module, "::", 1))
+        .when(module.startswith("@"), F.substring_index(module, "/", 2))
         .when(module.contains(".") & (F.size(F.split(module, "/")) >= 3), F.substring_index(module, "/", 3))
         .otherwise(F.substring_index(module, "/", 1))
     )
@@ -278,7 +283,7 @@ def unresolved_links(links: DataFrame, targets: DataFrame) -> DataFrame:
 
 def external_dependencies(imports: DataFrame) -> DataFrame:
     """Files and uses per external package, counted per file first."""
-    outside = imports.filter(is_external(F.col("module_path")))
-    per_file = outside.groupBy(package_name(F.col("module_path")).alias("package"), "path").agg(
+    outside = imports.filter(is_external(F.col("module_path"), F.col("language")))
+    per_file = outside.groupBy(package_name(F.col("module_path"), F.col("language")).alias("package"), "path").agg(
         F.count("*").alias("n"))
     return per_file.groupBy("package").agg(F.count("*").alias("files"), F.sum("n").alias("imports"))

@@ -10,8 +10,6 @@ from ..functions.paths import folder
 from ..functions.text import lines_of
 from .windows import top_per_key
 
-MAX_BODY_LINES = 502
-
 # Words that open a branch, and logical operators, per language family.
 BRANCHES = {
     ("rust", "go", "java"): (["if", "for", "while", "match", "case", "catch"], ["else if"], ["&&", "||"]),
@@ -83,15 +81,18 @@ def attach_symbols(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def function_bodies(files: DataFrame) -> DataFrame:
     """Body lines of every function in `symbols`: from its line to the brace that closes it.
 
-    At most 502 lines; without braces the body runs that far. `files` carries
+    Python bodies end by indentation, at the symbol's `end_line`. Elsewhere a body
+    that is never closed runs to the end of the file. `files` carries
     its symbols along (see `with_symbols`), so bodies need no join.
     """
     df = files.select("path", _language(files).alias("language"), "symbols",
                       lines_of(F.col("content")).alias("_lines"))
     df = df.select("path", "language", "_lines", F.explode_outer(F.filter(
         "symbols", lambda s: s["kind"].isin("function", "method"))).alias("s")).filter("s is not null")
+    python = F.col("language") == "python"
+    reach = F.when(python, (F.col("s.end_line") - F.col("s.line") + 1).cast("int")).otherwise(F.size("_lines"))
     df = df.select("path", "language", F.col("s.name").alias("name"), F.col("s.line").alias("line"),
-                   F.slice("_lines", F.col("s.line").cast("int") + 1, F.lit(MAX_BODY_LINES)).alias("_window"))
+                   F.slice("_lines", F.col("s.line").cast("int") + 1, reach).alias("_window"))
     # Only braces and line breaks matter for the end of a body.
     marks = F.split(F.array_join(F.transform(
         "_window", lambda text: F.regexp_replace(text, r"[^{}]", "")), "\n"), "")
@@ -106,7 +107,7 @@ def function_bodies(files: DataFrame) -> DataFrame:
             (s["started"] | (c == "{")).alias("started"),
             F.when(closed, s["line"]).otherwise(s["end"]).alias("end"))
 
-    df = df.withColumn("_end", F.aggregate(marks, start, step, lambda s: s["end"]))
+    df = df.withColumn("_end", F.when(python, -1).otherwise(F.aggregate(marks, start, step, lambda s: s["end"])))
     body = F.when(F.col("_end") >= 0, F.slice("_window", F.lit(1), F.col("_end") + 1)).otherwise(F.col("_window"))
     return df.select("path", "language", "name", "line", body.alias("body"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.casing import case_style, in_style
 from ..functions.text import bind, lines_of, quoted
 from ..sources.corpus import Scope, apply_scope
-from .search import GAP, WORD_CHAR, Regex, checked_regex, literal_search, regex_search
+from .search import WORD_CHAR, Regex, checked_regex, literal_search, regex_search
 
 
 def template_parts(template: str, regex: Regex) -> list[str | int]:
@@ -305,11 +305,11 @@ def rewrite_string_paths(files: DataFrame, rename_map: DataFrame) -> DataFrame:
     """
     df = _with_renames(files, rename_map, F.substring_index("old", "/", -1))
     df = df.withColumn("_lines", F.regexp_extract_all("content", F.lit(STRING_LITERAL), F.lit(0)))
-    df = df.withColumn("_gaps", F.split(F.regexp_replace("content", STRING_LITERAL, GAP), GAP, -1))
+    df = df.withColumn("_gaps", F.split("content", STRING_LITERAL, -1))
 
     def rule(literal: Column, r: Column) -> Column:
         prefix = F.when(literal.startswith("f"), "f").otherwise("")
-        quoted_part = F.when(literal.startswith("f"), F.substring(literal, 2, 1_000_000)).otherwise(literal)
+        quoted_part = F.when(literal.startswith("f"), F.substring(literal, F.lit(2), F.length(literal))).otherwise(literal)
         quote = F.substring(quoted_part, 1, 1)
         body = F.substring(quoted_part, F.lit(2), F.length(quoted_part) - 2)
         ups = F.regexp_extract(body, r"^(?:\.\.[/\\])*", 0)

@@ -192,12 +192,12 @@ def symbol_occurrences(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Word-bounded uses of many symbols outside quoted text, one row per use.
 
     Quoted spans are cut per line (a quote left open runs to the line's end).
-    Words are joined to the symbol names; only words that are symbols travel.
+    Every word is joined by hash to the symbol names.
     """
     lines = files.select("path", F.posexplode_outer(lines_of(F.col("content"))).alias("line", "text"))
     # Cut spans keep their length so that columns stay right.
     spans = F.regexp_extract_all("text", F.lit(QUOTED_SPAN), F.lit(0))
-    pieces = F.split(F.regexp_replace("text", QUOTED_SPAN, GAP), GAP, -1)
+    pieces = F.split("text", QUOTED_SPAN, -1)
     blank = F.array_join(
         F.zip_with(pieces, spans, lambda p, s: F.concat(
             F.coalesce(p, F.lit("")), F.repeat(F.lit(" "), F.coalesce(F.length(s), F.lit(0))))), "")

@@ -38,7 +38,7 @@ def with_symbols(files: DataFrame, extra: tuple[Pattern, ...] = ()) -> DataFrame
         "_depths", F.when(F.col("language") == "python", depths))
 
     def end_line(s: Column) -> Column:
-        later = F.slice("_depths", s["line"] + 2, 1_000_000_000)
+        later = F.slice("_depths", s["line"] + 2, F.size("_depths"))
         closing = F.array_position(
             F.transform(later, lambda d: F.coalesce(d <= s["indent"], F.lit(False))), True)
         scoped = (F.col("language") == "python") & s["kind"].isin("function", "class")

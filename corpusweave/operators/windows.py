@@ -38,14 +38,8 @@ def evict_oldest(index: DataFrame, max_entries: int) -> DataFrame:
     return slice_of(index.filter(full), ["cached_at", "path"], 0, max(1, max_entries // 10))
 
 
-# Sorting with a limit gathers offset + limit rows in one task; fine up to here.
-ONE_TASK_ROWS = 100_000
-
-
 def slice_of(df: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:
-    """Rows `offset` .. `offset + limit` of a total order; deep slices are cut by rank over many tasks."""
-    if offset + limit <= ONE_TASK_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
+    """Rows `offset` .. `offset + limit` of a total order, cut by rank over many tasks."""
     ranked = Ordered(df, [], order).row_number("_rank").result()
     return ranked.filter((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).drop("_rank")
 

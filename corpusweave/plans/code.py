@@ -36,7 +36,7 @@ def symbol_page(spark, sf):
 
 
 def symbol_matches(spark, sf):
-    return s.matching_symbols(s.extract_symbols(_code(spark, sf)), "A", "struct").union(
+    return s.matching_symbols(s.extract_symbols(_code(spark, sf)), "A", "fn").union(
         s.matching_symbols(s.extract_symbols(_code(spark, sf)), "RT", "class")).select("path", "name", "line")
 
 
@@ -139,14 +139,14 @@ SYMBOLS = f""", {FLAT},
       else line end as end_line from named n)"""
 
 BODIES = f"""{SYMBOLS},
-  fns as (select path, language, name, line, l[line + 1:line + 502] as w from symbols where kind = 'function'),
+  fns as (select path, language, name, line, case when language = 'python' then l[line + 1:end_line + 1] else l[line + 1:] end as w from symbols where kind = 'function'),
   chars as (select path, line as f, unnest(range(len(w)))::bigint as i, unnest(w) as text from fns),
   marks as (select path, f, i, p, c from (select path, f, i, unnest(range(length(b))) as p, unnest(string_split(b, '')) as c from (
       select *, regexp_replace(text, '[^{{}}]', '', 'g') as b from chars)) where c <> ''),
   depth as (select *, sum(case c when '{{' then 1 else -1 end) over (partition by path, f order by i, p) as d,
       count(*) filter (c = '{{') over (partition by path, f order by i, p) as opened from marks),
   ends as (select path, f, min(i) as e from depth where c = '}}' and d = 0 and opened > 0 group by 1, 2),
-  bodies as (select fns.path, language, name, line, case when e is null then w else w[:e + 1] end as body from fns left join ends on ends.path = fns.path and ends.f = fns.line)"""
+  bodies as (select fns.path, language, name, line, case when e is null then w else w[:e + 1] end as body from fns left join ends on ends.path = fns.path and ends.f = fns.line and language <> 'python')"""
 
 WORD = "(^|[^A-Za-z0-9_])({w})($|[^A-Za-z0-9_])"
 
@@ -217,7 +217,7 @@ QUERIES = {
       from (select page_id, unnest(regexp_extract_all(html, '(?is)<h([1-6])(?:\\s[^>]*)?>.*?</h[1-6]>', 1))::bigint as level from pages) group by all"""),
     "search_symbols": (symbol_page, oracle(f"""{SYMBOLS} , hit as (select path, name, kind, line from symbols where name ilike '%calc%' and kind = 'function')
       select *, (select count(*) from hit) as total, 10::bigint as "offset", 25::bigint as "limit" from (select * from hit order by path, line, name, kind limit 25 offset 10)""", "code_corpus")),
-    "matching_symbols": (symbol_matches, oracle(f"{SYMBOLS} select path, name, line from symbols where name ilike '%rt%' and kind = 'class'", "code_corpus")),
+    "matching_symbols": (symbol_matches, oracle(f"{SYMBOLS} select path, name, line from symbols where (name ilike '%rt%' and kind = 'class') or (name ilike '%a%' and kind = 'function')", "code_corpus")),
     "line_metrics": (lines, oracle(f""", {FLAT}, numbered as (select *, line as i from lines), {COMMENTS.format(source='numbered', keys='path')}
       select path, language, count(*) as total_lines, count(*) filter (t <> '' and not comment) as sloc, count(*) filter (comment) as comment_lines,
         case when count(*) filter (t <> '' and not comment) > 0 then count(*) filter (comment) / count(*) filter (t <> '' and not comment) else 0.0::double end as comment_ratio

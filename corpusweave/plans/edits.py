@@ -16,7 +16,7 @@ def _edits(spark, sf):
 
 
 def overlaps(spark, sf):
-    return overlapping_edits(_edits(spark, sf)).select("path", "edit_no", "start_off", "end_off")
+    return overlapping_edits(_edits(spark, sf)).select("path", "edit_no", "start_off", "end_off", "meets")
 
 
 def deduped(spark, sf):
@@ -117,8 +117,12 @@ PAIRS = "a.path = b.path and a.edit_no <> b.edit_no and a.start_off < b.end_off
 
 QUERIES = {
     "overlapping_edits": (overlaps, oracle(f"""
-      select distinct a.path, a.edit_no, a.start_off, a.end_off from edits a join edits b on {PAIRS}
-      where a.end_off > a.start_off and b.end_off > b.start_off""", "edits")),
+      , seen as (select path, edit_no, start_off, end_off,
+          max(end_off * 1000000000000 + edit_no) over (partition by path order by start_off, end_off, edit_no rows between unbounded preceding and 1 preceding) as far,
+          lead(edit_no) over (partition by path order by start_off, end_off, edit_no) as next from edits),
+      hit as (select distinct a.path, a.edit_no from edits a join edits b on {PAIRS})
+      select s.path, s.edit_no, start_off, end_off, case when far // 1000000000000 > start_off then far % 1000000000000 else next end::bigint as meets
+      from seen s join hit h on s.path = h.path and s.edit_no = h.edit_no""", "edits")),
     "dedupe_edits": (deduped, oracle("""
       , base as (select path, edit_no, start_off * 20 as s, start_off * 20 + edit_no % 900 as t, original_text, new_text from edits),
       one as (select path, s, t, original_text, new_text, min(edit_no) as edit_no from base group by all),

@@ -31,7 +31,10 @@ def scoped_files(spark, sf):
 
 
 def text_files(spark, sf):
-    files = bound(spark, sf, "files").select("path", "content", F.octet_length("content").cast("bigint").alias("size_bytes"))
+    # Blanks of every seventh file become control characters behind its start, so that some files are no texts.
+    odd = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint") % 7 == 0
+    masked = F.when(odd, F.concat(F.substring("content", 1, 40), F.translate(F.substring("content", F.lit(41), F.length("content")), " ", "\x01"))).otherwise(F.col("content"))
+    files = bound(spark, sf, "files").select("path", masked.alias("content"), F.octet_length("content").cast("bigint").alias("size_bytes"))
     return text_gate(files).select("path", "size_bytes")
 
 
@@ -63,9 +66,9 @@ QUERIES = {
     "scoped_files": (scoped_files, oracle(
         f"select path from ({ALL}) where {EXT} <> 'md' and path not like 'proj1/%'", "code_corpus", "doc_corpus", "manifests")),
     "text_files": (text_files, oracle(
-        """select path, octet_length(encode(content))::bigint as size_bytes from files
-        where octet_length(encode(content)) <= 1000000
-          and len(regexp_extract_all(substr(content, 1, 8192), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]')) * 20 < length(substr(content, 1, 8192))""", "files")),
+        """select path, octet_length(encode(content))::bigint as size_bytes from (select path, case when regexp_extract(path, '([0-9]+)[.]txt$', 1)::bigint % 7 = 0
+            then substr(content, 1, 40) || translate(substr(content, 41), ' ', chr(1)) else content end as content from files)
+        where len(regexp_extract_all(content, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]')) * 20 < length(content)""", "files")),
     "file_lines": (file_lines, oracle(
         f"""select path, unnest(range(len(l)))::bigint as line_no, unnest(l) as line from (select path, {LINES} as l from ({ALL}))""",
         "code_corpus", "doc_corpus", "manifests")),

@@ -101,8 +101,8 @@ def reindexed(spark, sf):
     files = bound(spark, sf, "import_corpus")
     edges = edges_of(resolve_imports(extract_imports(files), files))
     # Files of every third folder are rewritten to keep their first import only.
-    changed = files.filter(F.col("path").rlike("^src/m[0369]/"))
-    fresh = edges_of(resolve_imports(extract_imports(changed).filter("line = 0"), files))
+    changed = files.filter(F.col("path").rlike("^src/m[0369]/")).withColumn("content", F.substring_index("content", "\n", 1))
+    fresh = edges_of(resolve_imports(extract_imports(changed), files))
     return sn.incremental_reindex(edges, changed.select("path"), fresh)
 
 

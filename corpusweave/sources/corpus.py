@@ -28,9 +28,6 @@ BINARY_EXTENSIONS = [
 # Files that tools generate and nobody edits.
 LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock"]
 
-MAX_TEXT_BYTES = 1_000_000
-SAMPLE_CHARS = 8192
-
 
 def in_excluded_folder(path: Column) -> Column:
     names = "|".join(name.replace(".", "\\.") for name in EXCLUDED_FOLDERS)
@@ -77,6 +74,12 @@ def as_files(df: DataFrame) -> DataFrame:
     )
 
 
+def _qualified(spark: SparkSession, location: str) -> str:
+    """A folder as the file listing spells it, with scheme and a last slash."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/") + "/"
+
+
 def read_corpus(
     spark: SparkSession,
     location: str,
@@ -87,18 +90,18 @@ def read_corpus(
 ) -> DataFrame:
     """Files below a folder, or a stored (path, content) table of any Spark format.
 
-    For folders the globs are applied to the path column before the content is
-    decoded; paths come out relative to the folder.
+    For folders the globs prune the list of files, so that excluded files are not
+    opened; paths come out relative to the folder.
     """
     if format != "binaryFile":
         table = spark.read.format(format).load(location)
         return as_files(table.filter(path_filter(F.col("path"), include, exclude, defaults)))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
-    root = location.split("://")[-1].rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), root, -1)
-    files = raw.withColumn("path", relative).filter(
-        path_filter(F.col("path"), include, exclude, defaults)
-    )
+    # Cut once, from the left: the folder's name may come again below it.
+    skipped = F.lit(len(_qualified(spark, location)) + 1)
+    below = lambda path: F.substring(path, skipped, F.length(path))
+    listed = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = raw.filter(path_filter(below(listed), include, exclude, defaults)).withColumn("path", below(F.col("path")))
     return as_files(
         files.select(
             "path",
@@ -114,7 +117,7 @@ def list_files(files: DataFrame, directory: str = "", recursive: bool = True,
     """Paths below a directory, optionally only its direct children or a glob."""
     prefix = directory.rstrip("/") + "/" if directory else ""
     below = files.filter(F.col("path").startswith(prefix)).select(
-        F.substring(F.col("path"), len(prefix) + 1, 1_000_000).alias("path"))
+        F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path")).alias("path"))
     if not recursive:
         below = below.select(F.substring_index("path", "/", 1).alias("path")).distinct()
     if pattern:
@@ -165,19 +168,14 @@ def apply_scope(files: DataFrame, scope: Scope | str = "standard") -> DataFrame:
     return files.filter(chosen.predicate(F.col("path")))
 
 
-def is_text(content: Column, path: Column, size_bytes: Column) -> Column:
-    """No known binary extension, at most 1,000,000 bytes, under 5% control characters."""
-    sample = F.substring(content, 1, SAMPLE_CHARS)
-    controls = F.regexp_count(sample, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFD]"))
-    return (
-        ~F.lower(extension(path)).isin(*BINARY_EXTENSIONS)
-        & (size_bytes <= MAX_TEXT_BYTES)
-        & (controls * 20 < F.length(sample))
-    )
+def is_text(content: Column, path: Column) -> Column:
+    """No known binary extension, and under 5% control characters in the whole text."""
+    controls = F.regexp_count(content, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFD]"))
+    return ~F.lower(extension(path)).isin(*BINARY_EXTENSIONS) & (controls.cast("bigint") * 20 < F.length(content))
 
 
 def text_gate(files: DataFrame) -> DataFrame:
-    return files.filter(is_text(F.col("content"), F.col("path"), F.col("size_bytes")))
+    return files.filter(is_text(F.col("content"), F.col("path")))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:

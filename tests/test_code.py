@@ -50,9 +50,16 @@ def test_python_end_lines(files_of):
         ("A", "class", 0, 6), ("LIMIT", "constant", 7, 7), ("f", "function", 1, 4), ("g", "function", 5, 6), ("x", "variable", 2, 2)]
 
 
-def test_body_is_cut_at_502_lines(files_of):
-    r = m.function_bodies(sy.with_symbols(files_of(("a.py", "def f():\n" + "    x()\n" * 900)))).select(F.size("body")).first()
-    assert r[0] == 502
+def test_long_bodies_stay_whole(files_of):
+    text = "def f():\n" + "    x()\n" * 900 + "def g():\n    if x:\n        pass\n"
+    brace = "function h() {\n" + "  x();\n" * 900 + "}\nconst y = 1;\n"
+    got = m.function_bodies(sy.with_symbols(files_of(("a.py", text), ("b.js", brace)))).select("name", F.size("body").alias("n"))
+    assert rows(got, "name", "n") == [("f", 901), ("g", 3), ("h", 902)]
+
+
+def test_python_body_ends_with_its_function(files_of):
+    files = sy.with_symbols(files_of(("a.py", "def a():\n    return {1: 2}\n\ndef b(x):\n    if x:\n        for y in x:\n            pass\n")))
+    assert rows(m.complexity(m.function_bodies(files)), "name", "cyclomatic") == [("a", 1), ("b", 3)]
 
 
 def test_symbol_search_pages(files_of):
@@ -169,14 +176,15 @@ def test_edit_sets(spark):
         ("b", 4, 0, 2, "ab", "z"), ("b", 5, 1, 6, "bcdef", "z"), ("b", 6, 5, 9, "fghi", "z")], schema)
     assert rows(edits.overlapping_edits(df), "path", "edit_no") == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5), ("b", 6)]
     assert rows(edits.dedupe_edits(df), "path", "edit_no") == [("a", 0), ("a", 1), ("b", 5)]
+    inserts = spark.createDataFrame([("a", 0, 3, 8, "", "x"), ("a", 1, 5, 5, "", "y"), ("a", 2, 3, 3, "", "z"), ("a", 3, 8, 8, "", "z")], schema)
+    assert rows(edits.overlapping_edits(inserts), "edit_no", "meets") == [(0, 1), (1, 0)]
     with pytest.raises(Exception, match="unknown edit type"):
         edits.checked_edits(spark.createDataFrame([("zap",)], "edit_type string")).collect()
 
 
-def test_deep_slices_equal_sorting(spark, monkeypatch):
+def test_slices_equal_sorting(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 101).alias("v"))
-    want = [r.id for r in w.slice_of(df, ["v", "id"], 300, 40).collect()]
-    monkeypatch.setattr(w, "ONE_TASK_ROWS", 0)
+    want = [r.id for r in df.orderBy("v", "id").offset(300).limit(40).collect()]
     assert sorted(r.id for r in w.slice_of(df, ["v", "id"], 300, 40).collect()) == sorted(want)
 
 

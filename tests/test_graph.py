@@ -46,6 +46,19 @@ def test_package_names_and_external_test(spark):
     assert {r.m: r.p for r in df.select("m", im.is_external(F.col("m")).alias("p")).collect()} == external
 
 
+def test_externals_by_language(files_of):
+    imports = im.extract_imports(files_of(
+        ("a.py", "from .util import a\nfrom . import b\nimport os\n"), ("b.rs", "use crate::pkg3::{Alpha, Beta as B};\nuse serde::de::Error;\n")))
+    assert rows(im.external_dependencies(imports), "package", "files") == [("os", 1), ("serde", 1)]
+
+
+def test_names_behind_a_namespace_import_are_used(spark):
+    both = "path string, name string"
+    symbols = spark.createDataFrame([("lib.ts", "used"), ("lib.ts", "dead")], both)
+    uses, text = spark.createDataFrame([("a.ts", "lib")], both), spark.createDataFrame([("a.ts", "used"), ("lib.ts", "dead")], both)
+    assert rows(g.unused_symbols(symbols, uses, occurrences=text), "name") == [("dead",)]
+
+
 def test_resolution_order(spark, files_of):
     files = files_of(*[(p, "") for p in ("src/a.ts", "src/b.tsx", "src/b.js", "lib/b.ts", "docs/x/long.md", "docs/long.md", "src/c.rs", "src/d.ts")])
     specs = ["./b", "../lib/b", "./c", "docs/long.md", "long.md", "./none", "react", "@/d", "./d.js", "/src/a.ts"]

@@ -208,6 +208,28 @@ def test_corpus_from_folder_and_sink(spark, tmp_path):
     assert as_files(files.select("path", "content")).columns == files.columns
 
 
+def test_corpus_root_that_comes_again_below(spark, tmp_path):
+    for path in ("src/sub/x.ts", "src/src/sub/x.ts", "src/with space+plus%20.ts"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("a")
+    assert rows(read_corpus(spark, str(tmp_path / "src"), include=["**/*.ts"]), "path") == [("src/sub/x.ts",), ("sub/x.ts",), ("with space+plus%20.ts",)]
+
+
+def test_text_gate_judges_the_whole_text(spark, files_of):
+    late, large = "a" * 9000 + "\x01" * 9000, "b" * 1_200_000
+    assert rows(text_gate(as_files(files_of(("late", late), ("large", large)))), "path") == [("large",)]
+
+
+def test_long_literals_and_markers_stay(spark, files_of):
+    renames = spark.createDataFrame([("lib", "core")], "old string, new string")
+    long = "f'lib/" + "y" * 1_000_100 + ".ts'"
+    odd = "# x\uffffy\na = 'lib/a'\nb = 'lib/b'\n"
+    out = {r.path: r.new_content for r in rw.rewrite_string_paths(files_of(("long.py", long), ("odd.py", odd)), renames).collect()}
+    assert out == {"long.py": long.replace("lib/", "core/"), "odd.py": odd.replace("lib/", "core/")}
+    names = spark.createDataFrame([("name",)], "name string")
+    assert rows(se.symbol_occurrences(files_of(("a", "'q' \uffff name")), names), "line", "col") == [(0, 6)]
+
+
 def test_table_functions(spark, files_of):
     from corpusweave.functions.sql import register
 
