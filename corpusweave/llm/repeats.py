@@ -12,7 +12,8 @@ a bucket answers one bit for each: does it occur in another place. So
 Two questions are asked. First about anchors: short windows that start at the
 places of a difference cover. Two equal long windows always hold an equal anchor
 at the same distance from their starts. Then about the long windows themselves,
-but only those that hold an anchor known to repeat. Texts that are copies of each other
+but only those that hold an anchor known to repeat; with them go the answers about anchors, for
+the group to read again at the end. Texts that are copies of each other
 take part once: one copy asks, marked as occurring more than once.
 """
 
@@ -32,7 +33,7 @@ GROUPS_PER_PARTITION = 2
 BUCKETS_PER_PARTITION = 1
 SENT_BYTES = 7
 
-ASK = "bucket int, group int, prints binary, known binary"
+ASK = "bucket int, group int, prints binary, known binary, carried binary"
 _NO_ROLE, _FIRST_COPY, _OTHER_COPY = 0, 1, 2
 
 
@@ -115,15 +116,17 @@ class Question:
         for begin, end in zip(edges, [*edges[1:], len(which)]):
             yield int(which[begin]), slice(begin, end)
 
-    def ask(self, group: int, buckets: int) -> pa.Table:
-        rows = [
-            (bucket, group, np.ascontiguousarray(self.values[part]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes(),
-             np.packbits(self.known[part]).tobytes())
-            for bucket, part in self.slices(buckets)
-        ]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                        names=["bucket", "group", "prints", "known"])
+    def ask(self, group: int, buckets: int, carried: dict[int, bytes] | None = None) -> pa.Table:
+        """One row a bucket; `carried` holds what a bucket is to send back besides its answer."""
+        parts, carried = dict(self.slices(buckets)), carried or {}
+        rows = []
+        for bucket in sorted(parts.keys() | carried.keys()):
+            part = parts.get(bucket, slice(0, 0))
+            wide = np.ascontiguousarray(self.values[part]).astype("<u8").view(np.uint8).reshape(-1, 8)
+            rows.append((bucket, group, wide[:, :SENT_BYTES].tobytes(), np.packbits(self.known[part]).tobytes(), carried.get(bucket)))
+        columns = list(zip(*rows)) or [[], [], [], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                        names=["bucket", "group", "prints", "known", "carried"])
 
     def hear(self, answers: dict[int, bytes], buckets: int) -> np.ndarray:
         """One flag for each fingerprint that was put in, repeats included."""
@@ -144,12 +147,12 @@ def _answer(table: pa.Table) -> pa.Table:
     _, where, times = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
     again = ((times > 1) | (np.bincount(where, weights=known) > 0))[where]
     flags = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(sizes)[:-1])]
-    return pa.table({"group": table["group"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary())})
+    return pa.table({"group": table["group"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary()), "carried": table["carried"]})
 
 
 def answered(asked: DataFrame) -> DataFrame:
-    """group, bucket, flags for what the groups `asked`."""
-    return asked.groupBy("bucket").applyInArrow(_answer, "group int, bucket int, flags binary")
+    """group, bucket, flags, carried for what the groups `asked`."""
+    return asked.groupBy("bucket").applyInArrow(_answer, "group int, bucket int, flags binary, carried binary")
 
 
 class RepeatedWindows:
@@ -177,11 +180,11 @@ class RepeatedWindows:
         role = F.when(F.col("row_key") == F.col("chosen"), _FIRST_COPY).otherwise(_OTHER_COPY)
         return marked.join(copies, "mark").select(
             F.col("group").alias("to_group"), F.lit("role").alias("kind"), F.col("row_key").alias("about"), role.alias("bucket"),
-            F.lit(None).cast("binary").alias("flags"))
+            F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("carried"))
 
     def _answers(self, asked: DataFrame, kind: str) -> DataFrame:
         return answered(asked).select(
-            F.col("group").alias("to_group"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("about"), "bucket", "flags")
+            F.col("group").alias("to_group"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("about"), "bucket", "flags", "carried")
 
     def _stage(self, told: DataFrame, step: Callable, schema: str) -> DataFrame:
         spec, buckets = self.spec, self.buckets
@@ -194,9 +197,8 @@ class RepeatedWindows:
     def covered(self, step: Callable[[list, list[bytes], list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
         """`step(doc_ids, texts, masks)` for each group; a mask is true where a unit is covered."""
         anchors = self._answers(self._stage(self.roles, lambda g: g.ask_anchors(), ASK), "anchor")
-        first = self.roles.unionByName(anchors)
-        windows = self._answers(self._stage(first, lambda g: g.ask_windows(), ASK), "window")
-        return self._stage(first.unionByName(windows), lambda g: step(g.ids, g.texts, g.masks()), schema)
+        windows = self._answers(self._stage(self.roles.unionByName(anchors), lambda g: g.ask_windows(), ASK), "window")
+        return self._stage(self.roles.unionByName(windows), lambda g: step(g.ids, g.texts, g.masks()), schema)
 
 
 class _Group:
@@ -206,11 +208,13 @@ class _Group:
         self.spec, self.buckets, self.number = spec, buckets, number
         self.ids, self.texts = texts["doc_id"].to_pylist(), hashing.encoded(texts["text"])
         roles, self.answers = {}, {"anchor": {}, "window": {}}
-        for kind, key, bucket, flags in zip(*(said[c].to_pylist() for c in ("kind", "about", "bucket", "flags"))):
+        for kind, key, bucket, flags, carried in zip(*(said[c].to_pylist() for c in ("kind", "about", "bucket", "flags", "carried"))):
             if kind == "role":
                 roles[key] = bucket
-            else:
-                self.answers[kind][bucket] = flags
+                continue
+            self.answers[kind][bucket] = flags
+            if carried is not None:
+                self.answers["anchor"][bucket] = carried
         self.role = np.array([roles.get(k, _NO_ROLE) for k in texts["row_key"].to_pylist()], np.int8)
         self.laid = []
         for begin, end in hashing.chunks(map(len, self.texts)):
@@ -232,7 +236,7 @@ class _Group:
         return self._asked_anchors()[1].ask(self.number, self.buckets)
 
     def ask_windows(self) -> pa.Table:
-        return self._asked_windows()[1].ask(self.number, self.buckets)
+        return self._asked_windows()[1].ask(self.number, self.buckets, self.answers["anchor"])
 
     def masks(self) -> list[np.ndarray]:
         starts, question = self._asked_windows()
