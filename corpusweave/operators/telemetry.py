@@ -106,9 +106,20 @@ LIMITS_MS = [
 ]
 
 
-def threshold_exceedances(measures: DataFrame, limits: list[tuple[str, str, int]] | None = None) -> DataFrame:
-    """Measures (metric, tier, ms) above their limit. The limits are a short list of literals."""
-    pairs = [x for m, t, ms in (limits or LIMITS_MS) for x in (F.lit(f"{m}/{t}"), F.lit(ms).cast("bigint"))]
+def threshold_exceedances(measures: DataFrame, limits: DataFrame | list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """Measures (metric, tier, ms) above their limit, with it as `limit_ms`.
+
+    `limits` is a table (metric, tier, limit_ms), joined by hash, or a short list of literals. Of several limits for
+    one metric and tier the lowest holds; measures without a limit, or with a null metric or tier, are not above one.
+    """
+    if isinstance(limits, DataFrame):
+        lowest = limits.groupBy("metric", "tier").agg(F.min("limit_ms").cast("bigint").alias("limit_ms"))
+        found = measures.join(lowest, ["metric", "tier"]).filter(F.col("ms") > F.col("limit_ms"))
+        return found.select(*measures.columns, "limit_ms")
+    lowest = {}
+    for metric, tier, ms in limits or LIMITS_MS:
+        lowest[f"{metric}/{tier}"] = min(ms, lowest.get(f"{metric}/{tier}", ms))
+    pairs = [x for key, ms in lowest.items() for x in (F.lit(key), F.lit(ms).cast("bigint"))]
     limit = F.element_at(F.create_map(*pairs), F.concat("metric", F.lit("/"), "tier"))
     return measures.withColumn("limit_ms", limit).filter(F.col("ms") > F.col("limit_ms"))
 

@@ -72,6 +72,14 @@ def exceeded(spark, sf):
     return t.threshold_exceedances(measures)
 
 
+def exceeded_by_table(spark, sf):
+    """Waits above half the longest of their kind and priority."""
+    measures = bound(spark, sf, "operations").select(
+        "op_id", F.col("op_type").alias("metric"), F.col("priority").cast("string").alias("tier"), F.col("wait_s").alias("ms"))
+    limits = measures.groupBy("metric", "tier").agg(F.floor(F.max("ms") / 2).cast("bigint").alias("limit_ms"))
+    return t.threshold_exceedances(measures, limits)
+
+
 def _diagnostics(spark, sf):
     d = table(spark, sf, "orders").select(
         (F.col("o_custkey") % 300).alias("code"), F.col("o_orderpriority").alias("message"), (F.floor("o_totalprice") % 2).alias("side"))
@@ -192,6 +200,10 @@ QUERIES = {
     "threshold_exceedances": (exceeded, oracle("""
       , m as (select run_id, case run_id % 2 when 0 then 'prune_planning' else 'directory_move_convert' end as metric, case run_id % 2 when 0 then '500' else 'default' end as tier, operation_ms % 600 as ms from runs)
       select *, 300::bigint as limit_ms from m where ms > 300""", "runs")),
+    "exceedances_by_table": (exceeded_by_table, oracle("""
+      , m as (select op_id, op_type as metric, priority::varchar as tier, wait_s as ms from operations),
+      l as (select metric, tier, floor(max(ms) / 2)::bigint as limit_ms from m group by 1, 2)
+      select m.*, limit_ms from m join l using (metric, tier) where ms > limit_ms""", "operations")),
     "regressions": (regressed, f"""{DIAG}, c as (select code, message, count(*) filter (side = 1) - count(*) filter (side = 0) as surplus from d group by 1, 2) select * from c where surplus > 0"""),
     "regression_gate": (gated, f"""{DIAG} select count(*) filter (side = 0) as baseline, count(*) filter (side = 1) as current, count(*) filter (side = 1) > count(*) filter (side = 0) as failed from d"""),
     "snapshot_diff": (diffed, oracle("""select path, case length(content) % 10 when 1 then 'added' when 2 then 'removed' when 3 then 'modified' else 'unchanged' end as state from files""", "files")),

@@ -198,3 +198,14 @@ def test_max_before_and_following_on_a_hot_key(spark, many_ranges):
         got = out.filter(F.col("k") == key).orderBy("id").collect()
         assert [r.top for r in got] == [max(values[:i], default=None) for i in range(len(values))]
         assert [r.nxt for r in got] == [*values[1:], None]
+
+
+def test_limits_as_a_table(spark):
+    rows = [("a", "x", 10, 7), ("a", "x", 4, 8), ("a", None, 99, 9), ("b", "x", 99, 1), (None, "x", 99, 2)]
+    measures = spark.createDataFrame(rows, "metric string, tier string, ms bigint, extra int")
+    limits = [("a", "x", 5), ("a", "x", 6), ("a", "y", 1)]
+    table = spark.createDataFrame(limits, "metric string, tier string, limit_ms bigint")
+    for given in (table, limits):
+        assert [tuple(r) for r in t.threshold_exceedances(measures, given).collect()] == [("a", "x", 10, 7, 5)]
+    assert t.threshold_exceedances(measures, table.filter("false")).count() == 0
+    assert t.threshold_exceedances(measures.filter("false"), table).columns == [*measures.columns, "limit_ms"]
