@@ -30,11 +30,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    found = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("row_key")).alias("group"), F.col("n_shingles") > 0).agg(F.min("row_key").alias("row_key"))
+    """Of each group of linked documents the one with the smallest doc_id stays (nulls last, then the smallest key of the row)."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    first = jaccard_components(docs).groupBy("root_key").agg(F.min(place).alias("first")).select("first.row_key")
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(first.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

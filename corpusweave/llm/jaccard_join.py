@@ -263,11 +263,12 @@ class _Tables:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, row_key (xxhash64 of doc_id and text): documents linked by equal shingles, 100 * shared >= percent * union.
+    """doc_id, n_shingles, component_id, row_key (xxhash64 of doc_id and text), root_key: documents linked by equal shingles, 100 * shared >= percent * union.
 
     Words are runs of anything but ASCII white space after A-Z are lower-cased; a text of fewer than `size` words is one shingle; null and
     blank texts have none and link with nothing, so each is its own component. component_id is the
-    smallest doc_id that links reach. Equal rows link, an empty table gives an empty table, other columns are ignored.
+    smallest doc_id that links reach, and null or shared by components where ids are; root_key is a row_key of the component and tells
+    components apart whatever their ids. Equal rows link, an empty table gives an empty table, other columns are ignored.
     """
     tables = _Tables(docs, percent, size)
     left = tables.left
@@ -297,13 +298,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     roots = components(links).select(F.col("node").alias("chosen"), "root")
     classes = tables.classes.join(roots, "chosen", "left").withColumn("root", F.coalesce("root", "chosen"))
     smallest = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = classes.join(smallest, "root").select("n_shingles", "low", "high", "component_id")
+    named = classes.join(smallest, "root").select("n_shingles", "low", "high", "component_id", "root")
     out = tables.sets.join(named, ["n_shingles", "low", "high"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key",
+                      F.coalesce("root", "row_key").alias("root_key"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "root_key")
 
 
 QUERIES = {"op6_jaccard_join": (op6_jaccard_join, None)}
