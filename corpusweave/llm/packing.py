@@ -4,7 +4,7 @@ A chromosome is a list of bins. Crossover puts whole well-filled bins of one par
 the other, takes out the bins that hold one of those items twice, and best-fits the items set free, largest first.
 Items are dealt over groups; each group evolves on several islands, which send their
 best packing to the next island between epochs. Poorly filled bins of all groups are opened
-and their items packed again together, level by level, until one group is left.
+and their items packed again together, level by level, until one group is left or a level fills hardly any bin.
 """
 
 from __future__ import annotations
@@ -203,7 +203,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_items: int = GROUP_ITEMS
     """`pieces` (length and any columns) with sequence_id and offset.
 
     Pieces of the full capacity are sequences by themselves. The others are packed in groups of about
-    `group_items`; bins under 97 % full are opened and packed again over all groups, until a level fits in one group.
+    `group_items`; bins under 97 % full are opened and packed again over all groups, until a level fits in one group or
+    leaves over 90 % of its pieces in such bins; then the bins of all its groups stay as they are.
     Offsets follow each other without gaps. Pieces of equal length are exchangeable. An empty
     table gives an empty table.
     """
@@ -216,15 +217,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_items: int = GROUP_ITEMS
             break
         groups = -(-n // group_items)
         packed = written(_pack_groups(rest, groups, capacity, level), f"packed{level}")
-        good = packed if groups == 1 else packed.filter(F.col("fill") >= FULL_ENOUGH * capacity)
+        poor = packed.filter(F.col("fill") < FULL_ENOUGH * capacity)
+        last = groups == 1 or poor.count() > 0.9 * n  # long items only: no use in packing them yet again
+        good = packed if last else packed.filter(F.col("fill") >= FULL_ENOUGH * capacity)
         number = F.lit(level) * (1 << 56) + F.col("pack_group").cast("long") * (1 << 20) + F.col("bin")
         placed.append(good.select("uid", number.alias("sequence_id")))
-        if groups == 1:
+        if last:
             break
-        rest, before = packed.filter(F.col("fill") < FULL_ENOUGH * capacity).select("uid", "length"), n
-        level += 1
-        if rest.count() > 0.9 * before:  # long items only: no use in packing them yet again
-            group_items = max(group_items, before)
+        rest, level = poor.select("uid", "length"), level + 1
     full = numbered.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
     out = full.drop("uid")
     if placed:
