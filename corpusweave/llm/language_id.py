@@ -63,6 +63,10 @@ class _Space:
         self.used = 0
 
     def bundle(self, grams: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Sum of the vectors of `grams`, taken in slices that fit in the space."""
+        return sum(self._part(grams[k : k + self.MOST], times[k : k + self.MOST]) for k in range(0, len(grams), self.MOST))
+
+    def _part(self, grams: np.ndarray, times: np.ndarray) -> np.ndarray:
         new = grams[self.row[grams] < 0]
         if len(new):
             if self.used + len(new) > self.MOST:
