@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
-    "substring_dedup", "language_id", "line_dedup", "suffix_dedup", "quality", "jaccard_join", "license_scan", "decontamination", "chat_format", "packing",
+    "substring_dedup", "language_id", "line_dedup", "suffix_dedup", "quality", "jaccard_join", "license_scan", "decontamination", "chat_format", "packing", "merkle_manifest", "lexical_search", "line_quality_crf",
 ]
 
 
