@@ -72,20 +72,6 @@ class Pattern:
     unless: str | None = None
 
 
-# What an import looks like on one line.
-IMPORT_PATTERNS = [
-    Pattern(SCRIPT, "type_only", r"""^import type\s+.*?from\s+['"]([^'"]+)['"]"""),
-    Pattern(SCRIPT, "es_module", r"""^import\s+.*?from\s+['"]([^'"]+)['"]""", 1, r"import type"),
-    Pattern(SCRIPT, "common_js", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""),
-    Pattern(SCRIPT, "dynamic", r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)"""),
-    Pattern(("python",), "python_import", r"^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?"),
-    Pattern(("python",), "python_from_import", r"^\s*from\s+([\w.]+)\s+import\s+(.+)"),
-    Pattern(("rust",), "rust_use", r"^\s*(?:pub )?use ([^;]*);"),
-    Pattern(("lua",), "lua_require", r"""require\s*\(\s*["']([^"']+)["']\s*\)"""),
-    Pattern(("lua",), "lua_require", r"""require\s+["']([^"']+)["']"""),
-    Pattern(("shell",), "shell_source", r"""^\s*(?:source|\.)[ \t]+["']?([^\s"']+)["']?"""),
-]
-
 # What a declaration looks like on one line.
 SYMBOL_PATTERNS = [
     Pattern(("python",), "function", r"^(?:\s*)(?:async\s+)?def\s+(\w+)\s*\([^)]*\)\s*:"),

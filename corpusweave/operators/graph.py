@@ -292,28 +292,37 @@ def unused_symbols(symbols: DataFrame, uses: DataFrame, roots: tuple[str, ...] =
 
 
 def import_cleanup(imports: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Edits that take deleted names out of `{...}` imports; the line goes when none is left.
+    """Edits that take deleted names out of import and re-export lists; the statement goes when nothing is left.
 
-    Each import line is edited once, whatever the number of names it loses.
+    Lists are those in braces, and those of Python's `from` imports, over as many lines as they take. A name is meant as it stands in the list
+    (`a`, `type T`) or by what it is called at its source (`a` in `a as b`). Each statement is edited once, whatever the number
+    of names it loses. Offsets make the rows edits for `apply_edits`; a statement that goes takes its newline along where
+    it had its lines to itself.
     """
-    braces = r"\{([^}]*)\}"
-    lines = imports.filter(F.trim("statement").startswith("import") & F.col("statement").rlike(braces))
-    items = F.filter(F.transform(F.split(F.regexp_extract("statement", braces, 1), ","), lambda i: F.trim(i)),
-                     lambda i: i != "")
-    lines = lines.select("path", "line", "statement", items.alias("_items"))
-    gone = lines.select("path", "line", F.explode_outer("_items").alias("name")).join(
-        deleted.select("name").distinct(), "name", "left_semi").groupBy("path", "line").agg(
-        F.collect_set("name").alias("_gone"))
-    df = lines.join(gone, ["path", "line"]).withColumn("_left", F.array_except("_items", "_gone"))
-    head = F.regexp_extract("statement", r"^([^{]*\{)", 1)
-    tail = F.regexp_extract("statement", r"(\}.*)$", 1)
-    kept = F.concat(head, F.lit(" "), F.array_join("_left", ", "), F.lit(" "), tail)
-    empty = F.size("_left") == 0
+    braces, listed = r"(?s)\{([^{}]*)\}", F.col("import_type") == "python_from_import"
+    given = imports.filter(listed | (F.col("import_type").isin("es_module", "type_only", "re_export") & F.col("clause").contains("{")))
+    inner = F.when(listed, F.regexp_replace("clause", r"[()]", "")).otherwise(F.regexp_extract("clause", braces, 1))
+    items = F.filter(F.transform(F.split(inner, ","), lambda i: F.trim(i)), lambda i: i != "")
+    lines = given.select("path", "line", "start_off", "end_off", "statement", "clause", "newline", listed.alias("_python"), items.alias("_items"))
+    called = lambda i: F.substring_index(F.regexp_replace(i, r"^type\s+", ""), " as ", 1)
+    each = lines.select("path", "start_off", F.explode_outer("_items").alias("item"))
+    keys = each.select("path", "start_off", "item", F.explode_outer(F.array_distinct(F.array("item", called(F.col("item"))))).alias("name"))
+    gone = keys.join(deleted.select("name").distinct(), "name", "left_semi").groupBy("path", "start_off").agg(
+        F.collect_set("item").alias("_gone"))
+    df = lines.join(gone, ["path", "start_off"]).withColumn("_left", F.filter("_items", lambda i: ~F.array_contains("_gone", i)))
+    statement, left = F.col("statement"), F.array_join("_left", ", ")
+    head, tail = F.regexp_extract(statement, r"(?s)^([^{]*\{)", 1), F.regexp_extract(statement, r"(?s)(\}[^{}]*)$", 1)
+    default = F.regexp_extract(head, r"(?s)^(.*?)\s*,\s*\{$", 1)
+    python = F.concat(F.regexp_extract(statement, r"(?s)^(from.*?\bimport)\b", 1), F.lit(" "), left)
+    nothing = F.size("_left") == 0
+    empty = nothing & (F.col("_python") | (default == ""))
+    text = (F.when(empty, "").when(F.col("_python"), python)
+            .when(nothing, F.concat(default, F.lit(" "), F.regexp_replace(tail, r"^\}\s*", "")))
+            .otherwise(F.concat(head, F.lit(" "), left, F.lit(" "), tail)))
     return df.select(
-        "path", "line",
+        "path", "line", "start_off", (F.col("end_off") + F.when(empty, F.length("newline")).otherwise(0)).alias("end_off"),
         F.when(empty, "delete").otherwise("replace").alias("edit_type"),
-        F.col("statement").alias("original_text"),
-        F.when(empty, "").otherwise(kept).alias("new_text"))
+        F.when(empty, F.concat(statement, "newline")).otherwise(statement).alias("original_text"), text.alias("new_text"))
 
 
 def package_edges(dependencies: DataFrame, members: DataFrame) -> DataFrame:

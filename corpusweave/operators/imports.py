@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import IMPORT_PATTERNS, Pattern, first_hits, pattern_language_of
+from ..functions.languages import Pattern, first_hits, pattern_language_of
 from ..functions.paths import file_name, folder, joined, normalized, without_extension
+from ..functions.statements import parts_of, statements_of
 from ..functions.text import lines_of
 
 # Endings tried for a specifier without one, in order.
@@ -17,29 +18,50 @@ def _languages(files: DataFrame) -> Column:
     return F.col("language") if "language" in files.columns else pattern_language_of(F.col("path"))
 
 
+def _tidy_tree(tree: Column) -> Column:
+    """A Rust use tree on one line."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(tree, r"\{ ", "{"), r",? ?\}", "}"), r" ?:: ?", "::")
+
+
+def _in_lines(content: Column, language: Column, patterns: list[Pattern]) -> Column:
+    """Imports that one line shows, by patterns that the caller brings."""
+    row = lambda line, i: F.transform(first_hits(line, language, patterns), lambda h: F.struct(
+        F.lit(None).cast("bigint").alias("start_off"), F.lit(None).cast("bigint").alias("end_off"), i.cast("bigint").alias("line"),
+        line.alias("statement"), F.lit("").alias("newline"), h["kind"].alias("kind"), h["name"].alias("module"), F.lit("").alias("clause")))
+    return F.flatten(F.transform(lines_of(content), row))
+
+
 def extract_imports(
     files: DataFrame, extra: tuple[Pattern, ...] = (), keep: tuple[str, ...] = ("path",)
 ) -> DataFrame:
-    """One row per import statement: module path, kind, line number and the line itself.
+    """One row per import: module path, kind, line number, statement and its place; re-exports and imports for side effects too.
 
-    A cheap test on the line comes before the patterns; all patterns are rows
-    of one list, so a new language is one more row in `extra`.
+    Statements are read whole, over as many lines as they take, and not from comments or strings. All grammars are rows of one list
+    (`functions/statements.py`); `extra` adds patterns for single lines of further languages. `import a, b` is one row per module.
+    `clause` holds the bound names, `newline` the line end behind a statement that has its lines to itself.
     """
-    patterns = [*IMPORT_PATTERNS, *extra]
-    lines = files.select(
-        *keep, _languages(files).alias("language"),
-        F.posexplode_outer(lines_of(F.col("content"))).alias("line", "statement"))
-    hint = F.col("statement").rlike(r"import|require|use |source|^\s*\.[ \t]|from")
-    if not extra:
-        lines = lines.filter(hint)
-    hits = lines.select(
-        *keep, "language", F.col("line").cast("bigint").alias("line"), "statement",
-        F.explode_outer(first_hits(F.col("statement"), F.col("language"), patterns)).alias("h")).filter(
-        "h is not null")
-    kind = F.col("h.kind")
-    return hits.select(
-        *keep, "language", F.col("h.name").alias("module_path"), kind.alias("import_type"),
-        (kind == "type_only").alias("type_only"), "line", "statement")
+    language = F.col("language")
+    df = files.select(*keep, _languages(files).alias("language"), "content")
+    found = df.select(*keep, "language", *(["content"] if extra else []),
+                      F.explode_outer(statements_of(F.col("content"), language)).alias("s"))
+    whole = found.filter("s is not null").select(
+        *keep, "language", "s.*", parts_of(F.col("s.statement"), language).alias("p"))
+    items = F.split("p.clause", r" ?, ?")
+    several = F.when(F.col("p.kind") == "python_import", F.transform(
+        items, lambda i: F.struct(F.substring_index(i, " ", 1).alias("module"), i.alias("clause")))).otherwise(F.array(F.struct(
+            F.when(F.col("p.kind") == "rust_use", _tidy_tree(F.col("p.module"))).otherwise(F.col("p.module")).alias("module"),
+            F.when(F.col("p.kind") == "rust_use", _tidy_tree(F.col("p.module"))).otherwise(F.col("p.clause")).alias("clause"))))
+    rows = whole.select(*keep, "language", "start_off", "end_off", "line", "statement", "newline", F.col("p.kind").alias("kind"),
+                        F.explode_outer(several).alias("m")).select("*", "m.module", "m.clause").drop("m")
+    if extra:
+        lined = df.select(*keep, "language", F.explode_outer(_in_lines(F.col("content"), language, list(extra))).alias("s")).filter(
+            "s is not null").select(*keep, "language", "s.*")
+        rows = rows.unionByName(lined)
+    kind = F.col("kind")
+    typed = (kind == "type_only") | ((kind == "re_export") & F.col("clause").startswith("type "))
+    return rows.select(
+        *keep, "language", F.col("module").alias("module_path"), kind.alias("import_type"),
+        typed.alias("type_only"), "line", "statement", "clause", "start_off", "end_off", "newline")
 
 
 def _named(inner: Column) -> Column:
@@ -56,40 +78,44 @@ def _named(inner: Column) -> Column:
     return F.transform(items, one)
 
 
+def _leaves(tree: Column) -> Column:
+    """Leaves of a Rust use tree as a list in braces: what stands before an opening brace is a prefix, no name."""
+    runs = F.regexp_extract_all(tree, F.lit(r"[^{},]+\{?"), F.lit(0))
+    names = F.transform(F.filter(runs, lambda r: ~r.endswith("{") & (F.trim(r) != "")), lambda r: F.trim(F.substring_index(r, "::", -1)))
+    return F.concat(F.lit("{"), F.array_join(names, ","), F.lit("}"))
+
+
 def import_bindings(imports: DataFrame) -> DataFrame:
-    """One row per bound name: default, namespace, or named with its alias."""
-    s = F.trim(F.col("statement"))
-    clause = (
-        F.when(F.col("import_type").isin("es_module", "type_only"),
-               F.trim(F.regexp_replace(F.regexp_extract(s, r"^import\s+(.*?)\s+from\s", 1), r"^type\s+", "")))
-        .when(F.col("import_type") == "python_from_import",
-              F.concat(F.lit("{"), F.regexp_replace(F.regexp_extract(s, r"\simport\s+(.+)$", 1), r"[()]", ""), F.lit("}")))
-        .when(F.col("import_type") == "python_import", F.concat(F.lit("* as "), F.coalesce(
-            F.nullif(F.regexp_extract(s, r"\sas\s+(\w+)", 1), F.lit("")), F.col("module_path"))))
-        .when((F.col("import_type") == "rust_use") & F.col("module_path").contains("{"),
-              F.regexp_extract("module_path", r"(\{.*\})", 1))
-        .when(F.col("import_type") == "rust_use",
-              F.concat(F.lit("{"), F.substring_index("module_path", "::", -1), F.lit("}")))
+    """One row per bound name: default, namespace, or named with its alias; `re_export` for names that are only handed on."""
+    kind, clause = F.col("import_type"), F.col("clause")
+    listed = (
+        F.when(kind.isin("es_module", "type_only"), clause)
+        .when(kind == "re_export", F.regexp_replace(F.regexp_replace(clause, r"^type ", ""), r"^\*(.*)$", r"{*$1}"))
+        .when(kind == "python_from_import", F.concat(F.lit("{"), F.regexp_replace(clause, r"[()]", ""), F.lit("}")))
+        .when(kind == "python_import", F.concat(F.lit("* as "), F.coalesce(
+            F.nullif(F.regexp_extract(clause, r" as (\w+)", 1), F.lit("")), F.col("module_path"))))
+        .when(kind == "rust_use", _leaves(clause))
         .otherwise("")
     )
-    df = imports.withColumn("_clause", clause).filter(F.col("_clause") != "")
+    df = imports.withColumn("_clause", listed).filter(F.col("_clause") != "")
     c = F.col("_clause")
     none = F.array().cast("array<struct<binding:string,name:string,alias:string,type_only:boolean>>")
     lead = F.trim(F.regexp_extract(c, r"^([^{*,]*)", 1))
     default = F.when(lead != "", F.array(F.struct(
         F.lit("default").alias("binding"), lead.alias("name"), F.lit(None).cast("string").alias("alias"),
         F.lit(False).alias("type_only")))).otherwise(none)
-    star = F.trim(F.regexp_extract(c, r"\*\s+as\s+(.*)$", 1))
+    star = F.trim(F.regexp_extract(c, r"^[^{]*\*\s*as\s+(.*)$", 1))
     namespace = F.when(star != "", F.array(F.struct(
         F.lit("namespace").alias("binding"), star.alias("name"), F.lit(None).cast("string").alias("alias"),
         F.lit(False).alias("type_only")))).otherwise(none)
     named = F.when(c.contains("{"), _named(F.regexp_extract(c, r"\{(.*)\}", 1))).otherwise(none)
     out = df.select("path", "module_path", "line", "import_type", F.col("type_only").alias("_typed"),
                     F.explode_outer(F.concat(default, namespace, named)).alias("b")).filter("b is not null")
+    handed_on = F.col("import_type") == "re_export"
     return out.select(
-        "path", "module_path", "line", "b.binding", "b.name", "b.alias",
+        "path", "module_path", "line", F.when(handed_on, "re_export").otherwise(F.col("b.binding")).alias("binding"), "b.name", "b.alias",
         (F.col("b.type_only") | F.col("_typed")).alias("type_only"),
-        F.coalesce(F.col("b.alias"), F.col("b.name")).alias("local_name"))
+        F.when(~handed_on, F.coalesce(F.col("b.alias"), F.col("b.name"))).alias("local_name"))
 
 
 # What a link looks like.

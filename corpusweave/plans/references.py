@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import imports as im
+from ..operators.edits import apply_edits
 from ..operators.symbols import extract_symbols
 from ..sources.bindings import bound, oracle, table
 
@@ -171,7 +172,61 @@ def cleaned_imports(spark, sf):
     files = bound(spark, sf, "code_corpus")
     deleted = files.select(F.concat(F.lit("f"), F.regexp_extract("path", r"/c(\d+)\.", 1)).alias("name")).union(
         files.select(F.lit("type Ref").alias("name")).distinct())
-    return g.import_cleanup(im.extract_imports(files), deleted)
+    edits = g.import_cleanup(im.extract_imports(files), deleted)
+    return edits.select("path", "line", "edit_type", F.regexp_replace("original_text", r"\n$", "").alias("original_text"), "new_text")
+
+
+def statement_imports(spark, sf):
+    rows = im.extract_imports(bound(spark, sf, "module_corpus"))
+    return rows.select("path", "language", "module_path", "import_type", "type_only", "line", "start_off", "end_off")
+
+
+def statement_bindings(spark, sf):
+    rows = im.import_bindings(im.extract_imports(bound(spark, sf, "module_corpus")))
+    return rows.select("path", "module_path", "line", "binding", "name", "alias", "type_only", "local_name")
+
+
+def cleaned_texts(spark, sf):
+    """Texts after deleted names have left their imports and re-exports."""
+    files = bound(spark, sf, "module_corpus")
+    names = [f"f{n}" for n in range(0, 19, 2)] + ["e", "Only1", "Q2", "d", "n3", "a4"]
+    deleted = spark.createDataFrame([(n,) for n in names], "name string")
+    edits = g.import_cleanup(im.extract_imports(files), deleted).withColumn("edit_no", F.col("start_off"))
+    done = apply_edits(files, edits)
+    return done.select("path", "new_content", F.size(F.filter("edits", lambda e: e["reason"].isNull())).cast("bigint").alias("applied"))
+
+
+# Tokens of the module corpus, read by the checking engine: comments, strings, statements, words, and single characters.
+_SKIPPED = r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|`[^`]*`"""
+_TOKEN = {
+    "typescript": _SKIPPED + r"""|import\s+[^'"`();]*?from\s*'[^']*';?|import\s*'[^']*';?|export\s+[^'"`();=]*?from\s*'[^']*';?"""
+    r"""|require\s*\(\s*'[^']*'\s*\)|import\s*\(\s*'[^']*'\s*\)|'[^'\n]*'|\w+|.""",
+    "python": r'""".*?"""|#[^\n]*|import [\w.]+(?: as \w+)?(?:, [\w.]+(?: as \w+)?)*|from [\w.]+ import (?:\([^()]*\)|\*|\w+)|\w+|.',
+    "rust": r"""//[^\n]*|"[^"\n]*"|(?:pub(?:\([^)]*\))? )?use\s[^;]*;|\w+|.""",
+}
+_IN_SQL = " ".join("when '{}' then regexp_extract_all(content, '(?s){}')".format(k, v.replace("'", "''")) for k, v in _TOKEN.items())
+STATEMENTS = r""", lang as (select path, content, case when path like '%.ts' then 'typescript' when path like '%.py' then 'python' else 'rust' end as language from module_corpus),
+  cut as (select path, language, case language @TOKENS end as tokens from lang),
+  tok as (select path, language, unnest(tokens) as s, generate_subscripts(tokens, 1) as i from cut),
+  placed as (select *, sum(length(s)) over w as end_off, sum(length(s) - length(replace(s, chr(10), ''))) over w as breaks from tok
+    window w as (partition by path order by i)),
+  stmt as (select path, language, s, (end_off - length(s))::bigint as start_off, end_off::bigint as end_off,
+      (breaks - (length(s) - length(replace(s, chr(10), ''))))::bigint as line,
+      trim(regexp_replace(regexp_replace(s, case language when 'python' then '#[^\n]*' else '//[^\n]*' end, ' ', 'g'), '\s+', ' ', 'g')) as flat
+    from placed where regexp_matches(s, '^(import|export|require|from|use|pub)\W.+', 's')),
+  kinds as (select *, case when language = 'rust' then 'rust_use' when language = 'python' and s like 'from%' then 'python_from_import' when language = 'python' then 'python_import'
+      when s like 'export%' then 're_export' when s like 'require%' then 'common_js' when regexp_matches(s, '^import\s*\(') then 'dynamic'
+      when regexp_matches(s, '^import\s*''') then 'side_effect' when regexp_matches(s, '^import\s+type\s+\{') then 'type_only' else 'es_module' end as import_type from stmt),
+  one as (select *, case import_type when 'rust_use' then replace(replace(replace(regexp_extract(flat, 'use (.*);', 1), '{ ', '{'), ', }', '}'), ' }', '}')
+      when 'python_from_import' then regexp_extract(flat, 'from (\S+)', 1) else regexp_extract(flat, '''([^'']*)''', 1) end as m,
+      case import_type when 'rust_use' then regexp_extract(flat, 'use (.*);', 1) when 'python_from_import' then regexp_extract(flat, ' import (.*)$', 1)
+      else regexp_extract(flat, '^(?:import|export) (?:type )?(.*) from ', 1) end as clause from kinds),
+  imp as (select path, language, m as module_path, import_type, import_type = 'type_only' or flat like 'export type%' as type_only, line, start_off, end_off, clause
+      from one where import_type <> 'python_import'
+    union all select path, language, split_part(item, ' ', 1), import_type, false, line, start_off, end_off, item
+      from (select *, unnest(string_split(regexp_replace(flat, '^import ', ''), ', ')) as item from one where import_type = 'python_import')),
+  item as (select *, unnest(case when import_type = 'python_import' then [clause] else regexp_extract_all(clause, '[^{}(),]+[{]?') end) as raw from imp),
+  name as (select *, trim(raw) as x from item where trim(replace(raw, '{', '')) <> '' and not (import_type = 'rust_use' and raw like '%{'))""".replace("@TOKENS", _IN_SQL)
 
 
 # The import corpus as rows, from its numbers instead of its text.
@@ -215,6 +270,27 @@ QUERIES = {
       union all select path, 'crate::pkg' || (k % 11) || '::{Alpha, Beta as B}', 2, 'named', 'Alpha', null, false from c where k % 4 = 2
       union all select path, 'crate::pkg' || (k % 11) || '::{Alpha, Beta as B}', 2, 'named', 'Beta', 'B', false from c where k % 4 = 2
       union all select path, '../lib/u' || (k % 17), 0, 'default', 'def' || (k % 17), null, false from c where k % 4 = 3""", "code_corpus")),
+    "statement_imports": (statement_imports, oracle(STATEMENTS + """
+      select path, language, module_path, import_type, type_only, line, start_off, end_off from imp""", "module_corpus")),
+    "statement_bindings": (statement_bindings, oracle(STATEMENTS + r""",
+      told as (select path, module_path, line, import_type, type_only, x like 'type %' as typed, regexp_replace(x, '^type ', '') as y,
+          import_type in ('es_module', 'type_only') and strpos(clause, raw) < strpos(clause, '{') as lead from name)
+      select path, module_path, line, binding, name, alias, type_only, case when binding <> 're_export' then coalesce(alias, name) end as local_name from (
+        select path, module_path, line, case when import_type = 're_export' then 're_export' when import_type = 'python_import' then 'namespace' when lead then 'default' else 'named' end as binding,
+          case when import_type = 'python_import' then coalesce(nullif(regexp_extract(y, ' as (\w+)', 1), ''), module_path)
+               else regexp_extract(split_part(y, ' as ', 1), '([^:]*)$', 1) end as name,
+          case when y like '% as %' and import_type <> 'python_import' then split_part(y, ' as ', 2) end as alias, type_only or typed as type_only from told)""", "module_corpus")),
+    "cleaned_texts": (cleaned_texts, oracle(r""", k as (select *, regexp_extract(path, '/c([0-9]+)[.]', 1)::bigint as k, path like '%.ts' as ts, path like '%.py' as py from module_corpus),
+      a as (select *, ts and (k % 19) % 2 = 0 as f_gone, ts and k % 2 = 1 as only_gone, ts and k % 3 = 2 as q_gone, py and k % 5 = 3 as n_gone, py and k % 7 = 4 as a_gone from k),
+      b as (select *, case when f_gone then regexp_replace(regexp_replace(content, 'import \{[^}]*, // note from x\s+type (T\d+),\s+\} from', 'import { g' || (k % 7) || ' as h, type \1 } from'),
+          'export \{ f\d+ as default, from \}', 'export { from }') else content end as c1 from a),
+      c as (select *, case when ts then replace(c1, ', { e } from ' || chr(39) || './d', ' from ' || chr(39) || './d') else c1 end as c2 from b),
+      d as (select *, case when only_gone then regexp_replace(c2, 'import type \{[^}]*\} from [^;]*;\n', '') else c2 end as c3 from c),
+      e as (select *, case when q_gone then regexp_replace(c3, 'export type \{ Q2 \} from [^;]*;\n', '') else c3 end as c4 from d),
+      f as (select *, case when py then regexp_replace(c4, 'import \([^)]*\)', case when a_gone then 'import b as c' else 'import a' || (k % 7) || ', b as c' end) else c4 end as c5 from e),
+      g as (select *, case when n_gone then replace(c5, 'from m import n3', '') else c5 end as c6 from f)
+      select path, c6 as new_content, case when ts then (case when f_gone then 2 else 0 end + 1 + only_gone::int + q_gone::int) else 1 + n_gone::int end::bigint as applied
+      from g where ts or py""", "module_corpus")),
     "extract_links": (markdown_links, oracle("""
       , l as (select path, 'inline' as kind, unnest(regexp_extract_all(content, '!?\\[[^\\]]+\\]\\(([^)]+)\\)', 1)) as t from doc_corpus
         union all select path, 'definition', unnest(regexp_extract_all(content, '(?m)^[ \\t]*\\[[^\\]]+\\]:[ \\t]*(\\S+)', 1)) from doc_corpus

@@ -122,6 +122,57 @@ CODE_CORPUS = f"""select concat('proj', cast(k % 7 as string), '/src/d', cast(k
              when 2 then {text_sql(_RS)} else {text_sql(_JS)} end as content
 from (select p_partkey as k, p_name, p_brand, p_size from part) p"""
 
+# Statements over several lines, several on one line, and what only looks like one.
+_TS_MODULES = """/* import { no } from './no'; */
+import {
+  f<<k % 19>>,
+  g<<k % 7>> as h, // note from x
+  type T<<k % 5>>,
+} from './m<<k % 50>>';
+import './side<<k % 7>>';
+export { f<<k % 19>> as default, from } from '../lib/u<<k % 17>>';
+export * as ns from './ns<<k % 5>>';
+export type { Q<<k % 3>> } from './q';
+import D<<k % 4>>, { e } from './d'; import { z<<k>> } from './z';
+const s = "import { x } from './string'";
+import type {
+  Only<<k % 2>>,
+} from './types<<k % 9>>';
+const m = require(
+  './cjs<<k % 6>>'
+), t = `
+import { y } from './template';
+`;
+export const v = async () => import('./lazy<<k % 8>>');
+"""
+_PY_MODULES = '''"""
+import no
+"""
+import os, sys as s<<k % 3>>
+from .x<<k % 11>> import (
+    a<<k % 7>>, b as c,  # note
+    d,
+)
+from m import n<<k % 5>>  # note
+if True: import q<<k % 4>>; from . import z
+raise E from e
+# import commented
+from star import *
+'''
+_RS_MODULES = """use a<<k % 9>>::{
+    b::{c, d as dd}, // x
+    e as f<<k % 4>>,
+    self,
+};
+pub(crate) use crate::x::Y<<k % 6>>;
+/// use doc::no;
+let s = "use x::y;"; fn f<'a>() {}
+use std::fmt;
+"""
+MODULE_CORPUS = f"""select concat('mod', cast(k % 11 as string), '/c', cast(k as string), case k % 3 when 0 then '.ts' when 1 then '.py' else '.rs' end) as path,
+  case k % 3 when 0 then {text_sql(_TS_MODULES)} when 1 then {text_sql(_PY_MODULES)} else {text_sql(_RS_MODULES)} end as content
+from (select p_partkey as k from part) p"""
+
 _MARKDOWN = """# Guide <<c_custkey>>
 See [the part](./docs/p<<c_custkey % 40>>.md#top) and [site](https://example.com/a) or ![pic](img/<<c_custkey % 5>>.png).
 ## Section <<c_mktsegment>>
@@ -212,6 +263,7 @@ BINDINGS = {
     "files": FILES,
     "import_corpus": IMPORT_CORPUS,
     "code_corpus": CODE_CORPUS,
+    "module_corpus": MODULE_CORPUS,
     "doc_corpus": DOC_CORPUS,
     "config_corpus": CONFIG_CORPUS,
     "manifests": MANIFESTS,
@@ -241,7 +293,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 # Bindings whose rows are texts, with the table each is made from.
 TEXTS = {
-    "files": "documents", "code_corpus": "part", "doc_corpus": "customer", "config_corpus": "customer",
+    "files": "documents", "code_corpus": "part", "module_corpus": "part", "doc_corpus": "customer", "config_corpus": "customer",
     "manifests": "customer",
 }
 

@@ -171,3 +171,46 @@ def test_module_scan(spark, files_of):
     assert rows(im.scan_references(files, modules), "line", "kind", "module") == [
         (0, "declaration", "pkg"), (0, "declaration", "pkg.sub"), (0, "qualified_path", "pkg"), (1, "declaration", "pkg"),
         (2, "qualified_path", "pkg"), (2, "string_literal", "pkg")]
+
+
+def test_whole_statements(files_of):
+    ts = ("/* import { no } from './no'; */\nimport {\n  a,\n  b as c, // from './note'\n  type T,\n} from './m';\nimport './side';\n"
+          "export { d as default, from } from './u';\nexport * as ns from './ns';\nexport * from './all';\nexport type { Q } from './q';\n"
+          "import D, { e } from './d'; import { from } from './z';\nconst s = \"import { x } from './string'\";\nconst m = require(\n  './cjs'\n), t = `\n"
+          "import { y } from './template';\n`;\nimport type, { g } from './t';\nimport R, * as X from \"react\"\nimport type {\n  Only,\n} from './types';\n")
+    py = ('"""\nimport no\n"""\nimport os, sys as s\nfrom .x import (\n    a, b as c,  # note\n    d,\n)\nfrom m import n  # note\nimport \\\n    long.name as ln\n'
+          "if True: import q; from . import z\nraise E from e\n# import commented\nfrom star import *\n")
+    rs = "use a::{\n    b::{c, d as dd}, // x\n    e as f,\n    self,\n};\npub(crate) use crate::x::Y;\n/// use doc::no;\nlet s = \"use x::y;\"; fn f<'a>() {}\nuse std::fmt;\nlet r = r#\"use raw::no;\"#;\n"
+    imports = im.extract_imports(files_of(("a.ts", ts), ("b.py", py), ("c.rs", rs), ("d.ts", None), ("e.ts", ""), ("f.ts", "import './a'\r\nimport './b'\r\n")))
+    of = lambda p, *c: rows(imports.filter(F.col("path") == p), *c)
+    assert sorted(of("a.ts", "line", "module_path", "import_type")) == [
+        (1, "./m", "es_module"), (6, "./side", "side_effect"), (7, "./u", "re_export"), (8, "./ns", "re_export"), (9, "./all", "re_export"),
+        (10, "./q", "re_export"), (11, "./d", "es_module"), (11, "./z", "es_module"), (13, "./cjs", "common_js"), (18, "./t", "es_module"),
+        (19, "react", "es_module"), (20, "./types", "type_only")]
+    assert sorted(of("b.py", "line", "module_path")) == [
+        (3, "os"), (3, "sys"), (4, ".x"), (8, "m"), (9, "long.name"), (11, "."), (11, "q"), (14, "star")]
+    assert sorted(of("c.rs", "line", "module_path")) == [(0, "a::{b::{c, d as dd}, e as f, self}"), (5, "crate::x::Y"), (8, "std::fmt")]
+    assert sorted(of("f.ts", "line", "start_off", "newline")) == [(0, 0, "\r\n"), (1, 14, "\r\n")]
+    texts = {"a.ts": ts, "b.py": py, "c.rs": rs, "f.ts": "import './a'\r\nimport './b'\r\n"}
+    assert all(texts[r.path][r.start_off : r.end_off] == r.statement for r in imports.collect())
+    names = {(r.path, r.name, r.alias, r.binding) for r in im.import_bindings(imports).collect()}
+    assert {("a.ts", "b", "c", "named"), ("a.ts", "T", None, "named"), ("a.ts", "d", "default", "re_export"), ("a.ts", "*", "ns", "re_export"),
+            ("a.ts", "type", None, "default"), ("a.ts", "X", None, "namespace"), ("b.py", "s", None, "namespace"), ("b.py", "n", None, "named"),
+            ("b.py", "d", None, "named"), ("c.rs", "c", None, "named"), ("c.rs", "d", "dd", "named"), ("c.rs", "fmt", None, "named")} <= names
+    assert not {n for _, n, _, _ in names} & {"no", "x", "y", "n  # note", "commented"}
+
+
+def test_import_cleanup_over_lines(spark, files_of):
+    from corpusweave.operators.edits import apply_edits
+
+    files = files_of(("a.ts", "import {\n  a,\n  b as c,\n} from './m';\nimport D, { a } from './d';\nexport { a } from './e';\nrest;\n"),
+                     ("b.py", "from m import (\n    a,  # one\n    z,\n)\nfrom n import a\nx = 1\n"))
+    gone = spark.createDataFrame([("a",), ("b",)], "name string")
+    edits = g.import_cleanup(im.extract_imports(files), gone).withColumn("edit_no", F.col("start_off"))
+    got = {r.path: r.new_content for r in apply_edits(files, edits).collect()}
+    assert got == {"a.ts": "import D from './d';\nrest;\n", "b.py": "from m import z\nx = 1\n"}
+
+
+def test_long_texts_do_not_overflow(files_of):
+    text = "x" * 300_000 + "\nimport a from './b'\n" + "'" + "y " * 100_000 + "'\n" + "// c\n" * 20_000 + "import {" + "n, " * 20_000 + "} from './c'"
+    assert rows(im.extract_imports(files_of(("a.ts", text))), "module_path") == [("./b",), ("./c",)]
