@@ -10,6 +10,7 @@ Repetitions are possessive: they do not backtrack and do not nest, however long
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -96,9 +97,7 @@ def _newlines(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
-def _placed(tokens: Column, grammar: Grammar) -> Column:
-    opens = rf"(?s)^(?:{'|'.join(s.regex for s in grammar.statements)})$"
-
+def _placed(tokens: Column, opens: Callable[[Column], Column]) -> Column:
     def of(all_tokens: Column) -> Column:
         def row(ends: Column, lines: Column) -> Column:
             def one(i: Column) -> Column:
@@ -109,7 +108,7 @@ def _placed(tokens: Column, grammar: Grammar) -> Column:
                     (F.get(ends, i) - F.length(token)).alias("start_off"), F.get(ends, i).alias("end_off"),
                     (F.get(lines, i) - _newlines(token)).alias("line"), token.alias("statement"), F.coalesce(newline, F.lit("")).alias("newline"))
 
-            wanted = F.filter(F.sequence(F.lit(0), F.size(all_tokens) - 1), lambda i: F.get(all_tokens, i).rlike(opens))
+            wanted = F.filter(F.sequence(F.lit(0), F.size(all_tokens) - 1), lambda i: opens(F.get(all_tokens, i)))
             return F.transform(wanted, one)
 
         places = running_sum(F.transform(all_tokens, lambda t: F.length(t).cast("bigint")))
@@ -120,12 +119,14 @@ def _placed(tokens: Column, grammar: Grammar) -> Column:
 
 def statements_of(text: Column, language: Column, grammars: tuple[Grammar, ...] = GRAMMARS) -> Column:
     """start_off, end_off, line (from 0), statement, and the line end behind it if it has its lines to itself, for each statement of a text."""
-    out = F.array().cast(FOUND)
+    tokens, fits = F.lit(None).cast("array<string>"), []
     for g in grammars:
+        own = language.isin(*g.languages)
         begins = F.lit(True) if not g.opening else text.rlike(rf"\b(?:{g.opening})\b")
-        out = F.when(language.isin(*g.languages) & (text != "") & begins,
-                     _placed(F.regexp_extract_all(text, F.lit(g.tokens()), F.lit(0)), g)).otherwise(out)
-    return out
+        tokens = F.when(own & (text != "") & begins, F.regexp_extract_all(text, F.lit(g.tokens()), F.lit(0))).otherwise(tokens)
+        fits.append((own, rf"(?s)^(?:{'|'.join(s.regex for s in g.statements)})$"))
+    opens = lambda token: F.coalesce(*[F.when(own, token.rlike(whole)) for own, whole in fits])
+    return _placed(tokens, opens)
 
 
 def plain(text: Column, comment: str) -> Column:
