@@ -18,12 +18,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def incremental_reindex(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Edges after some files changed: theirs are dropped, `fresh` ones are added.
 
-    `changed(path)` lists changed and removed files.
+    `changed(path)` lists changed and removed files; `edges` holds each edge once.
     """
     paths = changed.select(F.col("path").alias("src")).distinct()
     kept = edges.join(paths, "src", "left_anti").select("src", "dst")
-    added = fresh.join(paths, "src", "left_semi").select("src", "dst")
-    return kept.unionByName(added).distinct()
+    added = fresh.join(paths, "src", "left_semi").select("src", "dst").distinct()
+    return kept.unionByName(added)
 
 
 # Lifetimes in seconds.

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.text import micros
 from ..operators import snapshots as sn, telemetry as t, windows as w
 from ..operators.imports import edges_of, extract_imports, resolve_imports
+from ..session import checkpoint_dir
 from ..sources.bindings import bound, oracle, table
 from ..streaming import changes as ch, progress as pr, requests as rq
+from ..streaming.edge_store import EdgeStore
 
 
 def _us(c):
@@ -114,6 +116,27 @@ def reindexed(spark, sf):
     return sn.incremental_reindex(edges, changed.select("path"), fresh)
 
 
+def stored_edges(spark, sf):
+    """Edges after three batches: first texts, changes with late versions, and removals with returns to the first text."""
+    import uuid
+
+    files = bound(spark, sf, "import_corpus").withColumn("n", F.regexp_extract("path", r"/s(\d+)[.]", 1).cast("bigint"))
+    store = EdgeStore(spark, f"{checkpoint_dir(spark)}/edge-store-{uuid.uuid4().hex}", 8)
+
+    def version(rows, second, content, deleted=False):
+        return rows.select("path", content.alias("content"), F.sha2(content, 256).alias("sha256"),
+                           F.timestamp_seconds(F.lit(second)).alias("modified_at"), F.lit(deleted).alias("deleted"))
+
+    whole, first = F.col("content"), F.substring_index("content", "\n", 1)
+    changed = files.filter(F.col("path").rlike("^src/m[0369]/"))
+    store.apply(version(files, 1000, whole), 0)
+    store.apply(version(changed, 1010, first).unionByName(version(files.filter(F.col("path").rlike("^src/m1/")), 990, F.lit(""))), 1)
+    store.compact()
+    store.apply(version(files.filter("n % 4 = 1"), 1020, F.lit(None).cast("string"), True).unionByName(
+        version(changed.filter("n % 10 = 3 and n % 4 <> 1"), 1020, whole)), 2)
+    return store.edges()
+
+
 def stale_entries(spark, sf):
     index = bound(spark, sf, "requests").select("request_id", F.col("ts").alias("cached_at"))
     return sn.expired(index, F.lit("2024-01-20 12:00:00").cast("timestamp")).select("request_id")
@@ -211,6 +234,11 @@ QUERIES = {
       , n as (select count(*) as c from supplier), live as (select path, regexp_extract(path, '/s([0-9]+)[.]', 1)::bigint as s from import_corpus),
       raw as (select path, (s * 7 + 3) % c + 1 as t from live, n union all select path, (s * 11 + 5) % c + 1 from live, n where not regexp_matches(path, '^src/m[0369]/') and (s * 11 + 5) % c + 1 <> s)
       select distinct raw.path as src, live.path as dst from raw join live on live.s = raw.t""", "import_corpus")),
+    "stored_edges": (stored_edges, oracle("""
+      , n as (select count(*) as c from supplier), live as (select path, regexp_extract(path, '/s([0-9]+)[.]', 1)::bigint as s from import_corpus),
+      raw as (select path, (s * 7 + 3) % c + 1 as t from live, n where s % 4 <> 1
+        union all select path, (s * 11 + 5) % c + 1 from live, n where s % 4 <> 1 and not regexp_matches(path, '^src/m[069]/') and (s * 11 + 5) % c + 1 <> s)
+      select distinct raw.path as src, live.path as dst from raw join live on live.s = raw.t where live.s % 4 <> 1""", "import_corpus")),
     "expired": (stale_entries, oracle("select request_id from requests where ts < timestamp '2024-01-20 11:00:00'", "requests")),
     "progress_state": (tasks, oracle("""
       , r as (select *, row_number() over (partition by token order by ts, event_id) as i from progress),

@@ -67,16 +67,17 @@ def stream_find_replace(files: DataFrame, pattern: str, replacement: str, **opti
 
 
 def new_versions(files: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each (path, sha256) once; on a stream within the watermark on `modified_at`."""
+    """Each version (path, sha256, modified_at) once, so a file may return to an earlier text; on a stream within the watermark on `modified_at`."""
+    version = ["path", "sha256", "modified_at"]
     if files.isStreaming:
-        return files.withWatermark("modified_at", delay).dropDuplicatesWithinWatermark(["path", "sha256"])
-    return files.dropDuplicates(["path", "sha256"])
+        return files.withWatermark("modified_at", delay).dropDuplicatesWithinWatermark(version)
+    return files.dropDuplicates(version)
 
 
 def stream_index(
     versions: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame]], store: Callable[[DataFrame, DataFrame, int], None]
 ) -> DataStreamWriter:
-    """Keep `edges` current as file versions arrive.
+    """Keep `edges` current as file versions arrive, in a store of the caller's. `edge_store.py` brings one that writes changes only.
 
     `load()` gives the current (edges, files), `store(edges, files, batch_id)`
     writes the next ones to a new place; it must ignore a batch it has already

@@ -153,3 +153,54 @@ def test_index_follows_new_versions(spark, replay, tmp_path):
     assert query.exception() is None
     edges = stored[max(stored)][0]
     assert sorted(tuple(r) for r in edges.collect()) == [("a.ts", "c.ts"), ("c.ts", "b.ts")]
+
+
+VERSION = "path string, content string, sha256 string, modified_at timestamp, deleted boolean"
+
+
+def versions(spark, *rows):
+    return spark.createDataFrame([(p, c, str(hash(c)), at(s), c is None) for p, c, s in rows], VERSION)
+
+
+def imports(name):
+    return f"import {{\n  x\n}} from './{name}';"
+
+
+def test_edge_store_follows_versions(spark, tmp_path):
+    from corpusweave.streaming.edge_store import EdgeStore
+
+    store = EdgeStore(spark, str(tmp_path / "store"), 4)
+    edges = lambda: sorted(tuple(r) for r in store.edges().collect())
+    first = versions(spark, ("a.ts", imports("b"), 0), ("b.ts", "", 0), ("c.ts", imports("b"), 0), ("e.ts", imports("later"), 0))
+    store.apply(first, 0)
+    assert edges() == [("a.ts", "b.ts"), ("c.ts", "b.ts")]
+    store.apply(versions(spark, ("a.ts", imports("c"), 10), ("c.ts", "", -5)), 1)
+    assert edges() == [("a.ts", "c.ts"), ("c.ts", "b.ts")]  # c.ts came late and is not taken
+    changed = spark.read.parquet(f"{store.path}/delta").filter("batch = 1")
+    assert [r.src for r in changed.collect()] == ["a.ts"]
+    store.apply(versions(spark, ("a.ts", imports("b"), 20), ("a.ts", imports("c"), 15)), 2)
+    assert edges() == [("a.ts", "b.ts"), ("c.ts", "b.ts")]  # back to the first text
+    store.apply(versions(spark, ("b.ts", None, 30)), 3)
+    assert edges() == []
+    store.compact()
+    store.apply(versions(spark, ("b.ts", "", 25)), 4)
+    assert edges() == [] and sorted(r.path for r in store.files().collect()) == ["a.ts", "c.ts", "e.ts"]  # from before the removal
+    store.apply(versions(spark, ("b.ts", "", 40), ("later.ts", "", 40)), 5)
+    want = [("a.ts", "b.ts"), ("c.ts", "b.ts"), ("e.ts", "later.ts")]
+    assert edges() == want
+    store.apply(versions(spark, ("b.ts", "", 40), ("later.ts", "", 40)), 5)  # a batch that comes twice
+    store.apply(first, 0)
+    assert edges() == want
+    store.compact()
+    assert edges() == want and sorted(tuple(r) for r in store.importers(spark.createDataFrame([("later.ts",)], "path string")).collect()) == want[2:]
+
+
+def test_edge_store_on_a_stream(spark, replay, tmp_path):
+    from corpusweave.streaming.edge_store import EdgeStore, stream_edges
+
+    store = EdgeStore(spark, str(tmp_path / "store"), 2)
+    steps = [versions(spark, ("a.ts", imports("b"), 0), ("b.ts", "", 0)), versions(spark, ("b.ts", None, 5)), versions(spark, ("b.ts", "", 9), ("c.ts", imports("a"), 9))]
+    query = stream_edges(replay(*steps), store, compact_every=2).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert query.exception() is None
+    assert sorted(tuple(r) for r in store.edges().collect()) == [("a.ts", "b.ts"), ("c.ts", "a.ts")]
