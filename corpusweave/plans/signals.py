@@ -151,6 +151,16 @@ def stalled(spark, sf):
     return out.select("token", "begin_id", "title", "state", "reason")
 
 
+def percentages(spark, sf):
+    events = bound(spark, sf, "progress").withColumn("percentage", (F.col("event_id") % 101).cast("int"))
+    return pr.progress_state(events).groupBy("state", "percentage").agg(F.count("*").alias("tasks"), F.min("token").alias("first"))
+
+
+def alerts(spark, sf):
+    out = pr.task_alerts(bound(spark, sf, "progress"), "1 hour", "12 hours")
+    return out.select("token", "begin_id", "title", "level", "reason", _us("at").alias("at_us"))
+
+
 def paired(spark, sf):
     events = table(spark, sf, "events")
     sent = events.select(F.col("event_id").alias("request_id"), F.col("ts").alias("req_ts"))
@@ -251,6 +261,14 @@ QUERIES = {
     "stalled_tasks": (stalled, oracle("""
       select token, event_id as begin_id, title, 'failed' as state, 'timeout' as reason from progress b where kind = 'begin'
         and not exists (select 1 from progress e where e.kind = 'end' and e.token = b.token and e.ts between b.ts and b.ts + interval 12 hour)""", "progress")),
+    "progress_percentages": (percentages, oracle("""
+      , e as (select token, max(struct_pack(t := ts, i := event_id)) as last, max(case when kind in ('begin', 'end') then struct_pack(t := ts, i := event_id) end) as edge from progress group by token),
+      t as (select e.token, coalesce(p.kind = 'end', false) as done, e.last.i % 101 as share from e left join progress p on p.token = e.token and p.event_id = e.edge.i)
+      select case when done then 'completed' else 'in_progress' end as state, case when not done then share end::int as percentage, count(*) as tasks, min(token) as first from t group by 1, 2""", "progress")),
+    "task_alerts": (alerts, oracle("""
+      , l as (select unnest([{'level': 'warning', 'reason': 'slow', 'hours': 1}, {'level': 'failed', 'reason': 'timeout', 'hours': 12}]) as x)
+      select token, event_id as begin_id, title, x.level as level, x.reason as reason, epoch_us(ts) + x.hours * 3600000000 as at_us from progress b, l where kind = 'begin'
+        and not exists (select 1 from progress e where e.kind = 'end' and e.token = b.token and epoch_us(e.ts) between epoch_us(b.ts) and epoch_us(b.ts) + x.hours * 3600000000)""", "progress")),
     "pair_requests": (paired, """with e as (select event_id as request_id, event_type, round(value * 2000000)::bigint as us from events)
       select request_id, case when event_type <> 'view' and us <= 60000000 then 'answered' else 'timeout' end as status,
         case when event_type <> 'view' and us <= 60000000 then us / 1000.0::double end as ms from e"""),

@@ -16,10 +16,12 @@ def progress_state(progress: DataFrame) -> DataFrame:
     after completion; an end completes; a later begin starts over. The state
     follows from three latest events per token, so it is an ordinary mergeable
     aggregation: partial per task, one small state row per token in a stream,
-    and no fold over a token's events.
+    and no fold over a token's events. Where events have a `percentage`, the state shows the last one of a task in progress.
+    The state of a stream keeps every token; `tracked_tasks` lets completed ones go.
     """
+    share = ["percentage"] if "percentage" in progress.columns else []
     order = F.struct("ts", "event_id")
-    event = F.struct("kind", "title", "message", "ts", "event_id")
+    event = F.struct("kind", "title", "message", "ts", "event_id", *share)
     edge = F.col("kind").isin("begin", "end")
     # Explicit casts keep the state schema the same in every mode.
     grouped = progress.groupBy("token").agg(
@@ -33,6 +35,7 @@ def progress_state(progress: DataFrame) -> DataFrame:
         F.when(known & done, "completed").otherwise("in_progress").alias("state"),
         F.when(known & done, F.lit(None)).when(known, F.col("edge.title")).otherwise("Unknown").alias("title"),
         F.when(known & done, F.col("edge.message")).otherwise(F.col("last.message")).alias("message"),
+        *[F.when(~(known & done), F.col(f"last.{c}")).alias(c) for c in share],
         "events")
 
 
@@ -67,3 +70,21 @@ def stalled_tasks(progress: DataFrame, timeout: str = "30 seconds", delay: str =
     open_tasks = (_stalled_in_stream(progress, timeout, delay) if progress.isStreaming
                   else _stalled_in_batch(progress, timeout))
     return open_tasks.select("*", F.lit("failed").alias("state"), F.lit("timeout").alias("reason"))
+
+
+def task_alerts(progress: DataFrame, warn: str = "30 seconds", timeout: str = "5 minutes") -> DataFrame:
+    """Begins that wait too long: a `warning` once `warn` has passed without an end, `failed` once `timeout` has.
+
+    The batch twin of `tracked_tasks`; one ordered pass finds the next end of each begin, so a
+    begin may give two rows. `at` is the moment at which the limit was reached.
+    """
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason"), (F.col("ts") + F.expr(f"interval {after}")).alias("at"))
+                       for level, reason, after in (("warning", "slow", warn), ("failed", "timeout", timeout))])
+    end = F.col("kind") == "end"
+    edges = progress.filter(F.col("kind").isin("begin", "end")).select("token", "kind", "event_id", "ts", "title")
+    rows = Ordered(edges, ["token"], [F.col("ts").desc(), end.desc(), F.col("event_id")]).max_before(
+        "_next", F.when(end, -micros(F.col("ts")))).result()
+    each = rows.filter(F.col("kind") == "begin").select(
+        "token", F.col("event_id").alias("begin_id"), F.col("ts").alias("begin_ts"), "title", "_next", F.explode_outer(levels).alias("l"))
+    late = F.col("_next").isNull() | (-F.col("_next") > micros(F.col("l.at")))
+    return each.filter(late).select("token", "begin_id", "begin_ts", "title", "l.level", "l.reason", "l.at")

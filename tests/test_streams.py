@@ -204,3 +204,49 @@ def test_edge_store_on_a_stream(spark, replay, tmp_path):
     query.awaitTermination(200)
     assert query.exception() is None
     assert sorted(tuple(r) for r in store.edges().collect()) == [("a.ts", "b.ts"), ("c.ts", "a.ts")]
+
+
+SHARES = PROGRESS + ", percentage int"
+
+
+def test_percentages_and_alerts(spark):
+    rows = [("a", "begin", "A", "x", at(0), 0, 0), ("a", "report", None, "y", at(5), 1, 40), ("b", "begin", "B", "x", at(0), 2, None), ("b", "report", None, "y", at(20), 3, 70),
+            ("b", "end", None, "z", at(40), 4, None), ("b", "report", None, "ghost", at(41), 5, 99), ("c", "begin", "C", "x", at(0), 6, 10), ("c", "end", None, "", at(30), 7, None)]
+    frame = spark.createDataFrame(rows, SHARES)
+    assert {(r.token, r.state, r.percentage) for r in pr.progress_state(frame).collect()} == {("a", "in_progress", 40), ("b", "completed", None), ("c", "completed", None)}
+    got = {(r.token, r.level, r["at"]) for r in pr.task_alerts(frame).collect()}
+    assert got == {("a", "warning", at(30)), ("a", "failed", at(300)), ("b", "warning", at(30))}
+
+
+def test_tracked_tasks(spark, replay, tmp_path):
+    from corpusweave.streaming import task_tracker as tt
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, tt.ROCKSDB)
+    try:
+        row = lambda i, t, k, s, share=None: (t, k, t.upper() if k == "begin" else None, f"{k}{i}", at(s), i, share)
+        steps = [
+            [row(0, "a", "begin", 0, 0), row(1, "a", "report", 5, 40), row(2, "b", "begin", 0), row(3, "u", "report", 2, 7), row(4, "c", "begin", 1)],
+            [row(5, "a", "end", 20), row(6, "z", "begin", 60)],
+            [row(7, "a", "report", 61, 99), row(8, "z", "end", 62)],  # a ghost; b and c are slow by now
+            [row(9, "c", "end", 70), row(10, "y", "begin", 400)],  # b times out
+            [row(11, "b", "end", 401), row(12, "y", "end", 401)],  # too late for b
+            [row(13, "x", "begin", 5000)], [row(14, "x", "end", 5001)]]
+        frames = [spark.createDataFrame(s, SHARES) for s in steps]
+        out, query = drain(spark, tt.tracked_tasks(replay(*frames)), tmp_path, "update")
+        rows = out.collect()
+        states = lambda t: [(r.state, r.level, r.percentage) for r in rows if r.token == t]
+        assert states("a") == [("in_progress", "progress", 40), ("completed", "progress", None)]
+        assert states("b") == [("in_progress", "progress", None), ("in_progress", "warning", None), ("failed", "failed", None)]
+        assert states("c") == [("in_progress", "progress", None), ("in_progress", "warning", None), ("completed", "progress", None)]
+        assert [(r.title, r.percentage) for r in rows if r.token == "u"] == [("Unknown", 7)]
+        whole = frames[0]
+        for f in frames[1:]:
+            whole = whole.unionByName(f)
+        alerts = {(r.token, r.level, r["at"]) for r in pr.task_alerts(whole).collect() if r.token in "abc"}
+        assert {(r.token, r.level, r["at"]) for r in rows if r.level != "progress"} == alerts
+        kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        assert kept[-1] <= 2 < max(kept)  # tokens that are over have left the state
+    finally:
+        spark.conf.set(key, before)
