@@ -33,7 +33,7 @@ LANGUAGE_BY_EXTENSION = {
     "cc": "cpp",
     "cxx": "cpp",
 }
-# Languages known only by their import and symbol patterns.
+# Languages known only by their import and symbol patterns.
 PATTERN_LANGUAGE_BY_EXTENSION = {
     "lua": "lua",
     "sh": "shell",
@@ -74,11 +74,11 @@ class Pattern:
 
 # What a declaration looks like on one line.
 SYMBOL_PATTERNS = [
-    Pattern(("python",), "function", r"^(?:\s*)(?:async\s+)?def\s+(\w+)\s*\([^)]*\)\s*:"),
+    Pattern(("python",), "function", r"^\s*(?:async\s+)?def\s+(\w+)\s*[(\[]"),
     Pattern(("python",), "class", r"^\s*class\s+(\w+)"),
     Pattern(("python",), "constant", r"^\s*([A-Z_]+)\s*=\s*.+", 1, r"^\s*(?:async\s+)?def\s|^\s*class\s"),
     Pattern(("python",), "variable", r"^\s*(\w*[^A-Z_\W]\w*)\s*=\s*.+", 1,
-            r"^\s*(?:async\s+)?def\s+\w+\s*\([^)]*\)\s*:|^\s*class\s"),
+            r"^\s*(?:async\s+)?def\s|^\s*class\s"),
     Pattern(("lua",), "function", r"^\s*(?:local\s+)?function\s+([\w.:]+)\s*\("),
     Pattern(("lua",), "function", r"^\s*([\w.]+)\s*=\s*function\s*\("),
     Pattern(("lua",), "variable", r"^\s*local\s+(\w+)\s*=\s*"),

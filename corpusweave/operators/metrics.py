@@ -23,7 +23,7 @@ DECLARATIONS = {
     "rust": "fn ", "python": "def ", "typescript": "function ", "javascript": "function ",
     "go": "func ", "java": "public ",
 }
-COMMON_DECLARATIONS = ["pub fn ", "async fn ", "const fn ", "export function ", "export async function "]
+COMMON_DECLARATIONS = ["pub fn ", "async fn ", "async def ", "const fn ", "export function ", "export async function "]
 
 
 def _language(files: DataFrame) -> Column:
@@ -186,14 +186,17 @@ def complexity(bodies: DataFrame) -> DataFrame:
 
 
 def parameter_count(bodies: DataFrame) -> DataFrame:
-    """Parameters in the first declaration line: commas plus one, without `self`."""
+    """Parameters in the first declaration, from its line on to the closing bracket: commas plus one, without `self`."""
     language = F.col("language")
     first = F.lit("fn ")
     for name, word in DECLARATIONS.items():
         first = F.when(language == name, word).otherwise(first)
     declares = F.filter("body", lambda line: F.startswith(F.ltrim(line), first) | F.ltrim(line).rlike(
         "^(?:" + "|".join(COMMON_DECLARATIONS) + ")"))
-    inner = F.regexp_extract(F.coalesce(F.get(declares, F.lit(0)), F.lit("")), r"^[^(]*\(([^)]*)\)", 1)
+    line = F.coalesce(F.get(declares, F.lit(0)), F.lit(""))
+    behind = F.slice("body", F.array_position("body", line).cast("int"), F.size("body"))
+    whole = F.when(line.rlike(r"^[^(]*\([^)]*$"), F.array_join(behind, "\n")).otherwise(line)
+    inner = F.regexp_replace(F.regexp_extract(whole, r"^[^(]*\(([^)]*)\)", 1), r",?\s+$|\n", "")
     df = bodies.withColumn("_p", F.trim(inner))
     p = F.col("_p")
     count = F.size(F.split(p, ",", -1))

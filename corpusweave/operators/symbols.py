@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import SYMBOL_PATTERNS, Pattern, first_hits, pattern_language_of
-from ..functions.text import lines_of
+from ..functions.text import bind, lines_of, running, running_sum
 from .windows import page
 
 
@@ -14,42 +14,77 @@ def _indent(line: Column) -> Column:
     return F.length(F.regexp_extract(line, r"^(\s*)", 1))
 
 
+# Strings and comments of Python, and what lies between them.
+_PYTHON_TOKENS = (r"""(?s)(?:#[^\n]*+|\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''"""
+                  r"""|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[^"'#]++|.)""")
+
+
+def code_lines(content: Column) -> Column:
+    """Lines of a Python text with comments and the insides of strings blanked out, so that brackets and indents in them do not count."""
+    blank = lambda t: F.when(t.rlike(r"(?s)^#"), F.regexp_replace(t, r"[^\n]", " ")).when(
+        t.rlike(r"""(?s)^(["']).*\1$""") & (F.length(t) > 1), F.concat(
+            F.lit("'"), F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"[^\n]", " "), F.lit("'"))).otherwise(t)
+    return lines_of(F.array_join(F.transform(F.regexp_extract_all(content, F.lit(_PYTHON_TOKENS), F.lit(0)), blank), ""))
+
+
+def _bracket_depths(lines: Column) -> Column:
+    """Open brackets at the end of each line."""
+    count = lambda line, marks: F.length(F.regexp_replace(line, f"[^{marks}]", "")).cast("bigint")
+    return running_sum(F.transform(lines, lambda line: count(line, r"(\[{") - count(line, r")\]}")))
+
+
+def _next_closers(depths: Column, level: Column) -> Column:
+    """For each line, the first line from there on that is indented no deeper than `level`; one pass from the back."""
+    at = F.transform(depths, lambda d, i: F.when(d <= level, i.cast("bigint")))
+    return F.reverse(running(F.reverse(at), F.lit(None).cast("bigint"), lambda carry, x: F.coalesce(x, carry)))
+
+
 def with_symbols(files: DataFrame, extra: tuple[Pattern, ...] = ()) -> DataFrame:
     """Add `symbols`, an array of struct<name,kind,line,end_line>, in the file's own row.
 
-    A Python function or class ends before the next line that is indented no
-    deeper; comments and blank lines do not count. Everything else ends where
-    it starts. Lines count from 0.
+    A Python function or class ends before the next line that is indented no deeper; blank lines, comments, the insides of
+    strings and lines within brackets do not count, and neither are they declarations. A signature may run over
+    several lines. Everything else ends where it starts. Lines count from 0. Ends are found by one pass from
+    the back for each depth at which a file declares something.
     """
     language = F.col("language") if "language" in files.columns else pattern_language_of(F.col("path"))
-    df = files.withColumn("language", language).withColumn("_lines", lines_of(F.col("content")))
+    python = F.col("language") == "python"
     patterns = [*SYMBOL_PATTERNS, *extra]
-    candidates = F.filter(
-        F.transform("_lines", lambda text, i: F.struct(i.alias("line"), text.alias("text"))),
-        lambda c: c["text"].rlike(r"\S"))
-    found = F.flatten(F.transform(candidates, lambda c: F.transform(
-        first_hits(c["text"], F.col("language"), patterns),
-        lambda h: F.struct(c["line"].alias("line"), h["kind"].alias("kind"), h["name"].alias("name"),
-                           _indent(c["text"]).alias("indent")))))
-    # Depth of each line; blank and comment lines get none.
-    depths = F.transform("_lines", lambda text: F.when(
-        F.trim(text).rlike(r"^(?:#|$)"), F.lit(None)).otherwise(_indent(text)))
-    df = df.withColumn("_found", found).withColumn(
-        "_depths", F.when(F.col("language") == "python", depths))
-
-    def end_line(s: Column) -> Column:
-        later = F.slice("_depths", s["line"] + 2, F.size("_depths"))
-        closing = F.array_position(
-            F.transform(later, lambda d: F.coalesce(d <= s["indent"], F.lit(False))), True)
-        scoped = (F.col("language") == "python") & s["kind"].isin("function", "class")
-        last = F.size("_lines") - 1
-        end = F.when(closing > 0, s["line"] + closing.cast("int") - 1).otherwise(last)
-        return F.when(scoped, end).otherwise(s["line"])
-
-    symbols = F.transform("_found", lambda s: F.struct(
-        s["name"].alias("name"), s["kind"].alias("kind"), s["line"].cast("bigint").alias("line"),
-        end_line(s).cast("bigint").alias("end_line")))
-    return df.withColumn("symbols", symbols).drop("_found", "_depths", "_lines")
+    scoped = lambda s: python & s["kind"].isin("function", "class")
+
+    def statement_depths(code: Column) -> Column:
+        """Depth of each line that begins a statement; others get none."""
+        return bind(_bracket_depths(code), lambda opened: F.transform(code, lambda text, i: F.when(
+            text.rlike(r"\S") & ((i == 0) | (F.get(opened, i - 1) <= 0)), _indent(text))))
+
+    def found_in(lines: Column, depths: Column) -> Column:
+        candidates = F.filter(
+            F.transform(lines, lambda text, i: F.struct(i.alias("line"), text.alias("text"))),
+            lambda c: c["text"].rlike(r"\S") & (~python | F.get(depths, c["line"]).isNotNull()))
+        return F.flatten(F.transform(candidates, lambda c: F.transform(
+            first_hits(c["text"], F.col("language"), patterns),
+            lambda h: F.struct(c["line"].alias("line"), h["kind"].alias("kind"), h["name"].alias("name"),
+                               _indent(c["text"]).alias("indent")))))
+
+    def with_ends(lines: Column, depths: Column, found: Column) -> Column:
+        levels = F.array_distinct(F.transform(F.filter(found, scoped), lambda s: s["indent"]))
+
+        def ended(levels: Column, closers: Column) -> Column:
+            def end_line(s: Column) -> Column:
+                own = F.get(closers, (F.array_position(levels, s["indent"]) - 1).cast("int"))
+                return F.when(scoped(s), F.coalesce(F.get(own, s["line"] + 1) - 1, F.size(lines) - 1)).otherwise(s["line"])
+
+            return F.transform(found, lambda s: F.struct(
+                s["name"].alias("name"), s["kind"].alias("kind"), s["line"].cast("bigint").alias("line"),
+                end_line(s).cast("bigint").alias("end_line")))
+
+        return bind(levels, lambda v: bind(F.transform(v, lambda d: _next_closers(depths, d)), lambda x: ended(v, x)))
+
+    # Arrays that inner steps look up are bound: an expression would be computed anew for each element.
+    symbols = bind(lines_of(F.col("content")), lambda lines: bind(
+        F.when(python, bind(code_lines(F.col("content")), statement_depths)),
+        lambda depths: bind(found_in(lines, depths), lambda found: with_ends(lines, depths, found))))
+    return files.withColumn("language", language).withColumn("symbols", symbols)
 
 
 def extract_symbols(files: DataFrame, extra: tuple[Pattern, ...] = ()) -> DataFrame:

@@ -209,3 +209,20 @@ def test_limits_as_a_table(spark):
         assert [tuple(r) for r in t.threshold_exceedances(measures, given).collect()] == [("a", "x", 10, 7, 5)]
     assert t.threshold_exceedances(measures, table.filter("false")).count() == 0
     assert t.threshold_exceedances(measures.filter("false"), table).columns == [*measures.columns, "limit_ms"]
+
+
+def test_python_signatures(files_of):
+    text = ('"""doc (open\ndef no():\n"""\ndef a(x) -> int:\n    return x\n\nasync def b(\n    x: int = 1,\n    *rest,\n) -> dict[str, int]:\n    y = call(\n  1,\n        key=2,\n    )\n'
+            "    return {  # (\n}\nclass C(\n    Base,\n):\n    def d(self): return ')'\n    def e(self,\n          q=(1)):\n        '''\nlow\n        '''\n        pass\nz = 1\n")
+    files = files_of(("a.py", text))
+    got = rows(sy.extract_symbols(files), "line", "name", "kind", "end_line")
+    assert got == [(3, "a", "function", 5), (6, "b", "function", 15), (10, "y", "variable", 10), (16, "C", "class", 25), (19, "d", "function", 19),
+                   (20, "e", "function", 25), (26, "z", "variable", 26)]
+    counts = rows(m.parameter_count(m.function_bodies(sy.with_symbols(files))), "name", "parameters")
+    assert counts == [("a", 1), ("b", 2), ("d", 0), ("e", 1)]
+
+
+def test_many_functions_in_one_file(files_of):
+    text = "".join(f"class K{k}:\n    def f{k}(self):\n        return {k}\n" for k in range(3000))
+    got = {(r.name, r.line, r.end_line) for r in sy.extract_symbols(files_of(("a.py", text))).collect()}
+    assert got == {(f"K{k}", 3 * k, 3 * k + 2) for k in range(3000)} | {(f"f{k}", 3 * k + 1, 3 * k + 2) for k in range(3000)}
