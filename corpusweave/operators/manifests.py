@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tomllib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, folder
-from ..functions.text import lines_of
+from ..functions.text import bind, lines_of, running
 
 # Dependency sections of a package.json.
 PACKAGE_SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
 # Dependency sections of a Cargo.toml.
 CARGO_SECTIONS = ["dependencies", "dev-dependencies", "build-dependencies"]
 
-ROW = "manifest string, pkg string, section string, name string, spec string, features array<string>, optional boolean, position bigint"
-
 
 def manifest_kind(path: Column) -> Column:
     """By file name: cargo, package_json, pyproject, requirements, or null."""
@@ -28,9 +22,19 @@ def manifest_kind(path: Column) -> Column:
         .when(name.endswith("pyproject.toml"), "pyproject").when(name.rlike(r"^requirements.*\.txt$"), "requirements"))
 
 
+def _unreadable(df: DataFrame, manifest: Column, error: Column) -> DataFrame:
+    """One row for each manifest with an error, in the shape of dependency rows."""
+    empty = lambda kind: F.lit(None).cast(kind)
+    return df.filter(error.isNotNull()).select(
+        manifest.alias("manifest"), *[empty("string").alias(c) for c in ("pkg", "section", "name", "spec")],
+        F.array().cast("array<string>").alias("features"), F.lit(False).alias("optional"), empty("bigint").alias("position"), error.alias("error"))
+
+
 def _package_json(files: DataFrame) -> DataFrame:
     fields = ", ".join(f"{s} map<string,string>" for s in PACKAGE_SECTIONS)
-    df = files.select(F.col("path").alias("manifest"), F.from_json("content", f"name string, {fields}").alias("j"))
+    read = F.from_json("content", f"name string, {fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    df = files.select(F.col("path").alias("manifest"), read.alias("j"))
+    error = F.when(F.col("j").isNull() | F.col("j._bad").isNotNull(), "not a JSON object with tables of dependencies")
 
     def section(name: str) -> Column:
         none = F.array().cast("array<struct<key:string,value:string>>")
@@ -38,11 +42,12 @@ def _package_json(files: DataFrame) -> DataFrame:
             F.lit(name).alias("section"), e["key"].alias("name"), e["value"].alias("spec")))
 
     entries = F.flatten(F.array(*[section(s) for s in PACKAGE_SECTIONS]))
-    rows = df.select("manifest", F.col("j.name").alias("pkg"), F.posexplode_outer(entries).alias("position", "d")).filter(
+    rows = df.filter(error.isNull()).select("manifest", F.col("j.name").alias("pkg"), F.posexplode_outer(entries).alias("position", "d")).filter(
         "d is not null")
     return rows.select(
         "manifest", "pkg", "d.section", "d.name", "d.spec", F.array().cast("array<string>").alias("features"),
-        F.lit(False).alias("optional"), F.col("position").cast("bigint").alias("position"))
+        F.lit(False).alias("optional"), F.col("position").cast("bigint").alias("position"), F.lit(None).cast("string").alias("error")).unionByName(
+            _unreadable(df, F.col("manifest"), error))
 
 
 def _requirements(files: DataFrame) -> DataFrame:
@@ -61,55 +66,133 @@ def _requirements(files: DataFrame) -> DataFrame:
     return lines.select(
         "manifest", file_name(folder(F.col("manifest"))).alias("pkg"), F.lit("dependencies").alias("section"),
         F.trim(name).alias("name"), spec.alias("spec"), F.filter(extras, lambda x: x != "").alias("features"),
-        F.lit(False).alias("optional"), F.col("position").cast("bigint").alias("position"))
-
-
-def _toml_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Dependency rows of TOML manifests; TOML has no reader in Spark."""
-    columns = ["manifest", "pkg", "section", "name", "spec", "features", "optional", "position"]
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"]):
-            try:
-                doc = tomllib.loads(content)
-            except tomllib.TOMLDecodeError:
-                continue
-            position = 0
-            poetry = doc.get("tool", {}).get("poetry", {})
-            package = doc.get("package") or doc.get("project") or poetry
-            tables = [(s, doc.get(s, {})) for s in CARGO_SECTIONS]
-            tables.append(("dependencies", poetry.get("dependencies", {})))
-            tables.append(("dev-dependencies", poetry.get("dev-dependencies", {})))
-            tables += [(f"group.{g}", v.get("dependencies", {})) for g, v in poetry.get("group", {}).items()]
-            for section, table in tables:
-                for name, value in table.items():
-                    detail = value if isinstance(value, dict) else {}
-                    spec = value if isinstance(value, str) else next(
-                        (f"{kind}:{detail[kind]}" if kind != "version" else detail[kind]
-                         for kind in ("git", "path", "version") if kind in detail), "*")
-                    rows.append((path, package.get("name"), section, name, spec,
-                                 list(detail.get("features", [])), bool(detail.get("optional", False)), position))
-                    position += 1
-            project = doc.get("project", {})
-            lists = [("dependencies", project.get("dependencies", []))]
-            lists += [(f"optional.{g}", v) for g, v in project.get("optional-dependencies", {}).items()]
-            for section, items in lists:
-                for item in items:
-                    cut = next((i for i, c in enumerate(item) if c in "=<>~!; ["), len(item))
-                    rows.append((path, package.get("name"), section, item[:cut].strip(),
-                                 item[cut:].strip() or "*", [], section != "dependencies", position))
-                    position += 1
-        yield pd.DataFrame(rows, columns=columns)
+        F.lit(False).alias("optional"), F.col("position").cast("bigint").alias("position"), F.lit(None).cast("string").alias("error"))
+
+
+_STRING = r'''(?:"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^']|'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|'[^'\n]*+')'''
+_COMMENT = r"#[^\n]*+"
+_LIST = rf"\[(?:[^\[\]\"'#]|{_STRING}|{_COMMENT}|\[(?:[^\[\]\"'#]|{_STRING}|{_COMMENT})*+\]|\{{[^{{}}]*+\}})*+\]"
+_TABLE = rf"\{{(?:[^{{}}\"'\n]|{_STRING}|\{{[^{{}}\n]*+\}})*+\}}"
+_NAME = rf"(?:[\w-]++|{_STRING})"
+_KEY = rf"{_NAME}(?:[ \t]*+\.[ \t]*+{_NAME})*+"
+#: What ends a header or a value: blanks and a comment up to the end of the line.
+_REST = rf"(?=[ \t]*+(?:{_COMMENT})?+(?:\r?\n|\z))"
+_HEADER = rf"\[\[?+[ \t]*+{_KEY}[ \t]*+\]\]?+{_REST}"
+_PAIR = rf"{_KEY}[ \t]*+=[ \t]*+(?:{_STRING}|{_LIST}|{_TABLE}|[\w.+:-]++){_REST}"
+_TOML = rf"(?s)(?:\s++|{_COMMENT}|{_HEADER}|{_PAIR}|[^\n]++)"
+
+
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"""(?s)^(?:\"\"\"|'''|["'])|(?:\"\"\"|'''|["'])$""", "")
+
+
+def _segments(key: Column) -> Column:
+    return F.transform(F.regexp_extract_all(key, F.lit(rf"(?s){_NAME}"), F.lit(0)), _unquoted)
+
+
+def _strings(text: Column) -> Column:
+    """Strings of a list, without comments."""
+    bare = F.regexp_replace(text, rf"(?s)({_STRING})|{_COMMENT}", "$1")
+    return F.transform(F.regexp_extract_all(bare, F.lit(rf"(?s){_STRING}"), F.lit(0)), _unquoted)
+
+
+def _toml_entries(files: DataFrame) -> DataFrame:
+    """manifest, position, path (segments of section and key) and value of each pair of TOML texts; `error` names the first line that is neither.
+
+    One lexical pass cuts a text into comments, headers and pairs, whose values may run over lines; the section is the last header before.
+    """
+    def of(tokens: Column) -> Column:
+        is_header, is_pair = (lambda t: t.rlike(rf"(?s)^{_HEADER[:-len(_REST)]}$")), (lambda t: t.rlike(rf"(?s)^{_PAIR[:-len(_REST)]}$"))
+        heads = running(F.transform(tokens, lambda t: F.when(is_header(t), t)), F.lit(None).cast("string"), lambda carry, x: F.coalesce(x, carry), "string")
+
+        def entry(heads: Column, t: Column, i: Column) -> Column:
+            key = F.regexp_extract(t, rf"(?s)^({_KEY})", 1)
+            section = F.regexp_replace(F.coalesce(F.get(heads, i), F.lit("")), r"^\[\[?+|\]\]?+$", "")
+            value = F.regexp_extract(t, rf"(?s)^{_KEY}[ \t]*+=[ \t]*+(.*)$", 1)
+            blank = t.rlike(r"(?s)^(?:\s|#)")
+            return F.struct(
+                i.cast("bigint").alias("position"), F.when(is_pair(t), F.concat(_segments(section), _segments(key))).alias("path"),
+                F.trim(value).alias("value"), F.when(~blank & ~is_header(t) & ~is_pair(t), F.concat(F.lit("cannot be read: "), F.trim(t))).alias("error"))
+
+        return bind(heads, lambda h: F.filter(F.transform(tokens, lambda t, i: entry(h, t, i)), lambda e: e["path"].isNotNull() | e["error"].isNotNull()))
+
+    tokens = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(_TOML), F.lit(0))
+    rows = files.select(F.col("path").alias("manifest"), bind(tokens, of).alias("entries"))
+    first = F.get(F.filter("entries", lambda e: e["error"].isNotNull()), F.lit(0))["error"]
+    return rows.withColumn("error", first)
+
+
+def _placed_dependency(path: Column) -> Column:
+    """struct<section, name, detail> of a pair that says something of a dependency, else null; `detail` is null for the dependency itself."""
+    part = lambda n: F.get(path, F.lit(n))
+    made = lambda section, n: F.struct(section.alias("section"), part(n).alias("name"), part(n + 1).alias("detail"))
+    cargo = lambda n: part(n).isin(*CARGO_SECTIONS)
+    poetry = (part(0) == "tool") & (part(1) == "poetry")
+    return (
+        F.when(cargo(0), made(part(0), 1))
+        .when((part(0) == "target") & cargo(2), made(F.concat(F.lit("target."), part(1), F.lit("."), part(2)), 3))
+        .when((part(0) == "workspace") & (part(1) == "dependencies"), made(F.lit("workspace.dependencies"), 2))
+        .when(poetry & part(2).isin("dependencies", "dev-dependencies"), made(part(2), 3))
+        .when(poetry & (part(2) == "group") & (part(4) == "dependencies"), made(F.concat(F.lit("group."), part(3)), 5)))
+
+
+def _listed_section(path: Column) -> Column:
+    """Section of a list of requirements, else null."""
+    part = lambda n: F.get(path, F.lit(n))
+    size = F.size(path)
+    return (
+        F.when((part(0) == "project") & (part(1) == "dependencies") & (size == 2), "dependencies")
+        .when((part(0) == "project") & (part(1) == "optional-dependencies") & (size == 3), F.concat(F.lit("optional."), part(2)))
+        .when((part(0) == "tool") & (part(1) == "pdm") & (part(2) == "dev-dependencies") & (size == 4), F.concat(F.lit("dev."), part(3))))
+
+
+def _toml(files: DataFrame) -> DataFrame:
+    parsed = _toml_entries(files)
+    named = F.transform(F.array(F.lit("package"), F.lit("project"), F.lit("tool.poetry")), lambda s: F.get(F.filter(
+        "entries", lambda e: F.array_join(e["path"], ".") == F.concat(s, F.lit(".name"))), F.lit(0))["value"])
+    pkg = _unquoted(F.get(F.array_compact(named), F.lit(0)))
+    pairs = parsed.filter("error is null").select("manifest", pkg.alias("pkg"), F.explode_outer("entries").alias("e")).filter("e is not null").select(
+        "manifest", "pkg", "e.position", "e.path", "e.value")
+    # A dependency may be one string or table, a table of its own, or dotted keys: all become (key, value) details.
+    inner = F.regexp_extract_all("value", F.lit(rf"(?s)[\w-]++[ \t]*+=[ \t]*+(?:{_STRING}|\[[^\[\]]*+\]|\w++)"), F.lit(0))
+    detail = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    of_table = F.transform(inner, lambda x: detail(F.trim(F.substring_index(x, "=", 1)), F.trim(F.regexp_replace(x, r"(?s)^[^=]*+=", ""))))
+    details = (
+        F.when(F.col("d.detail").isNotNull(), F.array(detail(F.col("d.detail"), F.col("value"))))
+        .when(F.col("value").startswith("{"), of_table).otherwise(F.array(detail(F.lit("version"), F.col("value")))))
+    tables = pairs.withColumn("d", _placed_dependency(F.col("path"))).filter("d is not null and d.name is not null").select(
+        "manifest", "pkg", "d.section", "d.name", "position", details.alias("details"))
+    each = tables.groupBy("manifest", "pkg", "section", "name").agg(
+        F.min("position").alias("position"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "details"))), lambda x: x["details"])).alias("details"))
+    of = lambda key: F.get(F.filter("details", lambda x: x["key"] == key), F.lit(0))["value"]
+    spec = F.coalesce(F.concat(F.lit("git:"), _unquoted(of("git"))), F.concat(F.lit("path:"), _unquoted(of("path"))), _unquoted(of("version")), F.lit("*"))
+    dependencies = each.select(
+        "manifest", "pkg", "section", "name", spec.alias("spec"), F.coalesce(_strings(of("features")), F.array().cast("array<string>")).alias("features"),
+        F.coalesce(of("optional") == "true", F.lit(False)).alias("optional"), "position")
+    lists = pairs.withColumn("section", _listed_section(F.col("path"))).filter("section is not null").select(
+        "manifest", "pkg", "section", "position", F.posexplode_outer(_strings(F.col("value"))).alias("place", "item")).filter("item is not null")
+    name = F.regexp_extract("item", r"^([^=<>~!; \[]*)", 1)
+    listed = lists.select(
+        "manifest", "pkg", "section", F.trim(name).alias("name"),
+        F.coalesce(F.nullif(F.trim(F.substring("item", F.length(name) + 1, F.length("item"))), F.lit("")), F.lit("*")).alias("spec"),
+        F.array().cast("array<string>").alias("features"), (F.col("section") != "dependencies").alias("optional"), (F.col("position") + F.col("place")).alias("position"))
+    # Positions count from 0 in the order of the text.
+    rows = dependencies.unionByName(listed).withColumn(
+        "position", F.row_number().over(Window.partitionBy("manifest").orderBy("position", "section", "name")).cast("bigint") - 1)
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(_unreadable(parsed, F.col("manifest"), F.col("error")))
 
 
 def read_manifests(files: DataFrame) -> DataFrame:
-    """Dependency rows of package.json, requirements.txt, Cargo.toml and pyproject.toml files."""
+    """Dependency rows of package.json, requirements.txt, Cargo.toml and pyproject.toml files.
+
+    Cargo's tables for targets and workspaces count, and so do Poetry's groups and lists of requirements. A manifest that cannot be read
+    gives one row with an `error` and no dependencies; for all other rows `error` is null.
+    """
     df = files.select("path", "content", manifest_kind(F.col("path")).alias("kind")).filter("kind is not null")
-    toml = df.filter(F.col("kind").isin("cargo", "pyproject")).select("path", "content").mapInPandas(_toml_rows, ROW)
     return (
         _package_json(df.filter(F.col("kind") == "package_json"))
         .unionByName(_requirements(df.filter(F.col("kind") == "requirements")))
-        .unionByName(toml))
+        .unionByName(_toml(df.filter(F.col("kind").isin("cargo", "pyproject")))))
 
 
 def classify_specs(dependencies: DataFrame) -> DataFrame:

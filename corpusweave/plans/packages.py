@@ -13,19 +13,17 @@ def manifest_rows(spark, sf):
     return rows.select("manifest", "pkg", "section", "name", "spec", F.array_join("features", ",").alias("features"))
 
 
-def _toml(spark, sf):
-    """The package manifests once more, written as Cargo.toml."""
-    rows = bound(spark, sf, "manifests").filter(F.col("path").endswith("package.json"))
-    k = F.regexp_extract("path", r"p(\d+)/", 1)
-    text = F.format_string(
-        '[package]\nname = "pkg%s"\n[dependencies]\nserde = { version = "1.%s", features = ["derive"] }\n'
-        '[dev-dependencies]\nlocal = { path = "../p%s", optional = true }\n', k, k, k)
-    return rows.select(F.regexp_replace("path", "package.json$", "Cargo.toml").alias("path"), text.alias("content"))
+def _read(spark, sf, name, *more):
+    rows = m.read_manifests(bound(spark, sf, name))
+    return rows.select("manifest", "pkg", "section", "name", "spec", F.array_join("features", ",").alias("features"), "optional", "position", *more)
 
 
 def cargo_rows(spark, sf):
-    rows = m.read_manifests(_toml(spark, sf))
-    return rows.select("manifest", "pkg", "section", "name", "spec", F.array_join("features", ",").alias("features"), "optional", "position")
+    return _read(spark, sf, "cargo_manifests")
+
+
+def toml_rows(spark, sf):
+    return _read(spark, sf, "toml_manifests", "error")
 
 
 def specs(spark, sf):
@@ -103,6 +101,22 @@ QUERIES = {
     "read_cargo_manifests": (cargo_rows, oracle(f"""{KEYS}, j as (select replace(path, 'package.json', 'Cargo.toml') as manifest, k from k where path like '%.json')
       select manifest, 'pkg' || k as pkg, 'dependencies' as section, 'serde' as name, '1.' || k as spec, 'derive' as features, false as optional, 0::bigint as position from j
       union all select manifest, 'pkg' || k, 'dev-dependencies', 'local', 'path:../p' || k, '', true, 1 from j""", "manifests")),
+    "read_toml_manifests": (toml_rows, oracle("""
+      , t as (select path, regexp_extract(path, 'p([0-9]+)/', 1)::bigint as k, path like '%Cargo.toml' as cargo from toml_manifests),
+      d(cargo, position, section, name, spec, features, optional) as (values
+        (true, 0::bigint, 'dependencies', 'log', '0.@9', '', false), (true, 1, 'dependencies', 'tokio', '1.@4', 'full,rt@3', false),
+        (true, 2, 'dependencies', 'rand', 'git:https://x.org/r@5.git', '', true), (true, 3, 'target.cfg(unix).dependencies', 'libc', '0.2.@7', '', false),
+        (true, 4, 'target.windows@2.dev-dependencies', 'winapi', '0.3', '', false), (true, 5, 'workspace.dependencies', 'shared', '*', '', false),
+        (true, 6, 'build-dependencies', 'cc', 'path:../cc', 'a,b#@3', false),
+        (false, 0, 'dependencies', 'requests', '>=2.@9 ; python_version < ' || chr(39) || '3' || chr(39), '', false), (false, 1, 'dependencies', 'flask', '*', '', false),
+        (false, 2, 'optional.test', 'pytest', '==@8', '', true), (false, 3, 'group.dev@3', 'black', '^2@5', '', false)),
+      filled as (select path, k, d.* exclude (cargo), case when cargo then k % 9 = 0 else k % 11 = 0 end as broken,
+        list_transform([section, spec, features], lambda x: list_reduce(list_prepend(x, ['2', '3', '4', '5', '7', '8', '9']), lambda a, n: replace(a, '@' || n, (k % n::bigint)::varchar))) as f
+        from t join d using (cargo))
+      select path as manifest, case when path like '%Cargo.toml' then 'core' else 'proj' end || k as pkg, f[1] as section, name, f[2] as spec, f[3] as features, optional, position, null::varchar as error
+      from filled where not broken
+      union all select path, null, null, null, null, '', false, null, 'cannot be read: ' || case when cargo then '[build-dependencies' else 'left =' end
+      from t where case when cargo then k % 9 = 0 else k % 11 = 0 end""", "toml_manifests")),
     "classify_specs": (specs, oracle(f"""{PARSED},
       c as (select *, case when spec like 'git+%' or contains(spec, '.git') then 'git' when regexp_matches(spec, '^(\\./|\\.\\./|file:|/|https?://)') then 'path' else 'version' end as source_kind,
         regexp_replace(spec, '^[\\^~]*(>=)?', '') as version from rows)

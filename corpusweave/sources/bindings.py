@@ -218,6 +218,60 @@ union all
 select concat('pkgs/p', cast(k as string), '/requirements.txt') as path, {text_sql(_REQUIREMENTS)} as content
 from (select c_custkey k, (select count(*) from customer) n from customer) b"""
 
+_CARGO = """[package]
+name = "pkg<<k>>"
+[dependencies]
+serde = { version = "1.<<k>>", features = ["derive"] }
+[dev-dependencies]
+local = { path = "../p<<k>>", optional = true }
+"""
+CARGO_MANIFESTS = f"""select concat('pkgs/p', cast(k as string), '/Cargo.toml') as path, {text_sql(_CARGO)} as content
+from (select c_custkey k from customer) a"""
+
+# Tables for targets, dotted keys, lists over lines, comments and strings that look like something else, and broken files.
+_CARGO_WIDE = """# [dependencies]
+[package]
+name = "core<<k>>" # x = 1
+description = \"\"\"
+no = [ broken
+[dependencies]
+\"\"\"
+[dependencies]
+log = "0.<<k % 9>>"
+tokio.version = "1.<<k % 4>>"
+tokio.features = [
+  "full", # "all"
+  "rt<<k % 3>>",
+]
+[dependencies.rand]
+git = "https://x.org/r<<k % 5>>.git"
+optional = true
+[target.'cfg(unix)'.dependencies]
+libc = '0.2.<<k % 7>>'
+[target."windows<<k % 2>>".dev-dependencies.winapi]
+version = "0.3"
+[workspace.dependencies]
+shared.workspace = true
+<<case when k % 9 = 0 then '[build-dependencies' else '[build-dependencies]' end>>
+cc = { path = "../cc", features = ["a", "b#<<k % 3>>"], optional = false }
+"""
+_PYPROJECT = """[project]
+name = "proj<<k>>"
+dependencies = [
+  "requests>=2.<<k % 9>> ; python_version < '3'", # note
+  "flask",
+]
+[project.optional-dependencies]
+test = ["pytest==<<k % 8>>"]
+[tool.poetry.group.dev<<k % 3>>.dependencies]
+black = "^2<<k % 5>>"
+<<case when k % 11 = 0 then 'left =' else '[tool.other]' end>>
+dependencies = ["not"]
+"""
+TOML_MANIFESTS = f"""select concat('pkgs/p', cast(k as string), case k % 2 when 0 then '/Cargo.toml' else '/pyproject.toml' end) as path,
+  case k % 2 when 0 then {text_sql(_CARGO_WIDE)} else {text_sql(_PYPROJECT)} end as content
+from (select c_custkey k from customer) a"""
+
 # Dependency rows without parsing, for the operators that take rows.
 DEPENDENCIES = """select concat('pkgs/p', cast(l_suppkey as string), '/package.json') as manifest,
   concat('pkg', cast(l_suppkey as string)) as pkg,
@@ -267,6 +321,8 @@ BINDINGS = {
     "doc_corpus": DOC_CORPUS,
     "config_corpus": CONFIG_CORPUS,
     "manifests": MANIFESTS,
+    "cargo_manifests": CARGO_MANIFESTS,
+    "toml_manifests": TOML_MANIFESTS,
     "dependencies": DEPENDENCIES,
     "requests": REQUESTS,
     "operations": OPERATIONS,
@@ -294,7 +350,7 @@ def spread(df: DataFrame) -> DataFrame:
 # Bindings whose rows are texts, with the table each is made from.
 TEXTS = {
     "files": "documents", "code_corpus": "part", "module_corpus": "part", "doc_corpus": "customer", "config_corpus": "customer",
-    "manifests": "customer",
+    "manifests": "customer", "cargo_manifests": "customer", "toml_manifests": "customer",
 }
 
 

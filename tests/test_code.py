@@ -84,7 +84,9 @@ def test_manifests(files_of):
         ("q/pyproject.toml", '[project]\nname = "q"\ndependencies = ["requests>=2.0", "flask"]\n[tool.poetry.dependencies]\npython = "^3.9"'),
         ("r/package.json", '{"name": "r", "dependencies": {"x": "^1.0"}, "peerDependencies": {"y": "*"}}'),
         ("s/requirements.txt", "# c\na==1\nb[e1,e2]>=2\nc\n"), ("bad/Cargo.toml", "not [ toml"), ("t/other.txt", "x==1"))
-    assert rows(mf.read_manifests(files), "pkg", "section", "name", "spec") == [
+    found = mf.read_manifests(files)
+    assert [(r.manifest, r.error) for r in found.filter("error is not null").collect()] == [("bad/Cargo.toml", "cannot be read: not [ toml")]
+    assert rows(found.filter("error is null"), "pkg", "section", "name", "spec") == [
         ("p", "dependencies", "a", "1"), ("p", "dependencies", "b", "git:https://x/y"), ("p", "dev-dependencies", "c", "path:../c"),
         ("q", "dependencies", "flask", "*"), ("q", "dependencies", "python", "^3.9"), ("q", "dependencies", "requests", ">=2.0"),
         ("r", "dependencies", "x", "^1.0"), ("r", "peerDependencies", "y", "*"),
@@ -226,3 +228,15 @@ def test_many_functions_in_one_file(files_of):
     text = "".join(f"class K{k}:\n    def f{k}(self):\n        return {k}\n" for k in range(3000))
     got = {(r.name, r.line, r.end_line) for r in sy.extract_symbols(files_of(("a.py", text))).collect()}
     assert got == {(f"K{k}", 3 * k, 3 * k + 2) for k in range(3000)} | {(f"f{k}", 3 * k + 1, 3 * k + 2) for k in range(3000)}
+
+
+def test_broken_and_target_manifests(files_of):
+    cargo = ('[package]\nname = "core" # x\n[dependencies]\nserde = { version = "1.0", features = ["derive", "rc"] }\ntokio.version = "1"\ntokio.features = [\n  "full", # all\n  "rt",\n]\n'
+             '[target.\'cfg(unix)\'.dependencies]\nlibc = "0.2"\n[target."x86".dev-dependencies.winapi]\nversion = \'0.3\'\n[workspace.dependencies]\na.workspace = true\n[[bin]]\nname = "b"\n')
+    files = files_of(("a/Cargo.toml", cargo), ("c/Cargo.toml", "[package]\n[dependencies\nq = 1\n"), ("d/package.json", "{oops"), ("e/package.json", '{"name":"e"}'),
+                     ("f/Cargo.toml", None), ("g/package.json", None), ("h/Cargo.toml", "[dependencies]\nk =\n"), ("i/package.json", '{"dependencies": "no"}'), ("j/Cargo.toml", ""))
+    found = mf.read_manifests(files)
+    assert sorted(r.manifest for r in found.filter("error is not null").collect()) == ["c/Cargo.toml", "d/package.json", "g/package.json", "h/Cargo.toml", "i/package.json"]
+    got = [(r.section, r.name, r.spec, r.features, r.pkg) for r in found.filter("error is null").orderBy("position").collect()]
+    assert got == [("dependencies", "serde", "1.0", ["derive", "rc"], "core"), ("dependencies", "tokio", "1", ["full", "rt"], "core"), ("target.cfg(unix).dependencies", "libc", "0.2", [], "core"),
+                   ("target.x86.dev-dependencies", "winapi", "0.3", [], "core"), ("workspace.dependencies", "a", "*", [], "core")]
