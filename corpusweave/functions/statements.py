@@ -97,7 +97,8 @@ def _newlines(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
-def _placed(tokens: Column, opens: Callable[[Column], Column]) -> Column:
+def placed(tokens: Column, opens: Callable[[Column], Column]) -> Column:
+    """Tokens that `opens` accepts, with their places; `tokens` cover a text without gaps."""
     def of(all_tokens: Column) -> Column:
         def row(ends: Column, lines: Column) -> Column:
             def one(i: Column) -> Column:
@@ -126,7 +127,7 @@ def statements_of(text: Column, language: Column, grammars: tuple[Grammar, ...]
         tokens = F.when(own & (text != "") & begins, F.regexp_extract_all(text, F.lit(g.tokens()), F.lit(0))).otherwise(tokens)
         fits.append((own, rf"(?s)^(?:{'|'.join(s.regex for s in g.statements)})$"))
     opens = lambda token: F.coalesce(*[F.when(own, token.rlike(whole)) for own, whole in fits])
-    return _placed(tokens, opens)
+    return placed(tokens, opens)
 
 
 def plain(text: Column, comment: str) -> Column:

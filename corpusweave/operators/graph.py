@@ -74,8 +74,8 @@ def new_specifier(importer: Column, target: Column, original: Column) -> Column:
     return F.concat(dotted, anchor)
 
 
-def rewrite_references(resolved: DataFrame, moved: DataFrame) -> DataFrame:
-    """Edits that point relative imports at moved files, seen from where the importer ends up.
+def redirected(resolved: DataFrame, moved: DataFrame) -> DataFrame:
+    """Resolved imports that a move changes, with `new_text`: the specifier seen from where the importer ends up.
 
     `@`, `~` and `$` specifiers keep their prefix and get the new path behind it;
     other bare specifiers stay.
@@ -91,9 +91,13 @@ def rewrite_references(resolved: DataFrame, moved: DataFrame) -> DataFrame:
     aliased = spec.rlike("^[@~$]") & F.col("_to").isNotNull()
     alias = F.concat(F.substring_index(spec, "/", 1), F.lit("/"), to)
     fresh = F.when(is_relative, new_specifier(importer, to, spec)).when(aliased, alias)
-    return hit.select("path", "line", F.lit("update_import").alias("edit_type"),
-                      spec.alias("original_text"), fresh.alias("new_text")).filter(
-        F.col("new_text") != F.col("original_text"))
+    return hit.withColumn("new_text", fresh).filter(F.col("new_text") != spec)
+
+
+def rewrite_references(resolved: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edits, by line, that point relative imports at moved files. `relocate.py` has them with places, and those of links."""
+    return redirected(resolved, moved).select(
+        "path", "line", F.lit("update_import").alias("edit_type"), F.col("module_path").alias("original_text"), "new_text")
 
 
 def reachable(

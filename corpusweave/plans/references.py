@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import imports as im
+from ..operators import relocate as rl
 from ..operators.edits import apply_edits
 from ..operators.symbols import extract_symbols
 from ..sources.bindings import bound, oracle, table
@@ -120,6 +121,23 @@ def rewritten(spark, sf):
     return g.rewrite_references(_resolved(spark, sf), moved)
 
 
+def _guides(spark, sf):
+    _corpus(spark, sf).createOrReplaceTempView("import_corpus")
+    return bound(spark, sf, "guide_corpus")
+
+
+def _guide_renames(spark, sf):
+    return _renames(spark, sf).union(spark.createDataFrame([("docs/g3.md", "guides/deep/three.md")], "old string, new string"))
+
+
+def relocated(spark, sf):
+    return rl.relocated_text(_guides(spark, sf), _guide_renames(spark, sf))
+
+
+def guide_links(spark, sf):
+    return rl.link_places(_guides(spark, sf).filter(rl.is_markdown(F.col("path"))))
+
+
 def affected_by_broken(spark, sf):
     """Everything that depends, directly or not, on a file with a broken import."""
     resolved = _resolved(spark, sf)
@@ -341,6 +359,34 @@ QUERIES = {
       select path, line, 'update_import' as edit_type, module_path as original_text, new_text from (select *, case
           when mine and theirs and own = f then './s' || t when mine and theirs then '../n' || f || leaf when theirs then '../../lib/deep/n' || f || leaf
           when mine then '../../../src/m' || f || leaf else module_path end as new_text from d) where new_text <> module_path""", "import_corpus")),
+    "relocated_text": (relocated, oracle(GRAPH + MOVED + r"""
+      , r as (select i.path, i.line, i.module_path, i.t, m.old_path is not null as mine, t2.old_path is not null as theirs
+          from internal i join live l on l.s = i.t left join moves m on m.old_path = i.path left join moves t2 on t2.old_path = l.path),
+      d as (select *, '/s' || t as leaf, t % 10 as f, regexp_extract(path, '^src/m([0-9]+)/', 1)::bigint as own from r),
+      e as (select path, line, module_path as o, case when mine and theirs and own = f then './s' || t when mine and theirs then '../n' || f || leaf when theirs then '../../lib/deep/n' || f || leaf
+          when mine then '../../../src/m' || f || leaf else module_path end as n from d),
+      code as (select c.path, coalesce(m.new_path, c.path) as new_path, content, m.old_path is not null as moved from import_corpus c left join moves m on m.old_path = c.path),
+      lines as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as i from code),
+      done as (select l.path, string_agg(replace(text, coalesce(o, '?'), coalesce(n, '?')), chr(10) order by i) as new_content, count(*) filter (o <> n) as edits from lines l left join e on e.path = l.path and e.line = l.i - 1 group by l.path),
+      guide as (select s, t, t % 10 in (0, 1, 4, 9) and t in (select s from live) as there, t in (select s from live) as known, s % 7 + 1 as other from (select s_suppkey as s, (s_suppkey * 7 + 3) % c + 1 as t from supplier, n)),
+      told as (select *, case when there then 'lib/deep/n' else 'src/m' end || (t % 10) || '/s' || t || '.ts' as goal,
+          'src/m' || (t % 10) || '/s' || t || '.ts' as old, s = 3 as self, other = 3 as to_self from guide),
+      texts as (select 'docs/g' || s || '.md' as path, case when self then 'guides/deep/three.md' else 'docs/g' || s || '.md' end as new_path,
+          case when not known then '../' || old when self then '../../' || goal else '../' || goal end as rel, case when known then goal else old end as abs, *,
+          case when self and to_self then 'three.md' when to_self then '../guides/deep/three.md' when self then '../../docs/g' || other || '.md' else 'g' || other || '.md' end as peer from told),
+      written as (select path, new_path, concat('# Guide ', s, chr(10), 'See [the code](', rel, '#top "title") and `[no](../src/m1/s1.ts)` or [![pic](./img.png)](/', abs, ').', chr(10), '```', chr(10),
+          '[skip](../', old, ')', chr(10), '```', chr(10), '[s', t, '.ts]: ', rel, chr(10), '<', case when to_self and not self then '../' || 'guides/deep/three.md' else peer end, '> <https://example.com/src/m1/s1.ts> [here](#local)', chr(10)) as new_content,
+          (case when rel <> '../' || old then 2 else 0 end + case when abs <> old then 1 else 0 end + case when peer <> 'g' || other || '.md' then 1 else 0 end)::bigint as edits from texts)
+      select code.path, new_path, new_content, edits from code join done using (path) where moved or edits > 0
+      union all select path, new_path, new_content, edits from written where edits > 0 or path <> new_path""", "import_corpus")),
+    "link_places": (guide_links, oracle(r"""
+      , g as (select *, regexp_extract(path, 'g([0-9]+)', 1)::bigint as s from guide_corpus where path like 'docs/%'),
+      h as (select *, (s * 7 + 3) % (select count(*) from supplier) + 1 as t from g),
+      l(kind, line, mark, skip, target) as (values
+        ('inline', 1::bigint, '[the code](', 11, '../@#top'), ('inline', 1, '(./img.png', 1, './img.png'), ('inline', 1, '](/', 2, '/@'), ('definition', 5, ']: ', 3, '../@'),
+        ('autolink', 6, '<g', 1, '!'), ('autolink', 6, '<https', 1, 'https://example.com/src/m1/s1.ts'), ('inline', 6, '(#local', 1, '#local'))
+      select path, kind, line, goal as target, strpos(content, mark) - 1 + skip as start_off, strpos(content, mark) - 1 + skip + length(goal) as end_off from (
+        select *, replace(replace(target, '@', 'src/m' || (t % 10) || '/s' || t || '.ts'), '!', 'g' || (s % 7 + 1) || '.md') as goal from h, l)""", "import_corpus", "guide_corpus")),
     "reachable": (affected_by_broken, oracle(f"""{GRAPH},
       walk as (select path, 0::bigint as depth from resolved where target is null and module_path like '.%'
         union select e.src, w.depth + 1 from walk w join edges e on e.dst = w.path where w.depth < 40)

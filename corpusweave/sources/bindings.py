@@ -184,6 +184,18 @@ Write <docs/p<<c_custkey % 40>>.md> or <mailto:x@example.com> or [here](#local).
 DOC_CORPUS = f"""select concat('docs/g', cast(c_custkey as string), '.md') as path,
   {text_sql(_MARKDOWN)} as content from customer"""
 
+# Guides beside the import corpus, with links to its files, and some that only look like links.
+_GUIDES = """# Guide <<s>>
+See [the code](../src/m<<t % 10>>/s<<t>>.ts#top "title") and `[no](../src/m1/s1.ts)` or [![pic](./img.png)](/src/m<<t % 10>>/s<<t>>.ts).
+```
+[skip](../src/m<<t % 10>>/s<<t>>.ts)
+```
+[s<<t>>.ts]: ../src/m<<t % 10>>/s<<t>>.ts
+<g<<s % 7 + 1>>.md> <https://example.com/src/m1/s1.ts> [here](#local)
+"""
+GUIDE_CORPUS = f"""select path, content from import_corpus union all select concat('docs/g', cast(s as string), '.md') as path, {text_sql(_GUIDES)} as content
+from (select s_suppkey s, {_TARGET.format(m=7, p=3)} t from supplier) g"""
+
 _YAML = """# paths of src/m<<k % 20>>
 src/m<<k % 20>>: keep
 entry: src/m<<k % 20>>/main.ts # src/m<<k % 20>>/x
@@ -318,6 +330,7 @@ BINDINGS = {
     "import_corpus": IMPORT_CORPUS,
     "code_corpus": CODE_CORPUS,
     "module_corpus": MODULE_CORPUS,
+    "guide_corpus": GUIDE_CORPUS,
     "doc_corpus": DOC_CORPUS,
     "config_corpus": CONFIG_CORPUS,
     "manifests": MANIFESTS,

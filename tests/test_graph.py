@@ -214,3 +214,29 @@ def test_import_cleanup_over_lines(spark, files_of):
 def test_long_texts_do_not_overflow(files_of):
     text = "x" * 300_000 + "\nimport a from './b'\n" + "'" + "y " * 100_000 + "'\n" + "// c\n" * 20_000 + "import {" + "n, " * 20_000 + "} from './c'"
     assert rows(im.extract_imports(files_of(("a.ts", text))), "module_path") == [("./b",), ("./c",)]
+
+
+def test_links_have_places(files_of):
+    from corpusweave.operators.relocate import link_places
+
+    text = ("# T\n[a](./x.md#top) ![i](p.png \"t\") `[no](n.md)`\n```\n[no](n.md)\n```\n[![in](q.png)](y.md)\n<!-- [no](n.md) -->\n [x.md]: x.md\n<z.md>\n"
+            "  ~~~ sh\n<no>\n  ~~~\nend [b](<w.md>) ``x ` [no](n.md)``")
+    got = link_places(files_of(("a.md", text), ("b.md", None), ("c.md", "")))
+    assert rows(got, "line", "kind", "target") == [
+        (1, "inline", "./x.md#top"), (1, "inline", "p.png"), (5, "inline", "q.png"), (5, "inline", "y.md"), (7, "definition", "x.md"), (8, "autolink", "z.md"), (12, "inline", "w.md")]
+    assert all(text[r.start_off : r.end_off] == r.target for r in got.collect())
+
+
+def test_relocated_text(spark, files_of):
+    from corpusweave.operators.relocate import relocated_text
+
+    files = files_of(
+        ("src/a.ts", "import {\n  x\n} from './lib/x';\nexport * from './lib/x';\nconst q = require('./lib/x'); // './lib/x'\n"), ("src/lib/x.ts", "import { y } from '../y';"), ("src/y.ts", ""),
+        ("docs/g.md", "[x](../src/lib/x.ts#l) [h](h.md?v=1) [r](/src/lib/x.ts) [n](../none.md)\n```\n[x](../src/lib/x.ts)\n```\n"), ("docs/h.md", "[g](./g.md)"), ("z.md", "nothing"))
+    renames = spark.createDataFrame([("src/lib", "core/lib"), ("docs/h.md", "h.md")], "old string, new string")
+    got = {r.path: (r.new_path, r.new_content) for r in relocated_text(files, renames).collect()}
+    assert got == {
+        "src/a.ts": ("src/a.ts", "import {\n  x\n} from '../core/lib/x';\nexport * from '../core/lib/x';\nconst q = require('../core/lib/x'); // './lib/x'\n"),
+        "src/lib/x.ts": ("core/lib/x.ts", "import { y } from '../../src/y';"),
+        "docs/g.md": ("docs/g.md", "[x](../core/lib/x.ts#l) [h](../h.md?v=1) [r](/core/lib/x.ts) [n](../none.md)\n```\n[x](../src/lib/x.ts)\n```\n"),
+        "docs/h.md": ("h.md", "[g](./docs/g.md)")}
