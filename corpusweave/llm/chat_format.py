@@ -83,9 +83,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     order = levels(calls.filter("call_id is not null"))
     checked = argument_errors(calls, schemas).join(order, "call_id", "left")
     many = calls.groupBy("call_id").count().union(results.groupBy("result_id").count()).filter("count > 1").select(F.col("call_id").alias("many_id")).distinct()
-    both = checked.join(results, F.col("call_id") == F.col("result_id"), "full")
+    # Marks say which side a row has: any of its data may be null.
+    both = checked.withColumn("is_call", F.lit(True)).join(results.withColumn("is_result", F.lit(True)), F.col("call_id") == F.col("result_id"), "full")
     both = both.withColumn("id", F.coalesce("call_id", "result_id")).join(many, F.col("id") == F.col("many_id"), "left")
-    orphan, no_result = F.col("seq").isNull() & F.col("name").isNull() & F.col("conv_id").isNull(), F.col("result_conv").isNull() & F.col("content").isNull()
+    orphan, no_result = F.col("is_call").isNull(), F.col("is_result").isNull()
     status = (F.when(orphan, "orphan").when(F.col("many_id").isNotNull(), "repeated").when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle")
               .when(no_result, "unanswered").otherwise("answered"))
     part = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))
@@ -103,7 +104,8 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     """Calls, results and schemas read out of plain conversations.
 
     An assistant's turn is a call, the user's turn after it is its result; the tool goes by the turn's number, its arguments are
-    the text and the text's length, and it depends on the call half as many turns in.
+    the text and the text's length, and it depends on the call half as many turns in. Turns of other roles (`system`) are
+    neither call nor result, and are left out.
     """
     call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     tool = F.element_at(F.array(F.lit("lookup"), F.lit("search"), F.lit("store")), (F.pmod("turn", F.lit(3)) + 1).cast("int"))

@@ -182,6 +182,14 @@ def test_tool_calls(spark):
     assert link_tool_calls(calls.limit(0), results.limit(0), schemas).collect() == []
 
 
+def test_links_of_rows_full_of_nulls(spark):
+    calls = spark.createDataFrame([(None, "a", None, None, None, None), (None, "b", None, None, None, None)], "conv_id string, call_id string, seq int, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(None, "a", None), (None, "o", None), (None, None, None)], "conv_id string, call_id string, content string")
+    schemas = spark.createDataFrame([], "name string, field string, type string, required boolean, least double, most double")
+    got = {(r.call_id, r.status, tuple(r.errors)) for r in link_tool_calls(calls, results, schemas).collect()}
+    assert got == {("a", "answered", ("unknown_tool",)), ("b", "unanswered", ("unknown_tool",)), ("o", "orphan", ()), (None, "orphan", ())}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
