@@ -151,8 +151,8 @@ def _toml(files: DataFrame) -> DataFrame:
     named = F.transform(F.array(F.lit("package"), F.lit("project"), F.lit("tool.poetry")), lambda s: F.get(F.filter(
         "entries", lambda e: F.array_join(e["path"], ".") == F.concat(s, F.lit(".name"))), F.lit(0))["value"])
     pkg = _unquoted(F.get(F.array_compact(named), F.lit(0)))
-    pairs = parsed.filter("error is null").select("manifest", pkg.alias("pkg"), F.explode_outer("entries").alias("e")).filter("e is not null").select(
-        "manifest", "pkg", "e.position", "e.path", "e.value")
+    entries = parsed.select("manifest", pkg.alias("pkg"), "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("entries"))).alias("e")).select(
+        "manifest", "pkg", "error", "e.position", "e.path", "e.value").withColumn("d", _placed_dependency(F.col("path"))).withColumn("listed", _listed_section(F.col("path")))
     # A dependency may be one string or table, a table of its own, or dotted keys: all become (key, value) details.
     inner = F.regexp_extract_all("value", F.lit(rf"(?s)[\w-]++[ \t]*+=[ \t]*+(?:{_STRING}|\[[^\[\]]*+\]|\w++)"), F.lit(0))
     detail = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
@@ -160,26 +160,32 @@ def _toml(files: DataFrame) -> DataFrame:
     details = (
         F.when(F.col("d.detail").isNotNull(), F.array(detail(F.col("d.detail"), F.col("value"))))
         .when(F.col("value").startswith("{"), of_table).otherwise(F.array(detail(F.lit("version"), F.col("value")))))
-    tables = pairs.withColumn("d", _placed_dependency(F.col("path"))).filter("d is not null and d.name is not null").select(
-        "manifest", "pkg", "d.section", "d.name", "position", details.alias("details"))
-    each = tables.groupBy("manifest", "pkg", "section", "name").agg(
-        F.min("position").alias("position"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "details"))), lambda x: x["details"])).alias("details"))
+
+    def item(section: Column, name: Column, position: Column, place: Column, spec: Column, optional: Column, details: Column) -> Column:
+        return F.struct(section.alias("section"), name.alias("name"), position.alias("position"), place.cast("bigint").alias("place"),
+                        spec.cast("string").alias("spec"), optional.alias("optional"), details.cast("array<struct<key:string,value:string>>").alias("details"))
+
+    def listed(text: Column, place: Column) -> Column:
+        name = F.regexp_extract(text, r"^([^=<>~!; \[]*)", 1)
+        spec = F.coalesce(F.nullif(F.trim(F.substring(text, F.length(name) + 1, F.length(text))), F.lit("")), F.lit("*"))
+        at = F.col("position") + place
+        return item(F.col("listed"), F.trim(name), at, at, spec, F.col("listed") != "dependencies", F.array())
+
+    tabled = item(F.col("d.section"), F.col("d.name"), F.col("position"), F.lit(None), F.lit(None), F.lit(False), details)
+    items = F.when(F.col("d.name").isNotNull(), F.array(tabled)).when(F.col("listed").isNotNull(), F.transform(_strings(F.col("value")), listed))
+    rows = entries.select("manifest", "pkg", "error", F.explode_outer(items).alias("i")).filter("i is not null or error is not null").select("manifest", "pkg", "error", "i.*")
+    each = rows.groupBy("manifest", "pkg", "error", "section", "name", "place").agg(
+        F.min("position").alias("position"), F.min("spec").alias("given"), F.max("optional").alias("may"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "details"))), lambda x: x["details"])).alias("details"))
     of = lambda key: F.get(F.filter("details", lambda x: x["key"] == key), F.lit(0))["value"]
-    spec = F.coalesce(F.concat(F.lit("git:"), _unquoted(of("git"))), F.concat(F.lit("path:"), _unquoted(of("path"))), _unquoted(of("version")), F.lit("*"))
-    dependencies = each.select(
-        "manifest", "pkg", "section", "name", spec.alias("spec"), F.coalesce(_strings(of("features")), F.array().cast("array<string>")).alias("features"),
-        F.coalesce(of("optional") == "true", F.lit(False)).alias("optional"), "position")
-    lists = pairs.withColumn("section", _listed_section(F.col("path"))).filter("section is not null").select(
-        "manifest", "pkg", "section", "position", F.posexplode_outer(_strings(F.col("value"))).alias("place", "item")).filter("item is not null")
-    name = F.regexp_extract("item", r"^([^=<>~!; \[]*)", 1)
-    listed = lists.select(
-        "manifest", "pkg", "section", F.trim(name).alias("name"),
-        F.coalesce(F.nullif(F.trim(F.substring("item", F.length(name) + 1, F.length("item"))), F.lit("")), F.lit("*")).alias("spec"),
-        F.array().cast("array<string>").alias("features"), (F.col("section") != "dependencies").alias("optional"), (F.col("position") + F.col("place")).alias("position"))
+    spec = F.coalesce("given", F.concat(F.lit("git:"), _unquoted(of("git"))), F.concat(F.lit("path:"), _unquoted(of("path"))), _unquoted(of("version")), F.lit("*"))
     # Positions count from 0 in the order of the text.
-    rows = dependencies.unionByName(listed).withColumn(
-        "position", F.row_number().over(Window.partitionBy("manifest").orderBy("position", "section", "name")).cast("bigint") - 1)
-    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(_unreadable(parsed, F.col("manifest"), F.col("error")))
+    order = F.row_number().over(Window.partitionBy("manifest").orderBy("position", "section", "name")).cast("bigint") - 1
+    fine = F.col("error").isNull()
+    return each.select(
+        "manifest", F.when(fine, F.col("pkg")).alias("pkg"), "section", "name", F.when(fine, spec).alias("spec"),
+        F.coalesce(_strings(of("features")), F.array().cast("array<string>")).alias("features"),
+        (F.coalesce("may", F.lit(False)) | F.coalesce(of("optional") == "true", F.lit(False))).alias("optional"), F.when(fine, order).alias("position"), "error")
 
 
 def read_manifests(files: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def local_session(cores: str = "8", name: str = "corpusweave", **extra: str) ->
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in {**SETTINGS, **extra}.items():
