@@ -187,22 +187,50 @@ def shortest_chain(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
     return found.select("source", "target", "chain", (F.size("chain") - 1).cast("bigint").alias("hops"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Drop edges that touch a node without way in or way out, until none is left."""
-    count = edges.count()
-    while count:
-        enters = edges.select(F.col("dst").alias("_n")).distinct()
-        leaves = edges.select(F.col("src").alias("_n")).distinct()
-        inner = pinned(
-            edges.join(enters, F.col("src") == F.col("_n"), "left_semi")
-            .join(leaves, F.col("dst") == F.col("_n"), "left_semi"))
-        left = inner.count()
-        if left == count:
-            return edges
-        edges, count = inner, left
+def _reduced(edges: DataFrame, records: list[DataFrame]) -> DataFrame:
+    """Edges (no loops) without dead ends and without chains, which keep all cycles of the others.
+
+    Each round drops nodes without a way in or out, and takes nodes with one way in and one way out, no two of
+    them neighbours, out of their chain: pred -> path -> succ becomes pred -> succ, and (path, pred, succ) a row
+    of that round's table in `records`. A third of a chain goes per round, so rounds grow with the logarithm of its length.
+    """
+    while not edges.isEmpty():
+        ends = edges.select(F.explode_outer(F.array(
+            F.struct(F.col("src").alias("path"), F.lit(None).cast("string").alias("pred"), F.col("dst").alias("succ")),
+            F.struct(F.col("dst").alias("path"), F.col("src").alias("pred"), F.lit(None).cast("string").alias("succ")))).alias("e")).select("e.*")
+        nodes = ends.groupBy("path").agg(
+            F.count("pred").alias("_ins"), F.count("succ").alias("_outs"), F.min("pred").alias("pred"), F.min("succ").alias("succ"))
+        ranked = F.struct(F.xxhash64("path", F.lit(len(records))), F.col("path"))
+        marked = pinned(nodes.filter("_ins <= 1 and _outs <= 1 or _ins = 0 or _outs = 0").select(
+            "path", "pred", "succ", F.when((F.col("_ins") == 1) & (F.col("_outs") == 1), ranked).alias("rank")))
+        if marked.isEmpty():
+            break
+        chain = marked.filter("rank is not null")
+        before = chain.select(F.col("path").alias("pred"), F.col("rank").alias("_before"))
+        after = chain.select(F.col("path").alias("succ"), F.col("rank").alias("_after"))
+        first = chain.join(before, "pred", "left").join(after, "succ", "left").filter(
+            F.coalesce(F.col("rank") < F.col("_before"), F.lit(True)) & F.coalesce(F.col("rank") < F.col("_after"), F.lit(True)))
+        taken = pinned(first.select("path", "pred", "succ"))
+        records.append(taken)
+        gone = marked.filter("rank is null").select(F.col("path").alias("_n")).union(taken.select("path"))
+        left = edges.join(gone, F.col("src") == F.col("_n"), "left_anti").join(gone, F.col("dst") == F.col("_n"), "left_anti")
+        edges = pinned(left.union(taken.filter("pred <> succ").select("pred", "succ")).distinct())
     return edges
 
 
+def _restored(groups: DataFrame, records: list[DataFrame]) -> DataFrame:
+    """`groups(path, label)` with the chain nodes of `records`: those between two nodes of one group, or from a node back to it."""
+    for taken in reversed(records):
+        one = groups.select(F.col("path").alias("pred"), F.col("label").alias("_p"))
+        other = groups.select(F.col("path").alias("succ"), F.col("label").alias("_s"))
+        ring = F.col("pred") == F.col("succ")
+        found = taken.join(one, "pred", "left").join(other, "succ", "left").filter(ring | (F.col("_p") == F.col("_s")))
+        label = F.coalesce("_p", "pred").alias("label")
+        own = found.filter("_p is null").select(F.col("pred").alias("path"), label).distinct()
+        groups = pinned(groups.unionByName(found.select("path", label)).unionByName(own))
+    return groups
+
+
 def _spread(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
     """Pull the smallest label along edges a->b until nothing changes."""
     changed = labels
@@ -224,14 +252,16 @@ def _spread(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Files that depend on each other, as (cycle, path); `cycle` is the group's first path.
 
-    Self-imports count. Nodes that cannot lie on a cycle are trimmed, then the
-    smallest path spreads forward; whoever sends its own label back within that
-    colour forms a group. Groups are removed and the rest starts over.
+    Self-imports count. Dead ends are dropped and chains contracted, then the
+    smallest path spreads forward through what is left; whoever sends its own label back within that
+    colour forms a group. Groups are removed and the rest starts over. At the end chain nodes
+    come back, last contracted first.
     """
     edges = pinned(edges.select("src", "dst").distinct())
     loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("path"))
-    rest = _trimmed(edges.filter(F.col("src") != F.col("dst")))
-    groups = None
+    records: list[DataFrame] = []
+    rest = _reduced(edges.filter(F.col("src") != F.col("dst")), records)
+    groups = loops.limit(0).select("path", F.col("path").alias("label"))
     while not rest.isEmpty():
         nodes = rest.select(F.col("src").alias("path")).distinct()
         colours = _spread(nodes.select("path", F.col("path").alias("label")), rest, "src", "dst")
@@ -239,19 +269,18 @@ def cycles(edges: DataFrame) -> DataFrame:
         d = colours.select(F.col("path").alias("dst"), F.col("label").alias("_b"))
         inside = pinned(rest.join(s, "src").join(d, "dst").filter("_a = _b").select("src", "dst"))
         roots = colours.filter(F.col("path") == F.col("label")).select("path")
-        group = reachable(inside, roots, reverse=True).select("path").join(colours, "path").select(
-            F.col("label").alias("cycle"), "path")
-        sizes = group.groupBy("cycle").agg(F.count("*").alias("_n")).filter("_n > 1")
-        kept = group.join(sizes, "cycle", "left_semi")
-        groups = kept if groups is None else groups.unionByName(kept)
+        group = pinned(reachable(inside, roots, reverse=True).select("path").join(colours, "path").select("path", "label"))
+        sizes = group.groupBy("label").agg(F.count("*").alias("_n")).filter("_n > 1")
+        groups = groups.unionByName(group.join(sizes, "label", "left_semi").select("path", "label"))
         done = group.select(F.col("path").alias("_n"))
-        rest = _trimmed(pinned(
+        rest = _reduced(pinned(
             rest.join(done, F.col("src") == F.col("_n"), "left_anti")
-            .join(done, F.col("dst") == F.col("_n"), "left_anti")))
+            .join(done, F.col("dst") == F.col("_n"), "left_anti")), records)
+    members = _restored(groups, records)
+    firsts = members.groupBy("label").agg(F.min("path").alias("cycle"))
+    found = members.join(firsts, "label").select("cycle", "path")
     single = loops.select(F.col("path").alias("cycle"), "path")
-    if groups is None:
-        return single
-    return groups.unionByName(single.join(groups.select("path"), "path", "left_anti").select("cycle", "path"))
+    return found.unionByName(single.join(found.select("path"), "path", "left_anti").select("cycle", "path"))
 
 
 def merge_would_cycle(package_edges: DataFrame, candidates: DataFrame, imports: DataFrame) -> DataFrame:

@@ -240,3 +240,29 @@ def test_relocated_text(spark, files_of):
         "src/lib/x.ts": ("core/lib/x.ts", "import { y } from '../../src/y';"),
         "docs/g.md": ("docs/g.md", "[x](../core/lib/x.ts#l) [h](../h.md?v=1) [r](/core/lib/x.ts) [n](../none.md)\n```\n[x](../src/lib/x.ts)\n```\n"),
         "docs/h.md": ("h.md", "[g](./docs/g.md)")}
+
+
+def test_cycles_of_random_graphs_against_reachability(spark):
+    chance = random.Random(5)
+    for nodes, links in ((30, 36), (25, 60)):
+        pairs = {(f"g{chance.randrange(nodes):02}", f"g{chance.randrange(nodes):02}") for _ in range(links)}
+        pairs |= {(f"r{k}", f"r{(k + 1) % 7}") for k in range(7)} | {("g00", "r3"), ("p", "q"), ("q", "p"), ("q", "r0"), ("r5", "t"), ("t", "u")}
+        reach = {x: {x} for p in pairs for x in p}
+        for _ in reach:
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        groups = {x: sorted(y for y in reach[x] if x in reach[y]) for x in reach}
+        want = {(m[0], x) for x, m in groups.items() if len(m) > 1 or (x, x) in pairs}
+        found = g.cycles(spark.createDataFrame(sorted(pairs), "src string, dst string")).collect()
+        assert {(r.cycle, r.path) for r in found} == want and len(found) == len(want)
+
+
+def test_long_rings_settle_in_few_rounds(spark):
+    n = 5000
+    ring = spark.range(n).selectExpr("concat('n', id) as src", f"concat('n', (id + 1) % {n}) as dst")
+    tail = spark.range(n).selectExpr("concat('t', id) as src", "concat('t', id + 1) as dst")
+    records = []
+    assert g._reduced(ring.union(tail), records).isEmpty() and len(records) < 30
+    found = g._restored(spark.createDataFrame([], "path string, label string"), records)
+    assert found.agg(F.count("*"), F.countDistinct("path"), F.countDistinct("label")).first() == (n, n, 1)
+    assert g.cycles(spark.createDataFrame([], "src string, dst string")).count() == 0
