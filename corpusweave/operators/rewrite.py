@@ -195,9 +195,10 @@ def bulk_rename(files: DataFrame, rename_map: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))
     uses = files.select("path", F.explode_outer(words).alias("old"))
     renames = rename_map.groupBy("old").agg(F.min("new").alias("new"))
-    per_file = uses.join(renames, "old").groupBy("path").agg(
+    # Sort-merge joins: texts and maps made from small files outgrow what the planner reckons, and would be broadcast.
+    per_file = uses.join(renames.hint("merge"), "old").groupBy("path").agg(
         F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_map"))
-    df = files.join(per_file, "path")
+    df = files.join(per_file.hint("merge"), "path")
     df = df.withColumn("_words", F.regexp_extract_all("content", F.lit(word), F.lit(0)))
     df = df.withColumn("_gaps", F.split("content", word, -1))
     renamed = F.transform("_words", lambda w: F.coalesce(F.element_at("_map", w), w))
