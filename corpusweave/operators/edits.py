@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +62,138 @@ def overlapping_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> Da
         F.when(earlier, F.col("_before.edit_no")).otherwise(F.col("_after.edit_no")).alias("meets"))
 
 
+class _Kept:
+    """Ranges kept so far, by their place in the list; finds the first that a range meets.
+
+    A tree over the sorted offsets: even leaves are offsets, odd ones the gaps between neighbours. A range fills the
+    leaves strictly inside it, held by the fewest nodes that make them up; an empty one is a point at its offset, which other empty ranges do not meet.
+    Ranges that end before they start are compared one by one.
+    """
+
+    def __init__(self, offsets: list[int]):
+        self.leaf = {x: 2 * i for i, x in enumerate(offsets)}
+        self.size = 1 << (2 * len(offsets)).bit_length()
+        self.none = 1 << 62
+        # Least place among the ranges that fill a node, and among all that touch its leaves.
+        self.over, self.least = [self.none] * (2 * self.size), [self.none] * (2 * self.size)
+        self.heaps: dict[int, list[tuple[int, int]]] = {}
+        self.ranges: list[tuple] = []
+        self.owner: list[int] = []
+        self.backward: set[int] = set()
+
+    def _nodes(self, start: int, end: int) -> list[int]:
+        """Nodes that a range fills; a point is the negative of its leaf."""
+        if start == end:
+            return [-(self.leaf[start] + self.size)]
+        a, b, nodes = self.leaf[start] + 1 + self.size, self.leaf[end] + self.size, []
+        while a < b:
+            if a & 1:
+                nodes.append(a)
+                a += 1
+            if b & 1:
+                b -= 1
+                nodes.append(b)
+            a, b = a >> 1, b >> 1
+        return nodes
+
+    def _refresh(self, node: int) -> None:
+        """The least place in a node after a change, and in the nodes above."""
+        heap, at = self.heaps[node], abs(node)
+        while heap and self.owner[heap[0][0]] != heap[0][1]:
+            heapq.heappop(heap)
+        if node > 0:
+            self.over[at] = heap[0][0] if heap else self.none
+        while at:
+            least = self.over[at]
+            if at < self.size:
+                least = min(least, self.least[2 * at], self.least[2 * at + 1])
+            elif self.heaps.get(-at):
+                least = min(least, self.heaps[-at][0][0])
+            self.least[at], at = least, at >> 1
+
+    def put(self, place: int, edit: int, start: int | None, end: int | None) -> None:
+        """`edit` takes `place`, which is new or held by another range."""
+        old = self.ranges[place] if place < len(self.ranges) else (None, None)
+        if place == len(self.ranges):
+            self.ranges.append(old)
+            self.owner.append(edit)
+        self.owner[place], self.ranges[place] = edit, (start, end)
+        self.backward.discard(place)
+        if old[0] is not None and old[1] is not None and old[0] <= old[1]:
+            for node in self._nodes(*old):
+                self._refresh(node)
+        if start is None or end is None:
+            return
+        if start > end:
+            self.backward.add(place)
+            return
+        for node in self._nodes(start, end):
+            heapq.heappush(self.heaps.setdefault(node, []), (place, edit))
+            self._refresh(node)
+
+    def first_met(self, start: int | None, end: int | None) -> int | None:
+        """The first place whose range overlaps (start, end)."""
+        if start is None or end is None:
+            return None
+        if start > end:
+            every = ((i, r) for i, r in enumerate(self.ranges) if None not in r)
+            return next((i for i, (s, e) in every if s < end and start < e), None)
+        over, least, best = self.over, self.least, self.none
+        if start == end:
+            a = self.leaf[start] + self.size
+            while a:
+                best, a = min(best, over[a]), a >> 1
+        else:
+            left, right = self.leaf[start] + 1 + self.size, self.leaf[end] + self.size
+            a, b = left, right - 1
+            while a:
+                if over[a] < best:
+                    best = over[a]
+                if over[b] < best:
+                    best = over[b]
+                a, b = a >> 1, b >> 1
+                if left < right:
+                    if left & 1:
+                        if least[left] < best:
+                            best = least[left]
+                        left += 1
+                    if right & 1:
+                        right -= 1
+                        if least[right] < best:
+                            best = least[right]
+                    left, right = left >> 1, right >> 1
+        for place in self.backward:
+            s, e = self.ranges[place]
+            if place < best and s < end and start < e:
+                best = place
+        return best if best < self.none else None
+
+
+def _survivors(starts: pa.Array, ends: pa.Array, weights: pa.Array) -> pa.Array:
+    """For each row the places of the edits that stay, in the order of the list they end up in."""
+    rows = []
+    for start, end, weight in zip(*(c.to_pylist() for c in (starts, ends, weights))):
+        kept = _Kept(sorted({x for x in (*start, *end) if x is not None}))
+        for i, (s, e, w) in enumerate(zip(start, end, weight)):
+            met = kept.first_met(s, e)
+            if met is None:
+                kept.put(len(kept.ranges), i, s, e)
+                continue
+            old = weight[kept.owner[met]]
+            if w is not None and old is not None and w > old:
+                kept.put(met, i, s, e)
+        rows.append(kept.owner)
+    return pa.array(rows, pa.list_(pa.int32()))
+
+
 def dedupe_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Drop repeated edits; of overlapping ones keep the longer original text.
 
     Edits are taken in `edit_no` order and compared with those kept so far; an
     equal or shorter one is dropped, a longer one takes the place of the first
     it overlaps. Only groups connected by overlaps need that fold, everything
-    else passes straight through.
+    else passes straight through. The rule is sequential, so a group is folded in one
+    task, by a tree over its offsets: n log n steps for n edits.
     """
     keys = list(keys)
     content = [*keys, "start_off", "end_off", "original_text", "new_text"]
@@ -77,24 +204,13 @@ def dedupe_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFra
     edit = F.struct("edit_no", "start_off", "end_off", weight.alias("weight"), "original_text",
                     "new_text")
     grouped = marked.groupBy(*keys, "_cluster").agg(F.array_sort(F.collect_list(edit)).alias("_all"))
-
-    def meets(a: Column, b: Column) -> Column:
-        return (a["start_off"] < b["end_off"]) & (b["start_off"] < a["end_off"])
-
-    def step(kept: Column, e: Column) -> Column:
-        hits = F.transform(kept, lambda k: meets(k, e))
-        at = F.array_position(hits, True)
-        old = F.get(kept, (at - 1).cast("int"))
-        swapped = F.transform(kept, lambda k, i: F.when(i == at - 1, e).otherwise(k))
-        return (
-            F.when(at == 0, F.concat(kept, F.array(e)))
-            .when(e["weight"] > old["weight"], swapped)
-            .otherwise(kept)
-        )
-
-    folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
-    result = F.when(F.size("_all") == 1, F.col("_all")).otherwise(folded)
-    out = grouped.select(*keys, F.explode_outer(F.array_distinct(result)).alias("e"))
+    # Only numbers go to the fold and back; texts stay in the row.
+    folded = F.arrow_udf(_survivors, "array<int>")(*[
+        F.col(f"_all.{c}").cast("array<bigint>") for c in ("start_off", "end_off", "weight")])
+    single = grouped.filter(F.size("_all") == 1).select(*keys, F.col("_all")[0].alias("e"))
+    several = grouped.filter(F.size("_all") > 1).withColumn("_kept", folded).select(
+        *keys, F.explode_outer(F.transform("_kept", lambda i: F.get("_all", i))).alias("e"))
+    out = single.unionByName(several)
     return out.select(*keys, "e.edit_no", "e.start_off", "e.end_off", "e.original_text", "e.new_text")
 
 

@@ -1,7 +1,12 @@
 """What keeps the queries within bounds on large tables: no broadcast of texts, no work that grows with a group's square."""
 
+import random
+import time
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusweave.operators.edits import dedupe_edits
 from corpusweave.operators.rewrite import bulk_rename
 
 
@@ -22,3 +27,44 @@ def test_bulk_rename_broadcasts_neither_texts_nor_renames(spark, tmp_path):
     done = bulk_rename(files, renames)
     assert "BroadcastExchange" not in plan_of(done)
     assert done.filter(F.col("new_content") == F.concat(F.lit("compute_"), "path", F.lit("(data/part1)"))).filter("renamed = 1").count() == 300
+
+
+def folded_plainly(starts, ends, weights):
+    def meet(a, b):
+        return None not in (starts[a], ends[a], starts[b], ends[b]) and starts[a] < ends[b] and starts[b] < ends[a]
+
+    kept = []
+    for i in range(len(starts)):
+        met = next((j for j, k in enumerate(kept) if meet(k, i)), None)
+        if met is None:
+            kept.append(i)
+        elif None not in (weights[i], weights[kept[met]]) and weights[i] > weights[kept[met]]:
+            kept[met] = i
+    return kept
+
+
+def test_survivors_equal_the_plain_fold():
+    from corpusweave.operators.edits import _survivors
+
+    draw = random.Random(5)
+    column = pa.list_(pa.int64())
+    for _ in range(500):
+        n, far, odd = draw.randint(1, 40), draw.choice([6, 20, 100]), draw.random() < 0.4
+        starts = [None if odd and draw.random() < 0.1 else draw.randint(-2, far) for _ in range(n)]
+        ends = [None if odd and draw.random() < 0.1 else (s or 0) + draw.randint(-3 if odd else 0, draw.choice([2, 8, 30])) for s in starts]
+        weights = [None if odd and draw.random() < 0.1 else draw.randint(0, 6) for _ in range(n)]
+        got = _survivors(*[pa.array([c], column) for c in (starts, ends, weights)]).to_pylist()
+        assert got == [folded_plainly(starts, ends, weights)]
+
+
+def test_many_connected_edits_of_a_file_are_folded_in_time(spark):
+    # Each edit overlaps its two neighbours; every other one stays. Even ones come first.
+    n = 60_000
+    i = F.col("id")
+    edits = spark.range(n).select(
+        F.lit("a").alias("path"), F.when(i % 2 == 0, i).otherwise(i + n).alias("edit_no"), (i * 10).alias("start_off"),
+        (i * 10 + 11).alias("end_off"), F.lit("old").alias("original_text"), F.concat(F.lit("n"), i).alias("new_text"))
+    begun = time.monotonic()
+    kept = dedupe_edits(edits).agg(F.count("*"), F.max(F.col("start_off") % 20)).first()
+    assert tuple(kept) == (n // 2, 0)
+    assert time.monotonic() - begun < 60
