@@ -6,6 +6,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusweave.operators.clones import _windows, clone_groups, clone_windows
 from corpusweave.operators.edits import dedupe_edits
 from corpusweave.operators.rewrite import bulk_rename
 
@@ -68,3 +69,28 @@ def test_many_connected_edits_of_a_file_are_folded_in_time(spark):
     kept = dedupe_edits(edits).agg(F.count("*"), F.max(F.col("start_off") % 20)).first()
     assert tuple(kept) == (n // 2, 0)
     assert time.monotonic() - begun < 60
+
+
+def test_only_windows_that_may_repeat_are_hashed(spark):
+    draw = random.Random(3)
+    text = lambda n, letters: " ".join(draw.choice(letters) + str(draw.randrange(len(letters))) for _ in range(n))
+    shared = text(30, "abcdefghij")
+    files = [(f"f{i}", text(200, "klmnopqrstuvwxyz") + f" {i} " + (shared if i % 40 == 0 else "")) for i in range(80)]
+    # Few words, so that most windows repeat; null, empty and short texts, one path twice, no path.
+    files += [(f"g{i}", text(draw.randrange(40), "ab")) for i in range(30)]
+    files += [("n", None), ("e", ""), ("s", "one two"), ("f0", shared + " tail"), (None, shared)]
+    table = spark.createDataFrame(files, "path string, content string")
+    for size in (1, 2, 7, 12):
+        places = {}
+        for path, content in files:
+            words = (content or "").split()
+            for at in range(len(words) - size + 1):
+                places.setdefault(tuple(words[at : at + size]), []).append((path or "", at))
+        want = sorted((len(p), min(p)) for p in places.values() if len(p) > 1)
+        got = clone_windows(table, size).select("places", "first.*").collect()
+        assert sorted((r[0], (r[1] or "", r[2])) for r in got) == want
+    total = sum(max(0, len((c or "").split()) - 11) for _, c in files)
+    assert _windows(table.filter("path like 'f%'"), 12).count() < total / 5
+    lone = [("a", "x " + shared + " y"), ("b", shared)]
+    runs = clone_groups(spark.createDataFrame(lone, "path string, content string"), 12).collect()
+    assert sorted(tuple(r) for r in runs) == [("a", 1, 30, 2), ("b", 0, 30, 2)]
