@@ -235,6 +235,10 @@ def _fold_renames(lines: Column, renames: Column, rule) -> Column:
     return F.transform(lines, lambda line: F.aggregate(renames, line, lambda l, r: rule(l, r)))
 
 
+# Fixed value: the most rows of a rename map that are sent to all tasks.
+MAP_ROWS = 20_000
+
+
 def _with_renames(files: DataFrame, rename_map: DataFrame, key: Column) -> DataFrame:
     """Give each file the renames whose old path it mentions, as one ordered array.
 
@@ -242,16 +246,17 @@ def _with_renames(files: DataFrame, rename_map: DataFrame, key: Column) -> DataF
     a map of any size works and files without a mention drop out.
     """
     token = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w.@~+-]+(?:[/\\][\w.@~+-]*)*"), F.lit(0)))
-    uses = files.select("path", F.explode_outer(token).alias("_token"))
-    # All runs of segments of a token are keys, so `a/b` is found in `../x/a/b/c.md`.
-    runs = bind(F.split("_token", "/"), lambda parts: F.flatten(F.transform(
+    # All runs of segments of a token are keys, so `a/b` is found in `../x/a/b/c.md`. A file's keys are made distinct in its row.
+    runs = lambda text: bind(F.split(text, "/"), lambda parts: F.flatten(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(
             F.sequence(F.lit(1), F.size(parts) - i + 1),
             lambda n: F.array_join(F.slice(parts, i, n), "/")))))
-    keys = uses.select("path", F.explode_outer(F.array_distinct(runs)).alias("_key")).distinct()
-    renames = rename_map.select("old", "new", key.alias("_key"))
-    found = keys.join(renames, "_key").groupBy("path").agg(
-        F.array_sort(F.collect_set(F.struct("old", "new"))).alias("_renames"))
+    keys = files.select("path", F.explode_outer(F.array_distinct(F.flatten(F.transform(token, runs)))).alias("_key"))
+    renames = rename_map.select("old", "new", key.alias("_key")).distinct()
+    # A map counted to be small meets the keys where they are; a large one, and the texts, are never broadcast.
+    few = renames.limit(MAP_ROWS + 1).count() <= MAP_ROWS
+    found = keys.join(renames.hint("broadcast" if few else "merge"), "_key").groupBy("path").agg(
+        F.array_sort(F.collect_set(F.struct("old", "new"))).alias("_renames")).hint("merge")
     return files.join(found, "path")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.operators.clones import _windows, clone_groups, clone_windows
 from corpusweave.operators.edits import dedupe_edits
-from corpusweave.operators.rewrite import bulk_rename
+from corpusweave.operators.rewrite import bulk_rename, rewrite_string_paths
 
 
 def plan_of(df):
@@ -94,3 +94,14 @@ def test_only_windows_that_may_repeat_are_hashed(spark):
     lone = [("a", "x " + shared + " y"), ("b", shared)]
     runs = clone_groups(spark.createDataFrame(lone, "path string, content string"), 12).collect()
     assert sorted(tuple(r) for r in runs) == [("a", 1, 30, 2), ("b", 0, 30, 2)]
+
+
+def test_path_keys_of_texts_are_not_gathered(spark, tmp_path):
+    files = grown_from_small_files(spark, str(tmp_path / "part")).withColumn("content", F.concat(F.lit("x = 'data/part1/"), "path", F.lit("'")))
+    renames = spark.createDataFrame([("data/part1", "data/component1")], "old string, new string")
+    done = rewrite_string_paths(files, renames)
+    plan = plan_of(done)
+    # Keys of all texts are neither made distinct nor dealt by a shuffle; texts are not broadcast.
+    assert not [line for line in plan.splitlines() if "_key" in line and ("Exchange hash" in line or "Aggregate(keys=[path" in line)]
+    assert plan.count("BroadcastExchange") <= 1
+    assert done.filter(F.col("new_content") == F.concat(F.lit("x = 'data/component1/"), "path", F.lit("'"))).count() == 300
