@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,37 +214,47 @@ def dedupe_edits(edits: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFra
 
 
 APPLIED = (
-    "new_content string, edits array<struct<edit_no:bigint,reason:string,lines_added:bigint,"
-    "lines_removed:bigint,chars_added:bigint,chars_removed:bigint>>"
+    "struct<new_content:string,edits:array<struct<edit_no:bigint,reason:string,lines_added:bigint,"
+    "lines_removed:bigint,chars_added:bigint,chars_removed:bigint>>>"
 )
-
-
-def _apply(content: pd.Series, edits: pd.Series) -> pd.DataFrame:
-    """Apply each row's ordered edits to its text; one linear pass per file."""
-    texts, reports = [], []
-    for text, items in zip(content, edits):
-        pieces, report, last = [], [], 0
-        for e in items:
-            start, end = e["start_off"], e["end_off"]
-            old, new = e["original_text"] or "", e["new_text"] or ""
-            reason = None
-            if start is None or end is None or start < 0 or end < start or end > len(text):
-                reason = "out of bounds"
-            elif start < last:
-                reason = "overlaps previous"
-            elif old and text[start:end] != old:
-                reason = "text differs"
-            counts = (0, 0, 0, 0)
-            if reason is None:
-                pieces += [text[last:start], new]
-                breaks = text.count("\n", start, end)
-                added = new.count("\n") + (1 if breaks else 0)
-                counts = (added, breaks + 1 if breaks else 0, len(new), end - start)
-                last = end
-            report.append((e["edit_no"], reason, *counts))
-        texts.append("".join([*pieces, text[last:]]))
-        reports.append(report)
-    return pd.DataFrame({"new_content": texts, "edits": reports})
+_REPORT = ("edit_no", "reason", "lines_added", "lines_removed", "chars_added", "chars_removed")
+_REPORTS = pa.list_(pa.struct([(n, pa.string() if n == "reason" else pa.int64()) for n in _REPORT]))
+# Fixed value: texts held as Python objects at a time, whatever the size of a batch.
+_TEXTS = 64
+
+
+def _applied(text: str | None, items: list[dict]) -> tuple[str, list[tuple]]:
+    """A text after its ordered edits, and a report for each; one linear pass."""
+    pieces, report, last = [], [], 0
+    for e in items:
+        start, end = e["start_off"], e["end_off"]
+        old, new = e["original_text"] or "", e["new_text"] or ""
+        reason = None
+        if start is None or end is None or start < 0 or end < start or end > len(text):
+            reason = "out of bounds"
+        elif start < last:
+            reason = "overlaps previous"
+        elif old and text[start:end] != old:
+            reason = "text differs"
+        counts = (0, 0, 0, 0)
+        if reason is None:
+            pieces += [text[last:start], new]
+            breaks = text.count("\n", start, end)
+            added = new.count("\n") + (1 if breaks else 0)
+            counts = (added, breaks + 1 if breaks else 0, len(new), end - start)
+            last = end
+        report.append((e["edit_no"], reason, *counts))
+    return "".join([*pieces, text[last:]]), report
+
+
+def _apply(content: pa.Array, edits: pa.Array) -> pa.Array:
+    """Apply each row's ordered edits to its text, a few texts at a time."""
+    texts, reports = [pa.array([], pa.string())], [pa.array([], _REPORTS)]
+    for at in range(0, len(content), _TEXTS):
+        done = [_applied(*row) for row in zip(content.slice(at, _TEXTS).to_pylist(), edits.slice(at, _TEXTS).to_pylist())]
+        texts.append(pa.array([d[0] for d in done], pa.string()))
+        reports.append(pa.array([[dict(zip(_REPORT, r)) for r in d[1]] for d in done], _REPORTS))
+    return pa.StructArray.from_arrays([pa.concat_arrays(texts), pa.concat_arrays(reports)], ["new_content", "edits"])
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -258,7 +267,7 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     edit = F.struct("start_off", "edit_no", "end_off", "original_text", "new_text")
     per_file = edits.groupBy("path").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
     df = files.select("path", "content").join(per_file, "path")
-    df = df.withColumn("_done", F.pandas_udf(_apply, APPLIED)("content", "_edits"))
+    df = df.withColumn("_done", F.arrow_udf(_apply, APPLIED)("content", "_edits"))
     return df.select("path", "content", F.col("_done.new_content").alias("new_content"),
                      F.col("_done.edits").alias("edits"))
 

@@ -106,3 +106,20 @@ def test_path_keys_of_texts_are_not_gathered(spark, tmp_path):
     assert not [line for line in texts if ("Exchange hash" in line or "Aggregate(keys=[path" in line)]
     assert plan.count("BroadcastExchange") <= 1
     assert done.filter(F.col("new_content") == F.concat(F.lit("x = 'data/component1/"), "path", F.lit("'"))).count() == 300
+
+
+def test_edits_are_applied_to_a_few_texts_at_a_time():
+    import tracemalloc
+
+    from corpusweave.operators.edits import _apply
+
+    n, text = 2_000, "word\n" * 4_000
+    edit = {"start_off": 0, "edit_no": 7, "end_off": 5, "original_text": "word\n", "new_text": "w"}
+    texts, edits = pa.array([text] * n), pa.array([[edit, {**edit, "start_off": 1, "edit_no": 8}]] * n)
+    tracemalloc.start()
+    done = _apply(texts, edits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < n * len(text) / 4
+    assert done[n - 1].as_py()["new_content"] == "w" + text[5:]
+    assert [tuple(e.values()) for e in done[0].as_py()["edits"]] == [(7, None, 1, 2, 1, 5), (8, "overlaps previous", 0, 0, 0, 0)]
