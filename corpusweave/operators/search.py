@@ -187,6 +187,9 @@ def case_style_census(files: DataFrame, keys: tuple[str, ...] = ("language",)) -
 
 QUOTED_SPAN = r""""(?:\\.|[^"\\])*(?:"|$)|'(?:\\.|[^'\\])*(?:'|$)|`(?:\\.|[^`\\])*(?:`|$)"""
 
+# A quoted span, a word, other characters, or a quote that opens no span.
+LINE_TOKEN = QUOTED_SPAN + r"""|[\p{IsAlphabetic}\p{N}_]+|[^\p{IsAlphabetic}\p{N}_"'`]+|["'`]"""
+
 
 def symbol_occurrences(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Word-bounded uses of many symbols outside quoted text, one row per use.
@@ -195,23 +198,14 @@ def symbol_occurrences(files: DataFrame, symbols: DataFrame) -> DataFrame:
     Every word is joined by hash to the symbol names.
     """
     lines = files.select("path", F.posexplode_outer(lines_of(F.col("content"))).alias("line", "text"))
-    # Cut spans keep their length so that columns stay right.
-    spans = F.regexp_extract_all("text", F.lit(QUOTED_SPAN), F.lit(0))
-    pieces = F.split("text", QUOTED_SPAN, -1)
-    blank = F.array_join(
-        F.zip_with(pieces, spans, lambda p, s: F.concat(
-            F.coalesce(p, F.lit("")), F.repeat(F.lit(" "), F.coalesce(F.length(s), F.lit(0))))), "")
-    lines = lines.select("path", "line", blank.alias("text"))
-    words = F.regexp_extract_all("text", F.lit(r"[\p{IsAlphabetic}\p{N}_]+"), F.lit(0))
-    gaps = F.split("text", r"[\p{IsAlphabetic}\p{N}_]+", -1)
-    df = lines.select("path", "line", words.alias("_words"), gaps.alias("_gaps")).filter(
-        F.size("_words") > 0)
-    df = df.withColumn("_ends", running_sum(F.zip_with("_gaps", "_words", lambda g, w: (
-        F.length(g) + F.coalesce(F.length(w), F.lit(0))).cast("bigint"))))
-    uses = df.select("path", "line", F.posexplode_outer(F.zip_with("_words", "_ends", lambda w, e: F.struct(
-        w.alias("name"), (e - F.length(w)).alias("col")))).alias("_i", "_u")).select(
-        "path", F.col("line").cast("bigint").alias("line"), F.col("_u.col").alias("col"),
-        F.col("_u.name").alias("name"))
+    # One pass cuts a line into tokens without gaps, so that running lengths are places.
+    tokens = F.regexp_extract_all("text", F.lit(LINE_TOKEN), F.lit(0))
+    df = lines.filter(F.col("text").rlike(r"[\p{IsAlphabetic}\p{N}_]")).select("path", "line", tokens.alias("_tokens"))
+    df = df.withColumn("_ends", running_sum(F.transform("_tokens", lambda t: F.length(t).cast("bigint"))))
+    words = F.filter(F.zip_with("_tokens", "_ends", lambda t, e: F.struct(t.alias("name"), (e - F.length(t)).alias("col"))),
+                     lambda u: u["name"].rlike(r"^[\p{IsAlphabetic}\p{N}_]"))
+    uses = df.select("path", "line", F.explode_outer(words).alias("_u")).select(
+        "path", F.col("line").cast("bigint").alias("line"), F.col("_u.col").alias("col"), F.col("_u.name").alias("name"))
     names = symbols.select("name").distinct()
     return uses.filter(F.col("name").isNotNull()).join(names, "name", "left_semi").select(
         "path", "name", "line", "col")

@@ -123,3 +123,16 @@ def test_edits_are_applied_to_a_few_texts_at_a_time():
     assert most < n * len(text) / 4
     assert done[n - 1].as_py()["new_content"] == "w" + text[5:]
     assert [tuple(e.values()) for e in done[0].as_py()["edits"]] == [(7, None, 1, 2, 1, 5), (8, "overlaps previous", 0, 0, 0, 0)]
+
+
+def test_symbol_occurrences_cut_lines_by_one_pattern(spark):
+    from corpusweave.operators.search import LINE_TOKEN, symbol_occurrences
+
+    lines = ['a "b a" a', "a 'a", 'x "a\\', "é_1 a`a`a", '"a\\"a" a', "", "  ", "a", "'", '"a" + \'a\'a']
+    table = spark.createDataFrame([("p", "\n".join(lines)), ("n", None)], "path string, content string")
+    found = symbol_occurrences(table, spark.createDataFrame([("a",), ("é_1",)], "name string")).collect()
+    want = [(0, 0), (0, 8), (1, 0), (2, 3), (3, 4), (3, 8), (4, 7), (7, 0), (9, 9)]
+    assert sorted((r["line"], r["col"]) for r in found if r["name"] == "a") == want
+    assert [(r["line"], r["col"]) for r in found if r["name"] == "é_1"] == [(3, 0)]
+    whole = spark.createDataFrame([(x,) for x in lines], "t string").select("t", F.array_join(F.regexp_extract_all("t", F.lit(LINE_TOKEN), F.lit(0)), ""))
+    assert all(a == b for a, b in whole.collect())
