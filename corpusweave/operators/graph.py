@@ -336,7 +336,8 @@ def import_cleanup(imports: DataFrame, deleted: DataFrame) -> DataFrame:
     given = imports.filter(listed | (F.col("import_type").isin("es_module", "type_only", "re_export") & F.col("clause").contains("{")))
     inner = F.when(listed, F.regexp_replace("clause", r"[()]", "")).otherwise(F.regexp_extract("clause", braces, 1))
     items = F.filter(F.transform(F.split(inner, ","), lambda i: F.trim(i)), lambda i: i != "")
-    lines = given.select("path", "line", "start_off", "end_off", "statement", "clause", "newline", listed.alias("_python"), items.alias("_items"))
+    # Written, as both sides of the join below read them and imports are dear to extract.
+    lines = pinned(given.select("path", "line", "start_off", "end_off", "statement", "clause", "newline", listed.alias("_python"), items.alias("_items")))
     called = lambda i: F.substring_index(F.regexp_replace(i, r"^type\s+", ""), " as ", 1)
     each = lines.select("path", "start_off", F.explode_outer("_items").alias("item"))
     keys = each.select("path", "start_off", "item", F.explode_outer(F.array_distinct(F.array("item", called(F.col("item"))))).alias("name"))

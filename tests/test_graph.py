@@ -266,3 +266,17 @@ def test_long_rings_settle_in_few_rounds(spark):
     found = g._restored(spark.createDataFrame([], "path string, label string"), records)
     assert found.agg(F.count("*"), F.countDistinct("path"), F.countDistinct("label")).first() == (n, n, 1)
     assert g.cycles(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_import_cleanup_extracts_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(path):
+        runs.add(1)
+        return path
+
+    row = ("a.ts", "es_module", "{ a, b }", 1, 0, 26, 'import { a, b } from "./x"', "\n")
+    names = "path string, import_type string, clause string, line int, start_off int, end_off int, statement string, newline string"
+    imports = spark.createDataFrame([row], names).withColumn("path", F.udf(counted)("path"))
+    found = g.import_cleanup(imports, spark.createDataFrame([("a",)], "name string")).collect()
+    assert [r.new_text for r in found] == ['import { b } from "./x"'] and runs.value == 1
