@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, folder, relative, without_extension
 from ..session import pinned
+from .chains import PAIRS, Graph, chain_rows
+
+HELD_EDGES, HELD_BYTES = 1 << 21, 1 << 27  # of a graph that a task may hold
 
 
 def importers(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -141,15 +144,38 @@ def has_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -
 def shortest_chain(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """For `pairs(source, target)` the path with the fewest hops, first in text order on a tie.
 
-    Searches from both ends in turn and joins the two newest rings, so a chain
-    of n hops costs two searches of depth n/2. Each distinct source and target
+    Searches from both ends of a pair, and a pair is done when the two newest rings meet, so a chain of n hops costs two searches
+    of depth n/2. A graph of at most HELD_EDGES edges and HELD_BYTES of names goes to all tasks, which search batches of pairs in memory and
+    write chains only; rings of all ends together would have some sqrt(n) rows for each of n nodes. Larger graphs are searched by joins.
+    """
+    steps = pinned(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    pairs = pinned(pairs.select("source", "target").distinct())
+    size = steps.agg(F.count("*").alias("edges"), F.sum(F.octet_length(F.col("src").cast("string")) + F.octet_length(F.col("dst").cast("string"))).alias("bytes")).first()
+    found = _searched if size.edges <= HELD_EDGES and (size.bytes or 0) <= HELD_BYTES else _joined
+    chains = found(steps, pairs.filter(F.col("source") != F.col("target")), max_depth)
+    same = pairs.filter(F.col("source") == F.col("target")).select("source", "target", F.array("source").alias("chain"))
+    return same.unionByName(chains).select("source", "target", "chain", (F.size("chain") - 1).cast("bigint").alias("hops"))
+
+
+def _searched(steps: DataFrame, pairs: DataFrame, max_depth: int | None) -> DataFrame:
+    """Shortest chains of distinct pairs (source, target), searched in tasks that hold all `steps`."""
+    context, kind = steps.sparkSession.sparkContext, steps.schema["src"].dataType.simpleString()
+    held = context.broadcast(Graph(steps.toArrow()))
+    tasks = max(context.defaultParallelism, pairs.count() // PAIRS + 1)
+    dealt = pairs.repartitionByRange(tasks, "source", "target").sortWithinPartitions("source", "target")
+    chains = pinned(dealt.mapInArrow(chain_rows(held, max_depth), f"source {kind}, target {kind}, chain array<{kind}>"))
+    held.unpersist()
+    return chains
+
+
+def _joined(steps: DataFrame, open_pairs: DataFrame, max_depth: int | None) -> DataFrame:
+    """Shortest chains of distinct pairs (source, target) by joins of rings with `steps`.
+
+    Searches from both ends in turn and joins the two newest rings. Each distinct source and target
     is searched once, whatever the number of pairs, and only while a pair with
     it is open. A node keeps the first of its equally short chains.
     """
-    steps = pinned(edges.select("src", "dst").distinct())
-    pairs = pinned(pairs.select("source", "target").distinct())
-    found = pairs.filter(F.col("source") == F.col("target")).select("source", "target", F.array("source").alias("chain"))
-    open_pairs = pairs.filter(F.col("source") != F.col("target"))
+    found = open_pairs.limit(0).select("source", "target", F.array("source").alias("chain"))
 
     def ring(column: str) -> DataFrame:
         ends = open_pairs.select(F.col(column).alias("end")).distinct()
@@ -184,7 +210,7 @@ def shortest_chain(edges: DataFrame, pairs: DataFrame, max_depth: int | None = N
             "source", "target", "chain", "_alive"))
         found = found.unionByName(state.filter("chain is not null").drop("_alive"))
         open_pairs = state.filter("chain is null and _alive").select("source", "target")
-    return found.select("source", "target", "chain", (F.size("chain") - 1).cast("bigint").alias("hops"))
+    return found
 
 
 def _reduced(edges: DataFrame, records: list[DataFrame]) -> DataFrame:

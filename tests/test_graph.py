@@ -280,3 +280,58 @@ def test_import_cleanup_extracts_once(spark):
     imports = spark.createDataFrame([row], names).withColumn("path", F.udf(counted)("path"))
     found = g.import_cleanup(imports, spark.createDataFrame([("a",)], "name string")).collect()
     assert [r.new_text for r in found] == ['import { b } from "./x"'] and runs.value == 1
+
+
+def test_chains_are_written_without_rings(spark, monkeypatch):
+    """Searches of many pairs write edges, pairs and chains, and no ring of nodes; chains are those of joins, which larger graphs take."""
+    from corpusweave.session import checkpoint_dir
+
+    n = 60
+    names = [f"n{k}é" for k in range(n)]
+    links = [(names[k], names[(k * a + b) % n]) for k in range(n) for a, b in ((7, 3), (11, 5))] + [(names[0], x) for x in names[40:]] + [(None, "n1é"), ("n1é", None)]
+    edges = edges_from(spark, links)
+    pairs = edges.selectExpr("dst as source", "src as target").union(spark.createDataFrame([("n1é", "n1é"), ("n1é", "none"), ("none", "none")], "source string, target string"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = lambda: {f.getPath().getName() for f in files.listStatus(folder)}
+    had = tables()
+    found = rows(g.shortest_chain(edges, pairs), "source", "target", "chain", "hops")
+    assert len(tables() - had) <= 3 and max(r[3] for r in found) > 2
+    near = rows(g.shortest_chain(edges, pairs, 2), "source", "target", "chain", "hops")
+    assert near == [r for r in found if r[3] <= 2]
+    monkeypatch.setattr(g, "HELD_EDGES", 0)
+    assert rows(g.shortest_chain(edges, pairs), "source", "target", "chain", "hops") == found
+
+
+def test_searches_of_batches_against_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusweave.operators.chains import Graph, search
+
+    chance = random.Random(6)
+    for trial in range(60):
+        names = [f"{chance.choice('abzé')}{k}" for k in range(chance.randrange(2, 30))]
+        links = {(chance.choice(names), chance.choice(names)) for _ in range(chance.randrange(1, 4 * len(names)))}
+        links |= {(names[0], x) for x in names} if trial % 3 == 0 else set()
+        graph = Graph(pa.table({"src": [a for a, _ in links], "dst": [b for _, b in links]}))
+        order = graph.names.to_pylist()
+        pairs = sorted({p for p in ((chance.choice(order), chance.choice(order)) for _ in range(40)) if p[0] != p[1]})
+        want = set()
+        for s, t in pairs:
+            ring, seen = {s: (s,)}, {s}
+            while ring and t not in ring:
+                ways = sorted((c + (b,) for a, c in ring.items() for x, b in links if x == a and b not in seen), key=lambda c: [x.encode() for x in c], reverse=True)
+                ring = {c[-1]: c for c in ways}
+                seen |= set(ring)
+            want |= {ring[t]} if t in ring else set()
+
+        def searched(some, most):
+            got = search(graph, *(np.array([order.index(p[k]) for p in some]) for k in (0, 1)), most=most)
+            if got is None:
+                return searched(some[: len(some) // 2], most) + searched(some[len(some) // 2 :], most)
+            return [tuple(order[k] for k in c) for chains in got[1] for c in chains.tolist()]
+
+        for most in (1 << 20, 6):
+            got = searched(pairs, most) if pairs else []
+            assert set(got) == want and len(got) == len(want)
